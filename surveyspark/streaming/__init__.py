@@ -1,0 +1,5 @@
+"""No streaming jobs.
+
+The workload is batch: a new month arrives as a file and replaces its own partition
+(``surveyspark.sinks.tables.overwrite_period``).  Nothing here keeps state between runs.
+"""

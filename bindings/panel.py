@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -175,18 +176,27 @@ def regions() -> dict[str, list[str]]:
     }
 
 
+_OPEN: weakref.WeakKeyDictionary[SparkSession, dict[str, Survey]] = weakref.WeakKeyDictionary()
+
+
 def survey(spark: SparkSession, sf_dir: str) -> Survey:
-    """The star schema of the derived panel.  The documented key is used, so joins multiply."""
-    d = dictionary()
-    labelled = recode(raw_microdata(spark, sf_dir), d)
-    return Survey(
-        build_star(labelled, d, regions()),
-        weight=Weight(V.WEIGHT, digits=2),
-        keys=V.PANEL_KEY_WITH_PERIOD,
-        regions=regions(),
-        month_labels={y: f"Ano {y}" for y in YEARS},
-        options=Options(V.AGE_BANDS, ("Homem", "Mulher"), REGION_NAMES),
-    )
+    """The star schema of the derived panel.  The documented key is used, so joins multiply.
+
+    The plan (no data) is built once per session and folder.
+    """
+    opened = _OPEN.setdefault(spark, {})
+    if sf_dir not in opened:
+        d = dictionary()
+        labelled = recode(raw_microdata(spark, sf_dir), d)
+        opened[sf_dir] = Survey(
+            build_star(labelled, d, regions()),
+            weight=Weight(V.WEIGHT, digits=2),
+            keys=V.PANEL_KEY_WITH_PERIOD,
+            regions=regions(),
+            month_labels={y: f"Ano {y}" for y in YEARS},
+            options=Options(V.AGE_BANDS, ("Homem", "Mulher"), REGION_NAMES),
+        )
+    return opened[sf_dir]
 
 
 # ---- the same panel in SQL ----------------------------------------------------------------------

@@ -43,12 +43,15 @@ def missing_codes_to_null(c: str | Column, codes: Sequence[Any]) -> Column:
 # ---- lookups ------------------------------------------------------------------------
 
 
+def literal_map(mapping: Mapping[Any, Any]) -> Column:
+    return F.create_map(*[F.lit(item) for pair in mapping.items() for item in pair])
+
+
 def lookup(c: str | Column, mapping: Mapping[Any, Any]) -> Column:
     """Literal-map lookup; a key outside the map (and null) gives null."""
     if not mapping:
         return F.lit(None).cast("string")
-    literals = [F.lit(item) for pair in mapping.items() for item in pair]
-    return F.create_map(*literals)[as_column(c)]
+    return literal_map(mapping)[as_column(c)]
 
 
 def relabel(c: str | Column, labels: Mapping[Any, str]) -> Column:

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from surveyspark import fixed_values as V
 from surveyspark.functions.columns import (
     band,
+    literal_map,
     lookup,
     map_hierarchy,
     missing_codes_to_null,
@@ -89,37 +90,71 @@ def dual_code_label(df: DataFrame, dictionary: Dictionary, suffix: str = "_label
     return _decode(df, dictionary, suffix)
 
 
+def _code_of(source: Column, kind: str) -> Column:
+    return to_int(source) if kind == "string" else source
+
+
 def _decode(df: DataFrame, dictionary: Dictionary, suffix: str) -> DataFrame:
     maps = _code_maps(dictionary)
-    types = dict(df.dtypes)
-    out, long_tables = [], []
+    kinds = dict(df.dtypes)
+    labels = _Labels(df)
+    out = []
     for name in df.columns:
         codes = maps.get(name)
-        if codes is None:
+        if codes is None or suffix:
             out.append(F.col(name))
+        if codes is not None:
+            code = _code_of(F.col(name), kinds[name])
+            out.append(labels.of(name, code, codes).alias(name + suffix))
+    return labels.attach().select(*out)
+
+
+class _Labels:
+    """Label expressions: short code tables inline, long ones joined."""
+
+    def __init__(self, df: DataFrame):
+        self._df = df
+        self._maps: dict[tuple, Column] = {}
+
+    def of(self, name: str, code: Column, codes: Mapping[int, str]) -> Column:
+        if len(codes) > INLINE_CODES:
+            at, label = f"{name}__code", f"{name}__label"
+            # The driver holds the dictionary, so the size of this side is known.
+            table = self._df.sparkSession.createDataFrame(
+                list(codes.items()), f"`{at}` int, `{label}` string"
+            )
+            self._df = self._df.join(F.broadcast(table), code == F.col(at), "left")
+            return F.col(label)
+        key = tuple(codes.items())
+        if key not in self._maps:  # most questions share one answer list
+            self._maps[key] = literal_map(codes)
+        return self._maps[key][code]
+
+    def attach(self) -> DataFrame:
+        return self._df
+
+
+def recode(
+    raw: DataFrame, dictionary: Dictionary, keep: Sequence[str] = (V.PERIOD,)
+) -> DataFrame:
+    """Raw coded text to named, typed, labelled columns, in a single projection.
+
+    The same as ``rename_by_dictionary``, ``cast_by_dictionary`` and ``decode_categories``
+    one after the other.
+    """
+    have = set(raw.columns)
+    maps = _code_maps(dictionary)
+    labels = _Labels(raw)
+    out = []
+    for v in dictionary.variables:
+        if v.code not in have:
             continue
-        if suffix:
-            out.append(F.col(name))
-        code = to_int(name) if types[name] == "string" else F.col(name)
-        if len(codes) <= INLINE_CODES:
-            out.append(lookup(code, codes).alias(name + suffix))
-        else:
-            long_tables.append((name, code, codes))
-            out.append(F.col(f"{name}__label").alias(name + suffix))
-    for name, code, codes in long_tables:
-        # The driver holds the dictionary, so the size of this side is known.
-        table = df.sparkSession.createDataFrame(
-            list(codes.items()), f"`{name}__code` int, `{name}__label` string"
-        )
-        df = df.join(F.broadcast(table), code == F.col(f"{name}__code"), "left")
-    return df.select(*out)
-
-
-def recode(raw: DataFrame, dictionary: Dictionary) -> DataFrame:
-    """Raw coded text to named, typed, labelled columns."""
-    return decode_categories(
-        cast_by_dictionary(rename_by_dictionary(raw, dictionary), dictionary), dictionary
-    )
+        value = to_type(v.code, v.type)
+        codes = maps.get(v.name)
+        if codes is not None:
+            value = labels.of(v.name, _code_of(value, v.type), codes)
+        out.append(value.alias(v.name))
+    return labels.attach().select(*out, *_present(raw, keep))
 
 
 # ---- C21, C22 -------------------------------------------------------------------------

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import posixpath
 import uuid
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass, field, replace
 from functools import reduce
 
@@ -31,35 +31,61 @@ from surveyspark.sources.tables import read_star_table
 # ---- building ------------------------------------------------------------------------------
 
 
+class Tables(Mapping[str, DataFrame]):
+    """Star tables whose plans are built when first asked for."""
+
+    def __init__(self, builders: Mapping[str, Callable[[], DataFrame]]):
+        self._builders = dict(builders)
+        self._built: dict[str, DataFrame] = {}
+
+    def __getitem__(self, name: str) -> DataFrame:
+        if name not in self._built:
+            self._built[name] = self._builders[name]()
+        return self._built[name]
+
+    def __iter__(self) -> Iterator[str]:
+        return iter(self._builders)
+
+    def __len__(self) -> int:
+        return len(self._builders)
+
+
 def build_star(
     labelled: DataFrame,
     dictionary: Dictionary,
     regions: Mapping[str, Sequence[str]] = V.REGIONS,
     age_cuts: Sequence[float] = V.AGE_CUTS,
     age_bands: Sequence[str] = V.AGE_BANDS,
-) -> dict[str, DataFrame]:
+) -> Tables:
     """Dimension and fact tables of decoded microdata (lazy)."""
-    facts = {
-        table: project_block(labelled, dictionary, block)
-        for table, block in V.BLOCK_TABLES.items()
-    }
-    symptoms = [c for c in V.SYMPTOMS if c in labelled.columns]
-    facts["base_saude"] = facts["base_saude"].withColumns(
-        {V.HAS_SYMPTOM: any_of(symptoms), V.SYMPTOM_COUNT: count_of(symptoms)}
-    )
-    facts["base_comportamento"] = facts["base_comportamento"].withColumn(
-        V.LABOUR_STATUS, labour_status()
-    )
-    if V.INCOME in labelled.columns:
-        facts["base_economico"] = facts["base_economico"].withColumn(
-            V.HAS_INCOME, positive_flag(V.INCOME)
+
+    def block(name: str) -> DataFrame:
+        return project_block(labelled, dictionary, V.BLOCK_TABLES[name])
+
+    def health() -> DataFrame:
+        symptoms = [c for c in V.SYMPTOMS if c in labelled.columns]
+        return block("base_saude").withColumns(
+            {V.HAS_SYMPTOM: any_of(symptoms), V.SYMPTOM_COUNT: count_of(symptoms)}
         )
-    return {
-        "dim_tempo": dim_time(labelled),
-        "dim_perfil": dim_profile(labelled, dictionary, age_cuts, age_bands),
-        "dim_localizacao": dim_location(labelled, regions),
-        **facts,
-    }
+
+    def behaviour() -> DataFrame:
+        return block("base_comportamento").withColumn(V.LABOUR_STATUS, labour_status())
+
+    def economy() -> DataFrame:
+        df = block("base_economico")
+        return df.withColumn(V.HAS_INCOME, positive_flag(V.INCOME)) if V.INCOME in df.columns else df
+
+    return Tables(
+        {
+            "dim_tempo": lambda: dim_time(labelled),
+            "dim_perfil": lambda: dim_profile(labelled, dictionary, age_cuts, age_bands),
+            "dim_localizacao": lambda: dim_location(labelled, regions),
+            "base_saude": health,
+            "base_comportamento": behaviour,
+            "base_economico": economy,
+            "base_trabalho": lambda: block("base_trabalho"),
+        }
+    )
 
 
 def star_schemas(spark: SparkSession, dictionary: Dictionary) -> dict[str, T.StructType]:
@@ -215,5 +241,8 @@ def load_star(
 ) -> Survey:
     """Open a published star."""
     names = [*V.BLOCK_TABLES, "dim_tempo", "dim_perfil", "dim_localizacao"]
-    tables = {n: read_star_table(spark, base, n, (schemas or {}).get(n)) for n in names}
-    return Survey(tables, **options)
+
+    def opener(name: str) -> Callable[[], DataFrame]:
+        return lambda: read_star_table(spark, base, name, (schemas or {}).get(name))
+
+    return Survey(Tables({n: opener(n) for n in names}), **options)

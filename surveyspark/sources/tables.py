@@ -5,8 +5,11 @@ from __future__ import annotations
 import posixpath
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from surveyspark.fixed_values import PERIOD
+
 
 def read_star_table(
     spark: SparkSession,
@@ -22,7 +25,11 @@ def read_star_table(
     """
     reader = spark.read
     reader = reader.option("mergeSchema", True) if schema is None else reader.schema(schema)
-    return reader.parquet(posixpath.join(base, table))
+    df = reader.parquet(posixpath.join(base, table))
+    if dict(df.dtypes).get(PERIOD, "string") != "string":
+        # Folder names that look like numbers are inferred as such; periods are labels.
+        df = df.withColumn(PERIOD, F.col(PERIOD).cast("string"))
+    return df
 
 
 def read_spec_csv(spark: SparkSession, path: str, sep: str = ";") -> DataFrame:

@@ -1160,7 +1160,7 @@ def _(spark, sf):
     )
     ratios = M.answer_shares(FLAGS, w=LINE)
     sums = J.joined_sums(
-        lines(spark, sf), part, W._sums_of(ratios), ["l_partkey"], right_by=["faixa"]
+        lines(spark, sf), part, M.sums_of(ratios), ["l_partkey"], right_by=["faixa"]
     )
     table_ = W.finish(sums, ratios, ["faixa"])
     return rounded(RS.to_long(table_, ["faixa"], FLAG_LABELS, "indicador", "pct"))
@@ -1361,7 +1361,7 @@ def _(spark, sf):
     from surveyspark.plans.specs import long_table
 
     ratios = M.answer_shares(FLAGS, w=LINE, empty="zero")
-    sums = W.roll_up(J.additive_sums(lines(spark, sf), W._sums_of(ratios), [V.PERIOD]), [V.PERIOD])
+    sums = W.roll_up(J.additive_sums(lines(spark, sf), M.sums_of(ratios), [V.PERIOD]), [V.PERIOD])
     rows = [
         (F.col(V.PERIOD), F.lit(r.name), F.lit(FLAG_LABELS[r.name]),
          C.round_population(LINE.population(F.coalesce(F.col(r.num_sum), F.lit(0)))), r.result())

@@ -7,7 +7,7 @@ from the finest group, and lets sums be taken before a join rather than after it
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import dataclass
 from typing import Any
 
@@ -36,6 +36,11 @@ class Weight:
             return w.cast("double")
         return F.rint(w.cast("double") * float(10**self.digits)).cast("bigint")
 
+    @property
+    def everyone(self) -> str:
+        """Name of the sum over all rows."""
+        return f"{self.column}__everyone"
+
     def population(self, total: Column) -> Column:
         """Turn a sum of ``per_row`` back into people."""
         total = total.cast("double")
@@ -46,6 +51,11 @@ def as_weight(w: str | Weight) -> Weight:
     return w if isinstance(w, Weight) else Weight(w)
 
 
+def sums_of(ratios: Iterable[Ratio]) -> dict[str, Column]:
+    """All sums the ratios need, shared denominators once."""
+    return {name: e for r in ratios for name, e in r.sums().items()}
+
+
 @dataclass(frozen=True)
 class Ratio:
     """``times * sum(num) / sum(den)``; num and den are per-row expressions."""
@@ -55,15 +65,17 @@ class Ratio:
     den: Column
     times: float = 1.0
     empty: str = "null"
+    # Ratios over one denominator name its sum alike, so that it is taken once.
+    den_sum: str = ""
+
+    def __post_init__(self) -> None:
+        if not self.den_sum:
+            object.__setattr__(self, "den_sum", f"{self.name}__den")
 
     @property
     def num_sum(self) -> str:
         return f"{self.name}__num"
 
-    @property
-    def den_sum(self) -> str:
-        return f"{self.name}__den"
-
     def sums(self) -> dict[str, Column]:
         return {self.num_sum: self.num, self.den_sum: self.den}
 
@@ -84,12 +96,11 @@ def share(
 
     Without ``within`` the denominator is everyone, unanswered rows included.
     """
-    weight = as_weight(w).per_row()
+    weight = as_weight(w)
+    each = weight.per_row()
     if within is None:
-        return Ratio(name, F.when(condition, weight), weight, 100.0, empty)
-    return Ratio(
-        name, F.when(within & condition, weight), F.when(within, weight), 100.0, empty
-    )
+        return Ratio(name, F.when(condition, each), each, 100.0, empty, weight.everyone)
+    return Ratio(name, F.when(within & condition, each), F.when(within, each), 100.0, empty)
 
 
 def conditional_ratio(
@@ -105,8 +116,9 @@ def conditional_ratio(
 
 def flag_rate(name: str, flag: str, w: str | Weight = V.WEIGHT, empty: str = "null") -> Ratio:
     """Weighted mean of a 0/1 column, in percent."""
-    weight = as_weight(w).per_row()
-    return Ratio(name, F.col(flag) * weight, weight, 100.0, empty)
+    weight = as_weight(w)
+    each = weight.per_row()
+    return Ratio(name, F.col(flag) * each, each, 100.0, empty, weight.everyone)
 
 
 def mean(

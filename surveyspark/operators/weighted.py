@@ -23,10 +23,6 @@ from surveyspark.operators.reshape import to_long
 # ---- one pass for any number of ratios ---------------------------------------------------
 
 
-def _sums_of(ratios: Sequence[Ratio]) -> dict[str, Column]:
-    return {name: e for r in ratios for name, e in r.sums().items()}
-
-
 def roll_up(
     sums: DataFrame, by: Sequence[str], period: str = V.PERIOD, total_label: str = V.TOTAL
 ) -> DataFrame:
@@ -58,7 +54,7 @@ def ratio_table(
     period: str = V.PERIOD,
 ) -> DataFrame:
     """Any number of ratios per group in one aggregation, optionally with a total row."""
-    sums = additive_sums(df, _sums_of(ratios), by)
+    sums = additive_sums(df, M.sums_of(ratios), by)
     if total_label is not None:
         sums = roll_up(sums, by, period, total_label)
     return finish(sums, ratios, by)

@@ -22,15 +22,11 @@ from surveyspark.operators.reshape import stack, to_long, to_matrix
 from surveyspark.plans.star import Survey
 
 
-def _sums_of(ratios: Sequence[Ratio]) -> dict[str, Column]:
-    return {name: e for r in ratios for name, e in r.sums().items()}
-
-
 def _table(
     s: Survey, table: str, ratios: Sequence[Ratio], by: Sequence[str] = (),
     total_label: str | None = None, total_over: str = V.PERIOD, **options,
 ) -> DataFrame:
-    sums = s.sums(table, _sums_of(ratios), by, **options)
+    sums = s.sums(table, M.sums_of(ratios), by, **options)
     groups = [*by, *options.get("match_by", ())]
     if total_label is not None:
         sums = W.roll_up(sums, groups, total_over, total_label)
@@ -128,7 +124,7 @@ def comorbidities_vs_positive(s: Survey) -> DataFrame:
 def comorbidities_by_age(s: Survey) -> DataFrame:
     """Comorbidities by age band."""
     ratios = M.answer_shares(V.COMORBIDITIES, w=s.weight)
-    sums = s.by_profile("base_saude", _sums_of(ratios), ["faixa_etaria"], skip=["age_bands"])
+    sums = s.by_profile("base_saude", M.sums_of(ratios), ["faixa_etaria"], skip=["age_bands"])
     table = W.finish(sums, ratios, ["faixa_etaria"])
     return to_long(table, ["faixa_etaria"], V.COMORBIDITIES, "comorbidade", "pct").orderBy(
         "comorbidade", ordinal("faixa_etaria", s.age_bands)

@@ -43,7 +43,7 @@ def long_table(sums: DataFrame, rows: Sequence[Sequence[Column]], names: Sequenc
 
 def kpi_sums(s: Survey, table: str, kpis: Sequence[Kpi], **options) -> DataFrame:
     """Sums of the KPIs per month, and over all months."""
-    by_month = s.sums(table, A._sums_of([k.ratio for k in kpis]), [V.PERIOD], **options)
+    by_month = s.sums(table, M.sums_of([k.ratio for k in kpis]), [V.PERIOD], **options)
     return W.roll_up(by_month, [V.PERIOD])
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 import posixpath
 import uuid
 from collections.abc import Callable, Iterator, Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
+from contextlib import contextmanager
 from dataclasses import dataclass, field, replace
 from functools import reduce
 
@@ -24,7 +26,7 @@ from surveyspark.functions.measures import Weight
 from surveyspark.operators.filters import Options, Selection, _active, demographic_filter
 from surveyspark.operators.joins import additive_sums, joined_sums, semi_filter
 from surveyspark.operators.recode import dim_dictionary, dim_location, dim_profile, dim_time, project_block
-from surveyspark.sinks.tables import overwrite_period, write_partitioned
+from surveyspark.sinks.tables import overwrite_period, remove_folder, write_partitioned
 from surveyspark.sources.dictionary import Dictionary
 from surveyspark.sources.tables import read_star_table
 
@@ -109,6 +111,26 @@ def shared_folder(spark: SparkSession, otherwise: str) -> str:
     return spark.conf.get("spark.checkpoint.dir", None) or otherwise
 
 
+WRITERS = 4
+
+
+@contextmanager
+def wide_row_codegen(spark: SparkSession) -> Iterator[None]:
+    """Settings for jobs that compute over a hundred columns per row.
+
+    Generated methods beyond 8,000 bytes of bytecode are not compiled by the JVM and run
+    interpreted.  With this limit Spark drops to its split, compilable projections instead,
+    which recodes several times faster.
+    """
+    name = "spark.sql.codegen.hugeMethodLimit"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "8000")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def publish_star(
     labelled: DataFrame,
     dictionary: Dictionary,
@@ -116,23 +138,34 @@ def publish_star(
     dictionary_table: DataFrame | None = None,
     incremental: bool = True,
     stage: str | None = None,
+    keep_stage: bool = False,
     **options,
 ) -> list[str]:
     """Write all tables under ``base``; returns their names.
 
     The decoded microdata are written once, columnar, to a shared folder, and each table
     then reads back only its own columns: the CSVs are parsed and decoded once instead of
-    once per table.  With ``incremental`` only the months present are replaced.
+    once per table.  The stage is removed when all tables are written.  With ``incremental``
+    only the months present are replaced.
     """
     spark = labelled.sparkSession
     stage = stage or posixpath.join(
         shared_folder(spark, base), f"_decoded_{uuid.uuid4().hex}"
     )
-    write_partitioned(labelled, stage)
+    with wide_row_codegen(spark):
+        write_partitioned(labelled, stage)
     decoded = spark.read.schema(labelled.schema).parquet(stage)
     tables = build_star(decoded, dictionary, **options)
-    for name, df in tables.items():
-        (overwrite_period if incremental else write_partitioned)(df, posixpath.join(base, name))
+    write = overwrite_period if incremental else write_partitioned
+
+    def publish(name: str) -> None:
+        write(tables[name], posixpath.join(base, name))
+
+    # Independent jobs: the tail of one leaves room for the next.
+    with ThreadPoolExecutor(WRITERS) as pool:
+        list(pool.map(publish, tables))
+    if not keep_stage:
+        remove_folder(spark, stage)
     if dictionary_table is not None:
         write_partitioned(
             dim_dictionary(dictionary_table), posixpath.join(base, "dim_dicionario"), None

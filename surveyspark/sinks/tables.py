@@ -70,6 +70,12 @@ def publish_table(
     return name
 
 
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder on whatever file system it lives."""
+    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jvm_path, True)
+
+
 def register_partitions(spark: SparkSession, table: str) -> None:
     """Pick up partition folders the catalog does not know yet."""
     spark.catalog.recoverPartitions(table)

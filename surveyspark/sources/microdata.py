@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import reduce
 
@@ -17,6 +18,7 @@ from surveyspark.fixed_values import PERIOD
 # The first two groups of a pattern are month and year.
 MONTH_PATTERN = r"[^/]*_(\d{2})(\d{4})\.csv(\.gz)?"
 ENCODING = "ISO-8859-1"
+HEADER_READERS = 8
 
 
 @dataclass(frozen=True)
@@ -124,9 +126,14 @@ def read_periods(
     prunes files at planning.  ``spread`` redistributes gzipped months, which a single task
     has to inflate, over that many partitions before the recode.
     """
+
+    def header_of(f: PeriodFile) -> tuple[str, ...]:
+        return tuple(read_microdata(spark, f.path, sep, encoding).columns)
+
+    with ThreadPoolExecutor(HEADER_READERS) as pool:
+        headers = list(pool.map(header_of, files))
     by_layout: dict[tuple[tuple[str, ...], bool], list[str]] = {}
-    for f in files:
-        header = tuple(read_microdata(spark, f.path, sep, encoding).columns)
+    for f, header in zip(files, headers):
         by_layout.setdefault((header, f.compressed), []).append(f.path)
 
     month = F.regexp_replace("_metadata.file_path", _month_path(pattern), "$3-$2")

@@ -69,10 +69,12 @@ def test_staging_goes_to_the_shared_folder(spark, labelled, dictionary, tmp_path
         conf = Conf()
 
     assert S.shared_folder(Session(), "other") == str(tmp_path / "shared")
-    assert S.shared_folder(spark, "other") == "other"  # unset in tests
-    monkeypatch.setattr(S, "shared_folder", lambda *_: str(tmp_path / "shared"))
+    shared = tmp_path / "shared"
+    monkeypatch.setattr(S, "shared_folder", lambda *_: str(shared))
+    S.publish_star(labelled, dictionary, str(tmp_path / "out"), keep_stage=True)
+    assert [p.name.startswith("_decoded_") for p in shared.iterdir()] == [True]
     S.publish_star(labelled, dictionary, str(tmp_path / "out"))
-    assert [p.name.startswith("_decoded_") for p in (tmp_path / "shared").iterdir()] == [True]
+    assert len(list(shared.iterdir())) == 1  # its own stage is gone again
 
 
 def test_questions_on_the_published_star(spark, published):

@@ -23,22 +23,34 @@ from surveyspark.operators.reshape import to_long
 # ---- one pass for any number of ratios ---------------------------------------------------
 
 
-def roll_up(
-    sums: DataFrame, by: Sequence[str], period: str = V.PERIOD, total_label: str = V.TOTAL
+def regroup(
+    sums: DataFrame, by: Sequence[str], sets: Sequence[Sequence[str]], label: str = "grouping"
 ) -> DataFrame:
-    """Add the all-periods row to a table of sums.
+    """Coarser groupings of one table of sums, each row labelled with the index of its set.
 
-    Works on the aggregated table: rolling up the raw rows would expand each of them.
+    Works on the aggregated table: grouping sets over the raw rows would copy each of them
+    once per set.
     """
-    others = [c for c in by if c != period]
     totals = [c for c in sums.columns if c not in by]
-    grouped = sums.groupingSets([[*by], others], *by).agg(
-        F.grouping(period).alias("__all"), *[F.sum(c).alias(c) for c in totals]
-    )
-    label = F.when(F.col("__all") == 1, F.lit(total_label)).otherwise(F.col(period))
-    return grouped.select(
-        *[label.alias(c) if c == period else F.col(c) for c in by], *totals
+    # Spark's grouping id has a bit per column, highest first, set when it is summed over.
+    ids = [
+        sum(1 << (len(by) - 1 - i) for i, c in enumerate(by) if c not in kept) for kept in sets
+    ]
+    grouped = sums.groupingSets([list(kept) for kept in sets], *by).agg(
+        F.grouping_id().alias("__id"), *[F.sum(c).alias(c) for c in totals]
     )
+    index = lookup("__id", {i: n for n, i in enumerate(ids)})
+    return grouped.select(index.alias(label), *by, *totals)
+
+
+def roll_up(
+    sums: DataFrame, by: Sequence[str], period: str = V.PERIOD, total_label: str = V.TOTAL
+) -> DataFrame:
+    """Add the all-periods row to a table of sums."""
+    others = [c for c in by if c != period]
+    both = regroup(sums, by, [by, others], "__total")
+    named = F.when(F.col("__total") == 1, F.lit(total_label)).otherwise(F.col(period))
+    return both.withColumn(period, named).drop("__total")
 
 
 def finish(sums: DataFrame, ratios: Sequence[Ratio], by: Sequence[str] = ()) -> DataFrame:

@@ -5,15 +5,15 @@ Each fact is aggregated once per month; the all-months rows are rolled up from t
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from surveyspark import fixed_values as V
 from surveyspark.functions import measures as M
-from surveyspark.functions.columns import round_population
+from surveyspark.functions.columns import overlap_groups, round_population, safe_ratio
 from surveyspark.functions.measures import Ratio
 from surveyspark.operators import weighted as W
 from surveyspark.operators.reshape import stack
@@ -33,12 +33,27 @@ class Kpi:
     amount: bool = False  # a mean in currency rather than a percentage
 
 
+def row_structs(rows: Sequence[Sequence[Column]], names: Sequence[str]) -> Column:
+    """An array of output rows."""
+    return F.array(
+        *[F.struct(*[value.alias(name) for name, value in zip(names, row)]) for row in rows]
+    )
+
+
 def long_table(sums: DataFrame, rows: Sequence[Sequence[Column]], names: Sequence[str]) -> DataFrame:
     """One output row per entry of ``rows`` for every input row."""
-    structs = [
-        F.struct(*[value.alias(name) for name, value in zip(names, row)]) for row in rows
-    ]
-    return sums.select(F.inline(F.array(*structs)))
+    return sums.select(F.inline(row_structs(rows, names)))
+
+
+def by_grouping(
+    sums: DataFrame, rows: Mapping[int, Sequence[Sequence[Column]]], names: Sequence[str]
+) -> DataFrame:
+    """Different output rows for each set of a :func:`~surveyspark.operators.weighted.regroup`."""
+    chosen = None
+    for index, entries in rows.items():
+        condition, structs = F.col("grouping") == index, row_structs(entries, names)
+        chosen = F.when(condition, structs) if chosen is None else chosen.when(condition, structs)
+    return sums.select(F.inline(chosen))
 
 
 def kpi_sums(s: Survey, table: str, kpis: Sequence[Kpi], **options) -> DataFrame:
@@ -112,20 +127,31 @@ def behaviour_spec(s: Survey) -> DataFrame:
             for k in kpis
         ]
 
-    parts = [
-        long_table(kpi_sums(s, table, kpis, **options), rows(kpis), BEHAVIOUR_COLUMNS)
-        for table, kpis, options in (
-            ("base_saude", [strict], {}),
-            ("base_comportamento", [care_all, remote], {}),
-            ("base_comportamento", [care_cases], {"match": cases}),
-        )
+    health = long_table(kpi_sums(s, "base_saude", [strict]), rows([strict]), BEHAVIOUR_COLUMNS)
+    of_cases = long_table(
+        kpi_sums(s, "base_comportamento", [care_cases], match=cases), rows([care_cases]),
+        BEHAVIOUR_COLUMNS,
+    )
+    # One pass by month and labour status serves the monthly indicators and the composition.
+    by = [V.PERIOD, V.LABOUR_STATUS]
+    sums = s.sums("base_comportamento", M.sums_of([care_all.ratio, remote.ratio]), by)
+    monthly, total, by_status = range(3)
+    groups = W.regroup(sums, by, [[V.PERIOD], [], [V.LABOUR_STATUS]])
+    groups = groups.withColumn(V.PERIOD, F.coalesce(V.PERIOD, F.lit(V.TOTAL)))
+    classified = (F.col("grouping") == by_status) & (F.col(V.LABOUR_STATUS) != V.NOT_APPLICABLE)
+    people = F.when(classified, F.col(s.weight.everyone))
+    share = safe_ratio(people, F.sum(people).over(Window.partitionBy("grouping")), 100.0)
+    groups = groups.withColumn("share", share)  # a row per month and status at most
+    kpis = rows([care_all, remote])
+    composition = [
+        (_text(V.TOTAL), _text(V.LABOUR_STATUS), F.col(V.LABOUR_STATUS), F.col("share"),
+         _text("mercado_trabalho"))
     ]
-    labour = A.labour_status_population(s).select(
-        _text(V.TOTAL).alias("mes_ref"), _text(V.LABOUR_STATUS).alias("variavel"),
-        F.col("situacao").alias("descricao"), F.col("pct").alias("pct_ponderado"),
-        _text("mercado_trabalho").alias("grupo"),
+    behaviour = by_grouping(
+        groups.where((F.col("grouping") != by_status) | F.col("share").isNotNull()),
+        {monthly: kpis, total: kpis, by_status: composition}, BEHAVIOUR_COLUMNS,
     )
-    return stack([*parts, labour])
+    return stack([health, behaviour, of_cases])
 
 
 # ---- economy -------------------------------------------------------------------------------
@@ -152,43 +178,50 @@ def economic_spec(s: Survey) -> DataFrame:
         Kpi(M.share("no_income", F.col(V.HAS_INCOME) == 0, s.weight, empty="zero"),
             V.HAS_INCOME, "Sem renda efetiva no mês", "renda"),
     ]
+    income_mean = M.mean("income_mean", V.INCOME, s.weight, where=F.col(V.INCOME) > 0)
     nothing = F.lit(None).cast("double")
-    monthly = long_table(
-        kpi_sums(s, "base_economico", kpis),
-        [
-            (F.col(V.PERIOD), _text(k.variable), _text(k.description),
-             nothing if k.amount else k.ratio.result(),
-             k.ratio.result() if k.amount else nothing, _text(k.group))
-            for k in kpis
-        ],
-        ECONOMY_COLUMNS,
-    )
 
-    def overall(df: DataFrame, variable: str, label: Column, pct: Column, amount: Column,
-                group: str) -> DataFrame:
-        values = [_text(V.TOTAL), _text(variable), label, pct, amount, _text(group)]
-        return df.select(*[v.alias(n) for n, v in zip(ECONOMY_COLUMNS, values)])
-
-    summary = A.income_summary(s)
-    income = long_table(
-        summary,
-        [
-            (_text(V.TOTAL), _text(V.INCOME), _text(label), nothing, F.col(c).cast("double"),
-             _text("renda"))
-            for label, c in (("Mediana renda efetiva", "mediana"), ("Média renda efetiva", "media"))
-        ],
-        ECONOMY_COLUMNS,
+    def amount(variable: str, label: Column, value: Column, group: str) -> tuple[Column, ...]:
+        return (_text(V.TOTAL), _text(variable), label, nothing, value, _text(group))
+
+    # One pass by month, region and overlap group serves every block below but the median.
+    by = [V.PERIOD, "regiao", "grupo"]
+    overlap = overlap_groups(V.AID, V.FAMILY_AID, V.SPEC_OVERLAP_LABELS, V.YES, "unknown")
+    sums = s.sums(
+        "base_economico", M.sums_of([*[k.ratio for k in kpis], income_mean]), by,
+        derive={"grupo": overlap},
     )
-    overlap = overall(
-        A.benefit_overlap(s, V.SPEC_OVERLAP_LABELS, "unknown"), "sobreposicao_bf_ae",
-        F.col("grupo"), F.col("pct"), nothing, "sobreposicao",
+    monthly, total, by_region, by_overlap = range(4)
+    groups = W.regroup(sums, by, [[V.PERIOD], [], ["regiao"], ["grupo"]])
+    groups = groups.withColumn(V.PERIOD, F.coalesce(V.PERIOD, F.lit(V.TOTAL)))
+    everyone = F.col(s.weight.everyone)
+    share = safe_ratio(everyone, F.sum(everyone).over(Window.partitionBy("grouping")), 100.0)
+    groups = groups.withColumn("share", share)  # a few dozen rows
+    kpi_rows = [
+        (F.col(V.PERIOD), _text(k.variable), _text(k.description),
+         nothing if k.amount else k.ratio.result(),
+         k.ratio.result() if k.amount else nothing, _text(k.group))
+        for k in kpis
+    ]
+    aid = A.aid_mean(s, "aid_mean")  # the monthly one's sums, null where nobody is paid
+    mean_row = amount(V.INCOME, _text("Média renda efetiva"), income_mean.result(), "renda")
+    region_row = amount(
+        "valor_auxilio_regiao", F.concat(F.lit("Auxílio médio - "), "regiao"), aid.result(),
+        "renda_regiao",
+    )
+    overlap_row = (
+        _text(V.TOTAL), _text("sobreposicao_bf_ae"), F.col("grupo"), F.col("share"), nothing,
+        _text("sobreposicao"),
     )
-    regional = A._table(
-        s, "base_economico", [A.aid_mean(s)], ["regiao"],
-        where=A.has(V.AID) & F.col(V.AID_AMOUNT).isNotNull(), skip=["regions"],
+    blocks = by_grouping(
+        groups.where((F.col("grouping") != by_region) | aid.result().isNotNull()),
+        {monthly: kpi_rows, total: [*kpi_rows, mean_row], by_region: [region_row],
+         by_overlap: [overlap_row]},
+        ECONOMY_COLUMNS,
     )
-    aid = overall(
-        regional, "valor_auxilio_regiao", F.concat(F.lit("Auxílio médio - "), "regiao"),
-        nothing, F.col("valor_medio"), "renda_regiao",
+    median = long_table(
+        W.weighted_median(A.earners(s), V.INCOME, s.weight),
+        [amount(V.INCOME, _text("Mediana renda efetiva"), F.col("median").cast("double"), "renda")],
+        ECONOMY_COLUMNS,
     )
-    return stack([monthly, income, overlap, aid])
+    return stack([blocks, median])

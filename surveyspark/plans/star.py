@@ -242,9 +242,15 @@ class Survey:
         match: DataFrame | None = None,
         match_by: Sequence[str] = (),
         how: str = "inner",
+        derive: Mapping[str, Column] | None = None,
     ) -> DataFrame:
-        """Sums over a fact, optionally joined with another table on the panel key."""
+        """Sums over a fact, optionally joined with another table on the panel key.
+
+        ``derive`` adds columns to group by.
+        """
         df = self._region_rows(self._period_rows(table), skip)
+        if derive:
+            df = df.withColumns(dict(derive))
         if where is not None:
             df = df.where(where)
         people = self.people(skip)

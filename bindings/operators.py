@@ -823,33 +823,37 @@ def _sides(spark, sf):
     left = s.tables["base_saude"].select(
         *V.PANEL_KEY_WITH_PERIOD, V.HAS_SYMPTOM, s.weight.per_row().alias("w")
     )
-    return s, left, s.tables["base_comportamento"].withColumnRenamed(V.PERIOD, "mes_b")
+    return s, left, s.tables["base_comportamento"]
 
 
-def _join_report(df: DataFrame, *by: str) -> DataFrame:
-    return df.groupBy(*by).agg(
-        F.count("*").alias("rows"), F.round(F.sum("w") / 100.0, 2).alias("pop")
-    )
+def _counts() -> dict[str, Column]:
+    return {"rows": F.lit(1), "w": F.col("w")}
 
 
-J1_SQL = (
-    PANEL_SQL + f"SELECT a.MES_REF, b.{V.LABOUR_STATUS}, count(*) AS rows, round(CAST(sum(a.w) AS DOUBLE), 2) AS pop "
-    f"FROM m a JOIN m b ON {KEY4} GROUP BY 1, 2"
-)
+def _people(sums: DataFrame, *by: str) -> DataFrame:
+    return sums.select(*by, "rows", F.round(F.col("w") / 100.0, 2).alias("pop"))
 
 
-@operator("j1_panel_inner_join", J1_SQL)
+@operator(
+    "j1_panel_inner_join",
+    PANEL_SQL + f"SELECT a.MES_REF, b.{V.LABOUR_STATUS}, count(*) AS rows, round(CAST(sum(a.w) AS DOUBLE), 2) AS pop "
+    f"FROM m a JOIN m b ON {KEY4} GROUP BY 1, 2",
+)
 def _(spark, sf):
     _, left, right = _sides(spark, sf)
-    joined = J.panel_join(left, right, V.PANEL_KEY, [V.LABOUR_STATUS])
-    return _join_report(joined, V.PERIOD, V.LABOUR_STATUS)
+    sums = J.joined_sums(left, right, _counts(), V.PANEL_KEY, [V.PERIOD], [V.LABOUR_STATUS])
+    return _people(sums, V.PERIOD, V.LABOUR_STATUS)
 
 
-@operator("j1_panel_inner_join_hot_keys_split", J1_SQL)
+@operator(
+    "j1_row_level_join_hot_keys_split",
+    f"SELECT {YEAR_SQL} AS MES_REF, l_linenumber, l_partkey, o_orderpriority, o_orderkey AS l_orderkey FROM lineitem "
+    "JOIN orders ON l_orderkey = o_orderkey",
+)
 def _(spark, sf):
-    _, left, right = _sides(spark, sf)
-    joined = J.panel_join(left, right, V.PANEL_KEY, [V.LABOUR_STATUS], hot_keys=16)
-    return _join_report(joined, V.PERIOD, V.LABOUR_STATUS)
+    li = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
+    right = orders(spark, sf).withColumnRenamed("o_orderkey", "l_orderkey")
+    return J.panel_join(li, right, ["l_orderkey"], ["o_orderpriority", V.PERIOD], hot_keys=16)
 
 
 @operator(
@@ -874,8 +878,19 @@ def _(spark, sf):
 def _(spark, sf):
     s, left, _ = _sides(spark, sf)
     location = s.tables["dim_localizacao"].where(F.col("regiao") != "ASIA")
-    joined = J.panel_join(left, location, columns=["regiao"], how="left", hot_keys=16)
-    return _join_report(joined, V.PERIOD, "regiao")
+    sums = J.joined_sums(left, location, _counts(), left_by=[V.PERIOD], right_by=["regiao"], how="left")
+    return _people(sums, V.PERIOD, "regiao")
+
+
+@operator(
+    "j3_row_level_left_join_hot_keys_split",
+    "SELECT l_orderkey, l_linenumber, l_partkey, o_orderpriority FROM lineitem LEFT JOIN "
+    "(SELECT * FROM orders WHERE o_orderstatus <> 'P') ON l_orderkey = o_orderkey",
+)
+def _(spark, sf):
+    li = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
+    right = orders(spark, sf).where(~status("P")).withColumnRenamed("o_orderkey", "l_orderkey")
+    return J.panel_join(li, right, ["l_orderkey"], ["o_orderpriority"], "left", hot_keys=16)
 
 
 def _year_sums(e: str, source: str, name: str, where: str = "true") -> str:
@@ -935,11 +950,11 @@ def _(spark, sf):
 def _(spark, sf):
     s, left, _ = _sides(spark, sf)
     subset = left.where(F.col(V.HAS_SYMPTOM) == 1)
-    joined = J.panel_join(subset, s.tables["base_comportamento"], columns=[V.HOME_OFFICE])
-    share = C.safe_ratio(
-        F.sum(F.when(F.col(V.HOME_OFFICE) == V.YES, F.col("w"))), F.sum("w"), 100.0
-    )
-    return rounded(joined.agg(share.alias("pct"), F.count("*").alias("rows")))
+    answers = s.tables["base_comportamento"]
+    sums = J.joined_sums(subset, answers, _counts(), right_by=[V.HOME_OFFICE])
+    hit = F.sum(F.when(F.col(V.HOME_OFFICE) == V.YES, F.col("w")))
+    share = C.safe_ratio(hit, F.sum("w"), 100.0)
+    return rounded(sums.agg(share.alias("pct"), F.sum("rows").alias("rows")))
 
 
 @operator(

@@ -35,9 +35,12 @@ def additive_sums(df: DataFrame, sums: Mapping[str, Column], by: Sequence[str] =
 
 
 def _heavy_keys(df: DataFrame, keys: Sequence[str], n: int) -> DataFrame:
-    """The ``n`` most frequent keys (a top-k, so at most ``n`` rows)."""
+    """The ``n`` most frequent keys (a top-k, so at most ``n`` rows).
+
+    Ties are broken by key: both sides of a join must see the same list.
+    """
     return (
-        df.groupBy(*keys).count().orderBy(F.desc("count")).limit(n)
+        df.groupBy(*keys).count().orderBy(F.desc("count"), *keys).limit(n)
         .select(*keys, F.lit(True).alias("__hot"))
     )
 

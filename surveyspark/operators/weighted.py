@@ -20,6 +20,8 @@ from surveyspark.functions.measures import Ratio, Weight, as_weight
 from surveyspark.operators.joins import additive_sums, null_safe
 from surveyspark.operators.reshape import to_long
 
+SAMPLE_PER_SLICE = 16
+
 # ---- one pass for any number of ratios ---------------------------------------------------
 
 
@@ -325,10 +327,14 @@ def running_weight(
     """(by..., x, weight, cumulative, total) per distinct value, weights in summed units.
 
     A running sum orders a whole group.  To keep a large group out of a single task the
-    values are cut into ``slices`` ranges at approximate quantiles; each slice is summed,
-    the few slice totals are accumulated, and each slice then runs on its own from where
-    the one before it ended.  The cut points affect balance only: sums are exact.
+    values are cut into ``slices`` ranges; each slice is summed, the few slice totals are
+    accumulated, and each slice then runs on its own from where the one before it ended.
+
+    The cut points come from the values of lowest hash, an even sample that any evaluation
+    repeats exactly.  They affect balance only: sums are exact.
     """
+    if slices < 2:
+        raise ValueError("at least two slices are needed")
     by = list(by)
     values = (
         df.where(F.col(x).isNotNull())
@@ -337,8 +343,15 @@ def running_weight(
         # All uses below read this table with its weight, so its shuffle is done once.
         .where(F.col("weight").isNotNull())
     )
-    at = [i / slices for i in range(1, slices)]
-    cuts = values.agg(F.percentile_approx(x, at, slices * 20))
+    sample = (
+        values.orderBy(F.xxhash64(*by, x), *by, x)
+        .limit(slices * SAMPLE_PER_SLICE)
+        .agg(F.array_sort(F.collect_list(x)).alias("s"))
+    )
+    position = lambda i: F.floor(i * F.size("s") / slices).cast("int")
+    cuts = sample.select(
+        F.transform(F.sequence(F.lit(1), F.lit(slices - 1)), lambda i: F.get("s", position(i)))
+    )
     sliced = (
         values.withColumn("__cuts", cuts.scalar())
         .withColumn("__slice", F.size(F.filter("__cuts", lambda c: c < F.col(x))))
@@ -357,7 +370,8 @@ def running_weight(
     )
     if _around_half:
         totals = totals.where(
-            (F.col("__upto") * 2 >= F.col("total")) & (F.col("__before") * 2 < F.col("total"))
+            (F.col("__upto") * 2 >= F.col("total"))
+            & ((F.col("__before") * 2 < F.col("total")) | (F.col("total") == 0))
         )
     totals = totals.select(
         *[F.col(c).alias(f"__{c}") for c in by], F.col("__slice").alias("__at"), "__before", "total"

@@ -147,6 +147,26 @@ def test_median_and_running_weight_equal_expansion(spark, data, slices):
     assert len(run) == len({(g, x) for g, x, _ in data})
 
 
+def test_median_of_zero_weights_is_the_smallest_value(spark):
+    df = spark.createDataFrame([(3, 0), (1, 0), (2, 0)], "x int, w int")
+    assert rows(W.weighted_median(df, "x", "w")) == [(1,)]
+
+
+def test_slices_are_balanced_on_a_heavy_tail(spark):
+    """A third of all rows on one value, the rest spread over four orders of magnitude."""
+    df = spark.range(60_000).select(
+        F.when(F.col("id") % 3 == 0, 7.0).otherwise(F.pow(F.lit(1.0003), F.col("id"))).alias("x"),
+        F.lit(1).alias("w"),
+    )
+    run = W.running_weight(df, "x", Weight("w", 0), slices=32)
+    assert run.count() == df.select("x").distinct().count()
+    plan = run._jdf.queryExecution().optimizedPlan().toString()
+    assert "percentile" not in plan
+    expected = df.groupBy("x").agg(F.sum("w").alias("n"))
+    cut = expected.where(F.col("x") <= 7.0).agg(F.sum("n")).first()[0]
+    assert run.where(F.col("x") == 7.0).first()["cumulative"] == cut
+
+
 @QUICK
 @given(data=DATA)
 def test_shares_add_up(spark, data):

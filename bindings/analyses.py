@@ -393,6 +393,17 @@ ANALYSES: dict[str, tuple[Query, str]] = {
         "CAST(sum(p) OVER () AS DOUBLE) * 100, 6) AS pct FROM ("
         + REASON.replace("FROM m", "FROM f") + "GROUP BY 1 ORDER BY p DESC, motivo NULLS LAST LIMIT 6)",
     ),
+    "selection_income_median": (
+        on(A.income_summary, selection=SELECTION),
+        PANEL_SQL + filtered(SELECTED_PEOPLE, SELECTED_REGION)
+        + f"SELECT CAST({MEDIAN.replace('FROM m', 'FROM f')} AS DOUBLE) AS mediana, "
+        f"{INCOME_MEAN.replace('FROM m', 'FROM f')} AS media, CAST(1045 AS DOUBLE) AS salario_minimo",
+    ),
+    "selection_benefit_overlap": (
+        on(A.benefit_overlap, selection=SELECTION),
+        PANEL_SQL + filtered(SELECTED_PEOPLE, SELECTED_REGION)
+        + distribution(overlap_sql(V.OVERLAP_LABELS, False), "grupo").replace("FROM m", "FROM f"),
+    ),
 }
 
 

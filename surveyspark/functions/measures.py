@@ -29,9 +29,12 @@ class Weight:
 
     column: str = V.WEIGHT
     digits: int | None = None
+    summed: bool = False  # the column already holds a sum of ``per_row`` values
 
     def per_row(self) -> Column:
         w = F.col(self.column)
+        if self.summed:
+            return w
         if self.digits is None:
             return w.cast("double")
         return F.rint(w.cast("double") * float(10**self.digits)).cast("bigint")

@@ -70,7 +70,7 @@ def panel_join(
     heavy = F.broadcast(_heavy_keys(left, keys, hot_keys))  # at most hot_keys rows
     # Row content plus task number: copies of one row spread out too, and a retried task
     # puts every row where it was before.
-    content = F.xxhash64(*[F.col(c) for c in left.columns])
+    content = F.pmod(F.xxhash64(*[F.col(c) for c in left.columns]), F.lit(salts))
     spread = F.pmod(content + F.spark_partition_id(), F.lit(salts)).cast("int")
     salted_left = left.join(heavy, keys, "left").select(
         left["*"], F.when(F.col("__hot"), spread).otherwise(0).alias("__salt")
@@ -105,18 +105,21 @@ def joined_sums(
     left_by: Sequence[str] = (),
     right_by: Sequence[str] = (),
     how: str = "inner",
+    within: DataFrame | None = None,
 ) -> DataFrame:
     """Sums of left-side expressions over ``left JOIN right``, by columns of either side.
 
     Both sides are aggregated on the key first; a left sum then counts once per matching
     right row.  ``left_semi`` counts it once.  ``left`` keeps unmatched rows, their
-    right-side groups null.
+    right-side groups null.  ``within`` first restricts the left side to keys it contains.
     """
     keys = list(keys)
     if clash := set(right_by) & set(keys):
         raise ValueError(f"group key columns by the left side: {sorted(clash)}")
     by = [*left_by, *right_by]
     partial = additive_sums(left, sums, dict.fromkeys([*keys, *left_by]))
+    if within is not None:
+        partial = partial.join(within.select(*keys).distinct(), keys, "left_semi")
     if how == "left_semi":
         matched = partial.join(right.select(*keys).distinct(), keys, "left_semi")
         return additive_sums(matched, {name: F.col(name) for name in sums}, by)

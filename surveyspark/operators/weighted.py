@@ -258,11 +258,20 @@ def top_k_weighted(
 
     ``base``: percentages of ``all`` categories, or of the ``topk`` alone.
     """
-    if base not in ("all", "topk"):
-        raise ValueError(f"unknown base {base!r}")
-    table = weighted_distribution(df, c, w, nulls)
+    return top_k_of(weighted_population(df, [c], w), c, k, base, nulls)
+
+
+def top_k_of(
+    pops: DataFrame, c: str, k: int = 6, base: str = "all", nulls: str = "drop"
+) -> DataFrame:
+    """The k heaviest categories of a population table."""
+    if base not in ("all", "topk") or nulls not in ("drop", "keep"):
+        raise ValueError(f"unknown policy {base!r}, {nulls!r}")
+    if nulls == "drop":
+        pops = pops.where(F.col(c).isNotNull())
+    table = with_total_share(pops) if base == "all" else pops
     top = table.orderBy(F.desc("pop"), F.col(c).asc_nulls_last()).limit(k)
-    return with_total_share(top.drop("pct")) if base == "topk" else top
+    return top if base == "all" else with_total_share(top)
 
 
 def overlap_distribution(

@@ -319,8 +319,8 @@ def away_reasons(s: Survey, k: int = 6, base: str = "topk", nulls: str = "keep")
     The default shares are of the k reasons shown, an unanswered reason among them;
     ``base="all", nulls="drop"`` gives shares of all reasons stated.
     """
-    away = s.fact("base_comportamento").where(has(V.AWAY))
-    return W.top_k_weighted(away, V.AWAY_REASON, k, s.weight, base, nulls).withColumnRenamed(
+    pops = _population(s, "base_comportamento", [V.AWAY_REASON], where=has(V.AWAY))
+    return W.top_k_of(pops, V.AWAY_REASON, k, base, nulls).withColumnRenamed(
         V.AWAY_REASON, "motivo"
     )
 
@@ -361,9 +361,9 @@ def benefit_overlap(
     s: Survey, labels: Sequence[str] = V.OVERLAP_LABELS, null_policy: str = "absent"
 ) -> DataFrame:
     """Receiving both benefits, one of them, or none."""
-    fact = s.fact("base_economico")
-    grouped = fact.withColumn("grupo", overlap_groups(V.AID, V.FAMILY_AID, labels, V.YES, null_policy))
-    return W.weighted_distribution(grouped, "grupo", s.weight).orderBy(F.desc("pct"), "grupo")
+    group = overlap_groups(V.AID, V.FAMILY_AID, labels, V.YES, null_policy)
+    pops = _population(s, "base_economico", ["grupo"], derive={"grupo": group})
+    return W.with_total_share(pops).orderBy(F.desc("pct"), "grupo")
 
 
 def income_suppression(s: Survey) -> DataFrame:
@@ -376,8 +376,14 @@ def income_suppression(s: Survey) -> DataFrame:
 
 
 def earners(s: Survey) -> DataFrame:
-    """People with a positive effective income."""
-    return s.fact("base_economico").where(F.col(V.INCOME) > 0)
+    """Positive effective incomes with the weight of the people who have them, as ``w``."""
+    return s.sums(
+        "base_economico", {"w": s.weight.per_row()}, [V.INCOME], where=F.col(V.INCOME) > 0
+    )
+
+
+def earners_weight(s: Survey) -> M.Weight:
+    return M.Weight("w", s.weight.digits, summed=True)
 
 
 def income_histogram(
@@ -386,17 +392,17 @@ def income_histogram(
 ) -> DataFrame:
     """Population by income bracket; incomes above ``hi`` in the last one, or left out."""
     return W.weighted_histogram(
-        earners(s), V.INCOME, bins, hi, lo, overflow, s.weight
+        earners(s), V.INCOME, bins, hi, lo, overflow, earners_weight(s)
     ).orderBy("bin")
 
 
 def income_summary(s: Survey) -> DataFrame:
     """Median and mean income of earners, and the minimum wage next to them."""
-    people = earners(s)
+    incomes, w = earners(s), earners_weight(s)
     return W.headline(
         [
-            W.weighted_median(people, V.INCOME, s.weight, name="mediana"),
-            W.weighted_mean(people, V.INCOME, s.weight).withColumnRenamed("mean", "media"),
+            W.weighted_median(incomes, V.INCOME, w, name="mediana"),
+            W.weighted_mean(incomes, V.INCOME, w).withColumnRenamed("mean", "media"),
         ]
     ).withColumn("salario_minimo", F.lit(V.MINIMUM_WAGE))
 

@@ -220,7 +220,7 @@ def economic_spec(s: Survey) -> DataFrame:
         ECONOMY_COLUMNS,
     )
     median = long_table(
-        W.weighted_median(A.earners(s), V.INCOME, s.weight),
+        W.weighted_median(A.earners(s), V.INCOME, A.earners_weight(s)),
         [amount(V.INCOME, _text("Mediana renda efetiva"), F.col("median").cast("double"), "renda")],
         ECONOMY_COLUMNS,
     )

@@ -24,7 +24,7 @@ from surveyspark.functions.columns import (
 )
 from surveyspark.functions.measures import Weight
 from surveyspark.operators.filters import Options, Selection, _active, demographic_filter
-from surveyspark.operators.joins import additive_sums, joined_sums, semi_filter
+from surveyspark.operators.joins import additive_sums, joined_sums
 from surveyspark.operators.recode import dim_dictionary, dim_location, dim_profile, dim_time, project_block
 from surveyspark.sinks.tables import overwrite_period, remove_folder, write_partitioned
 from surveyspark.sources.dictionary import Dictionary
@@ -211,12 +211,17 @@ class Survey:
             df = df.where(F.col("regiao").isin(*self.selection.regions))
         return df
 
-    def fact(self, table: str, skip: Sequence[str] = ()) -> DataFrame:
-        """Rows of a fact in the chosen months and demographic selection, region attached."""
+    def fact(
+        self, table: str, skip: Sequence[str] = (), hot_keys: int | None = None
+    ) -> DataFrame:
+        """Rows of a fact in the chosen months and demographic selection, region attached.
+
+        The analyses use :meth:`sums` instead, which reduces the rows before it joins.
+        """
         df = self._region_rows(self._period_rows(table), skip)
         return demographic_filter(
             df, self._period_rows("dim_perfil"), self.selection, self.options,
-            ["regions", *skip], self.keys, self.regions,
+            ["regions", *skip], self.keys, self.regions, hot_keys,
         )
 
     def people(self, skip: Sequence[str] = ()) -> DataFrame | None:
@@ -254,13 +259,11 @@ class Survey:
         if where is not None:
             df = df.where(where)
         people = self.people(skip)
-        if match is None:
-            if people is None:
-                return additive_sums(df, sums, by)
-            return joined_sums(df, people, sums, self.keys, by, how="left_semi")
+        if match is not None:
+            return joined_sums(df, match, sums, self.keys, by, match_by, how, within=people)
         if people is not None:
-            df = semi_filter(df, people, self.keys)
-        return joined_sums(df, match, sums, self.keys, by, match_by, how)
+            return joined_sums(df, people, sums, self.keys, by, how="left_semi")
+        return additive_sums(df, sums, by)
 
     def by_profile(
         self, table: str, sums: Mapping[str, Column], columns: Sequence[str],

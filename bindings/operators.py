@@ -14,9 +14,7 @@ from pyspark.sql import functions as F
 from bindings.panel import (
     JOIN_KEY,
     PANEL_SQL,
-    REGION_NAMES,
     YEARS,
-    _answer,
     avg_sql,
     dictionary,
     pct,

@@ -69,7 +69,7 @@ class Options:
     regions: Sequence[str] = tuple(V.REGIONS)
 
 
-def _active(chosen: Sequence[str] | None, options: Sequence[str]) -> bool:
+def is_partial(chosen: Sequence[str] | None, options: Sequence[str]) -> bool:
     return chosen is not None and 0 < len(chosen) < len(options)
 
 
@@ -91,14 +91,14 @@ def demographic_filter(
     state and needs no join.
     """
     conditions: list[Column] = []
-    if "age_bands" not in skip and _active(selection.age_bands, options.age_bands):
+    if "age_bands" not in skip and is_partial(selection.age_bands, options.age_bands):
         conditions.append(F.col("faixa_etaria").isin(*selection.age_bands))
-    if "sexes" not in skip and _active(selection.sexes, options.sexes):
+    if "sexes" not in skip and is_partial(selection.sexes, options.sexes):
         conditions.append(F.col("sexo").isin(*selection.sexes))
     if conditions:
         wanted = profile.where(reduce(Column.__and__, conditions))
         fact = semi_filter(fact, wanted, keys, hot_keys)
-    if "regions" not in skip and _active(selection.regions, options.regions):
+    if "regions" not in skip and is_partial(selection.regions, options.regions):
         fact = fact.where(map_hierarchy("uf", regions).isin(*selection.regions))
     return fact
 

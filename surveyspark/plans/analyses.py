@@ -22,10 +22,11 @@ from surveyspark.operators.reshape import stack, to_long, to_matrix
 from surveyspark.plans.star import Survey
 
 
-def _table(
+def table_of(
     s: Survey, table: str, ratios: Sequence[Ratio], by: Sequence[str] = (),
     total_label: str | None = None, total_over: str = V.PERIOD, **options,
 ) -> DataFrame:
+    """Ratios over one fact by groups; ``options`` go to :meth:`Survey.sums`."""
     sums = s.sums(table, M.sums_of(ratios), by, **options)
     groups = [*by, *options.get("match_by", ())]
     if total_label is not None:
@@ -33,7 +34,8 @@ def _table(
     return W.finish(sums, ratios, groups)
 
 
-def _population(s: Survey, table: str, by: Sequence[str], **options) -> DataFrame:
+def population_of(s: Survey, table: str, by: Sequence[str], **options) -> DataFrame:
+    """Estimated people of one fact by groups; ``options`` go to :meth:`Survey.sums`."""
     sums = s.sums(table, {"pop": s.weight.per_row()}, by, **options)
     return sums.withColumn("pop", s.weight.population(F.col("pop")))
 
@@ -64,13 +66,13 @@ def any_comorbidity() -> Column:
 
 def symptom_prevalence(s: Survey) -> DataFrame:
     """Share of the population with each symptom."""
-    table = _table(s, "base_saude", M.answer_shares(V.SYMPTOMS, w=s.weight))
+    table = table_of(s, "base_saude", M.answer_shares(V.SYMPTOMS, w=s.weight))
     return to_long(table, [], V.SYMPTOMS, "sintoma", "pct").orderBy("pct", "sintoma")
 
 
 def symptom_evolution(s: Survey) -> DataFrame:
     """Share with each symptom, month by month."""
-    table = _table(s, "base_saude", M.answer_shares(V.SYMPTOMS, w=s.weight), [V.PERIOD])
+    table = table_of(s, "base_saude", M.answer_shares(V.SYMPTOMS, w=s.weight), [V.PERIOD])
     long = to_long(table, [V.PERIOD], V.SYMPTOMS, "sintoma", "pct")
     return _by_month(long, s, "sintoma", "pct")
 
@@ -84,7 +86,7 @@ def symptom_evolution_matrix(s: Survey) -> DataFrame:
 
 def symptom_count(s: Survey) -> DataFrame:
     """Population by number of symptoms reported."""
-    table = _population(s, "base_saude", [V.SYMPTOM_COUNT])
+    table = population_of(s, "base_saude", [V.SYMPTOM_COUNT])
     return (
         W.with_total_share(table).withColumnRenamed(V.SYMPTOM_COUNT, "qtd").orderBy("qtd")
     )
@@ -99,7 +101,7 @@ def testing(s: Survey) -> DataFrame:
         M.conditional_ratio("positive_tested", positive, tested, s.weight),
     ]
     labels = dict(zip([r.name for r in ratios], V.TEST_LABELS))
-    return to_long(_table(s, "base_saude", ratios), [], labels, "indicador", "pct")
+    return to_long(table_of(s, "base_saude", ratios), [], labels, "indicador", "pct")
 
 
 def comorbidities_vs_positive(s: Survey) -> DataFrame:
@@ -109,7 +111,7 @@ def comorbidities_vs_positive(s: Survey) -> DataFrame:
     infected = [
         M.share(f"{c}__positive", has(c), s.weight, within=positive) for c in V.COMORBIDITIES
     ]
-    table = _table(s, "base_saude", everyone + infected)
+    table = table_of(s, "base_saude", everyone + infected)
     rows = [
         F.struct(
             F.lit(label).alias("comorbidade"), F.col(c + suffix).alias("pct"),
@@ -160,7 +162,7 @@ def symptom_rate_age_sex_matrix(s: Survey, sexes: Sequence[str]) -> DataFrame:
 
 def symptoms_by_region(s: Survey) -> DataFrame:
     """Symptomatic share by region and month."""
-    table = _table(
+    table = table_of(
         s, "base_saude", [M.flag_rate("pct", V.HAS_SYMPTOM, s.weight)], ["regiao", V.PERIOD],
         skip=["regions"],
     )
@@ -183,7 +185,7 @@ def symptomatic_with_comorbidity(s: Survey) -> DataFrame:
         M.share("pct_entre_sint", any_comorbidity(), s.weight, symptomatic(), empty="zero"),
         M.share("pct_populacao", symptomatic() & any_comorbidity(), s.weight, empty="zero"),
     ]
-    return _table(s, "base_saude", ratios)
+    return table_of(s, "base_saude", ratios)
 
 
 # ---- behaviour -----------------------------------------------------------------------------
@@ -191,7 +193,7 @@ def symptomatic_with_comorbidity(s: Survey) -> DataFrame:
 
 def isolation_levels(s: Survey) -> DataFrame:
     """Population by level of contact restriction, declared levels only."""
-    table = _population(
+    table = population_of(
         s, "base_saude", [V.ISOLATION], where=F.col(V.ISOLATION).isin(*V.ISOLATION_LEVELS)
     )
     return W.with_total_share(table).select(
@@ -203,10 +205,10 @@ def isolation_levels(s: Survey) -> DataFrame:
 
 def isolation_by_labour_status(s: Survey) -> DataFrame:
     """Contact restriction inside each labour-market status."""
-    status = s._period_rows("base_comportamento").where(
+    status = s.period_rows("base_comportamento").where(
         F.col(V.LABOUR_STATUS) != V.NOT_APPLICABLE
     )
-    table = _population(
+    table = population_of(
         s, "base_saude", [V.ISOLATION],
         where=F.col(V.ISOLATION).isin(*V.ISOLATION_LEVELS),
         match=status, match_by=[V.LABOUR_STATUS],
@@ -232,7 +234,7 @@ def behaviour_evolution(s: Survey) -> DataFrame:
     labels = dict(zip(["strict", "care", "home_office"], V.BEHAVIOUR_LABELS))
     parts = [
         to_long(
-            _table(s, table, ratios, [V.PERIOD]), [V.PERIOD],
+            table_of(s, table, ratios, [V.PERIOD]), [V.PERIOD],
             {r.name: labels[r.name] for r in ratios}, "indicador", "pct",
         )
         for table, ratios in (("base_saude", health), ("base_comportamento", behaviour))
@@ -243,10 +245,10 @@ def behaviour_evolution(s: Survey) -> DataFrame:
 def care_seeking(s: Survey) -> DataFrame:
     """Care-seeking share of the population and of the symptomatic."""
     ratio = M.share("pct", has(V.CARE_SOUGHT), s.weight)
-    cases = s._period_rows("base_saude").where(symptomatic())
+    cases = s.period_rows("base_saude").where(symptomatic())
     return stack(
         [
-            _table(s, "base_comportamento", [ratio], **options).select(
+            table_of(s, "base_comportamento", [ratio], **options).select(
                 F.lit(group).alias("grupo"), "pct"
             )
             for group, options in (
@@ -258,14 +260,14 @@ def care_seeking(s: Survey) -> DataFrame:
 
 def care_places(s: Survey) -> DataFrame:
     """Where care was sought, among people who sought it."""
-    seekers = s._period_rows("base_comportamento").where(has(V.CARE_SOUGHT))
-    table = _table(s, "base_saude", M.answer_shares(V.CARE_PLACES, w=s.weight), match=seekers)
+    seekers = s.period_rows("base_comportamento").where(has(V.CARE_SOUGHT))
+    table = table_of(s, "base_saude", M.answer_shares(V.CARE_PLACES, w=s.weight), match=seekers)
     return to_long(table, [], V.CARE_PLACES, "local", "pct").orderBy("pct", "local")
 
 
 def labour_status_population(s: Survey) -> DataFrame:
     """Population and share by labour-market status."""
-    table = _population(
+    table = population_of(
         s, "base_comportamento", [V.LABOUR_STATUS],
         where=F.col(V.LABOUR_STATUS) != V.NOT_APPLICABLE,
     )
@@ -276,7 +278,7 @@ def labour_status_population(s: Survey) -> DataFrame:
 
 def labour_status_evolution(s: Survey) -> DataFrame:
     """Labour-market composition of each month."""
-    table = _population(
+    table = population_of(
         s, "base_comportamento", [V.PERIOD, V.LABOUR_STATUS],
         where=F.col(V.LABOUR_STATUS) != V.NOT_APPLICABLE,
     )
@@ -298,7 +300,7 @@ def labour_status_by_age(s: Survey) -> DataFrame:
 
 def home_office_by_region(s: Survey, total_label: str = V.TOTAL) -> DataFrame:
     """Home office among people who worked, by region and overall."""
-    return _table(
+    return table_of(
         s, "base_comportamento", [M.share("pct", has(V.HOME_OFFICE), s.weight)], ["regiao"],
         total_label, "regiao", where=has(V.WORKED), skip=["regions"],
     ).orderBy("pct")
@@ -306,7 +308,7 @@ def home_office_by_region(s: Survey, total_label: str = V.TOTAL) -> DataFrame:
 
 def home_office_evolution(s: Survey) -> DataFrame:
     """Home office among people who worked, by region and month."""
-    table = _table(
+    table = table_of(
         s, "base_comportamento", [M.share("pct", has(V.HOME_OFFICE), s.weight)],
         ["regiao", V.PERIOD], where=has(V.WORKED), skip=["regions"],
     )
@@ -319,7 +321,7 @@ def away_reasons(s: Survey, k: int = 6, base: str = "topk", nulls: str = "keep")
     The default shares are of the k reasons shown, an unanswered reason among them;
     ``base="all", nulls="drop"`` gives shares of all reasons stated.
     """
-    pops = _population(s, "base_comportamento", [V.AWAY_REASON], where=has(V.AWAY))
+    pops = population_of(s, "base_comportamento", [V.AWAY_REASON], where=has(V.AWAY))
     return W.top_k_of(pops, V.AWAY_REASON, k, base, nulls).withColumnRenamed(
         V.AWAY_REASON, "motivo"
     )
@@ -330,7 +332,7 @@ def away_reasons(s: Survey, k: int = 6, base: str = "topk", nulls: str = "keep")
 
 def benefit_coverage(s: Survey) -> DataFrame:
     """Share receiving each benefit."""
-    table = _table(s, "base_economico", M.answer_shares(V.BENEFITS, w=s.weight))
+    table = table_of(s, "base_economico", M.answer_shares(V.BENEFITS, w=s.weight))
     return to_long(table, [], V.BENEFITS, "beneficio", "pct").orderBy("pct", "beneficio")
 
 
@@ -345,13 +347,13 @@ def aid_evolution(s: Survey) -> DataFrame:
         M.share("pct_bf", has(V.FAMILY_AID), s.weight),
         aid_mean(s),
     ]
-    table = _table(s, "base_economico", ratios, [V.PERIOD])
+    table = table_of(s, "base_economico", ratios, [V.PERIOD])
     return table.withColumnRenamed(V.PERIOD, "mes_ref").orderBy("mes_ref")
 
 
 def aid_by_region(s: Survey, total_label: str = V.TOTAL) -> DataFrame:
     """Mean aid of recipients by region and overall."""
-    return _table(
+    return table_of(
         s, "base_economico", [aid_mean(s)], ["regiao"], total_label, "regiao",
         where=has(V.AID) & F.col(V.AID_AMOUNT).isNotNull(), skip=["regions"],
     ).orderBy("valor_medio")
@@ -362,13 +364,13 @@ def benefit_overlap(
 ) -> DataFrame:
     """Receiving both benefits, one of them, or none."""
     group = overlap_groups(V.AID, V.FAMILY_AID, labels, V.YES, null_policy)
-    pops = _population(s, "base_economico", ["grupo"], derive={"grupo": group})
+    pops = population_of(s, "base_economico", ["grupo"], derive={"grupo": group})
     return W.with_total_share(pops).orderBy(F.desc("pct"), "grupo")
 
 
 def income_suppression(s: Survey) -> DataFrame:
     """Population with and without effective income."""
-    table = _population(s, "base_economico", [V.HAS_INCOME])
+    table = population_of(s, "base_economico", [V.HAS_INCOME])
     table = W.with_total_share(table).withColumn("situacao", lookup(V.HAS_INCOME, V.INCOME_LABELS))
     return table.where(F.col("situacao").isNotNull()).select(
         F.col(V.HAS_INCOME).alias("ind"), "pop", "situacao", "pct"
@@ -409,7 +411,7 @@ def income_summary(s: Survey) -> DataFrame:
 
 def income_by_region(s: Survey, total_label: str = V.TOTAL) -> DataFrame:
     """Mean effective income by region and overall."""
-    return _table(
+    return table_of(
         s, "base_economico", [M.mean("renda_media", V.INCOME, s.weight)], ["regiao"],
         total_label, "regiao", where=F.col(V.INCOME).isNotNull(), skip=["regions"],
     ).orderBy("renda_media")
@@ -425,18 +427,18 @@ def regional_risk(s: Survey) -> DataFrame:
     covers everyone, its denominator people who worked.
     """
     by = ["regiao", V.PERIOD]
-    health = _table(
+    health = table_of(
         s, "base_saude",
         [M.flag_rate("pct_sintomas", V.HAS_SYMPTOM, s.weight),
          M.share("pct_dif_respirar", has(V.BREATHING), s.weight)],
         by, skip=["regions"],
     )
-    behaviour = _table(
+    behaviour = table_of(
         s, "base_comportamento",
         [M.conditional_ratio("pct_home_office", has(V.HOME_OFFICE), has(V.WORKED), s.weight)],
         by, skip=["regions"],
     )
-    economy = _table(
+    economy = table_of(
         s, "base_economico", [M.share("pct_auxilio", has(V.AID), s.weight)], by, skip=["regions"]
     )
     panel = aggregate_then_join([health, behaviour, economy], by)
@@ -453,28 +455,28 @@ def regional_risk_matrix(s: Survey, month: str) -> DataFrame:
 def headline_kpis(s: Survey) -> DataFrame:
     """One row of summary indicators."""
     care = M.share("pct_atendimento_sintomaticos", has(V.CARE_SOUGHT), s.weight)
-    cases = s._period_rows("base_saude").where(symptomatic())
-    health = _table(
+    cases = s.period_rows("base_saude").where(symptomatic())
+    health = table_of(
         s, "base_saude",
         [M.flag_rate("pct_sintomas", V.HAS_SYMPTOM, s.weight),
          M.share("pct_rigoroso", has(V.ISOLATION, V.STRICT_ISOLATION), s.weight),
          M.share("pct_testou", has(V.TEST_TAKEN), s.weight),
          M.share("pct_comorbidade_sint", any_comorbidity(), s.weight, within=symptomatic())],
     )
-    economy = _table(
+    economy = table_of(
         s, "base_economico",
         [M.share("pct_sem_renda", F.col(V.HAS_INCOME) == 0, s.weight),
          M.share("pct_auxilio", has(V.AID), s.weight)],
     )
-    seeking = _table(s, "base_comportamento", [care], match=cases)
+    seeking = table_of(s, "base_comportamento", [care], match=cases)
     return W.headline([health, economy, seeking])
 
 
 def symptoms_by_region_joined(s: Survey) -> DataFrame:
     """Symptomatic share by the region of the location table; unmatched people kept."""
     ratio = M.flag_rate("pct_sintoma", V.HAS_SYMPTOM, s.weight)
-    location = s._period_rows("dim_localizacao").withColumnRenamed("regiao", "regiao_dim")
-    table = _table(
+    location = s.period_rows("dim_localizacao").withColumnRenamed("regiao", "regiao_dim")
+    table = table_of(
         s, "base_saude", [ratio], [V.PERIOD], match=location, match_by=["regiao_dim"], how="left"
     )
     return table.withColumnRenamed("regiao_dim", "regiao").orderBy(V.PERIOD, "regiao")

@@ -22,12 +22,12 @@ MONTH, REGION = [V.PERIOD], [V.PERIOD, "regiao"]
 
 
 def _monthly(s: Survey, table: str, *ratios: M.Ratio) -> DataFrame:
-    result = A._table(s, table, ratios, MONTH)
+    result = A.table_of(s, table, ratios, MONTH)
     return round_columns(result, [r.name for r in ratios]).orderBy(V.PERIOD)
 
 
 def _regional(s: Survey, table: str, ratio: M.Ratio, descending: bool = True) -> DataFrame:
-    result = round_columns(A._table(s, table, [ratio], REGION, skip=["regions"]), [ratio.name])
+    result = round_columns(A.table_of(s, table, [ratio], REGION, skip=["regions"]), [ratio.name])
     value = F.desc(ratio.name) if descending else F.asc(ratio.name)
     return result.orderBy(V.PERIOD, value, "regiao")
 
@@ -89,7 +89,7 @@ def home_office_by_region(s: Survey) -> DataFrame:
 
 
 def labour_status(s: Survey) -> DataFrame:
-    table = A._population(s, "base_comportamento", [V.PERIOD, V.LABOUR_STATUS])
+    table = A.population_of(s, "base_comportamento", [V.PERIOD, V.LABOUR_STATUS])
     return table.select(
         V.PERIOD, V.LABOUR_STATUS, round_population("pop").alias("populacao_estimada")
     ).orderBy(V.PERIOD, F.desc("populacao_estimada"), V.LABOUR_STATUS)
@@ -120,7 +120,7 @@ def regional_risk(s: Survey) -> DataFrame:
     behaviour = [M.share(columns[2], A.has(V.HOME_OFFICE), s.weight)]
     economy = [M.share(columns[3], A.has(V.AID), s.weight)]
     parts = [
-        A._table(s, table, ratios, REGION, skip=["regions"])
+        A.table_of(s, table, ratios, REGION, skip=["regions"])
         for table, ratios in (
             ("base_saude", health), ("base_comportamento", behaviour), ("base_economico", economy)
         )

@@ -118,7 +118,7 @@ def behaviour_spec(s: Survey) -> DataFrame:
         M.share("remote", A.has(V.HOME_OFFICE), s.weight, within=A.has(V.WORKED), empty="zero"),
         V.HOME_OFFICE, "Home office (entre ocupados)", "trabalho",
     )
-    cases = s._period_rows("base_saude").where(A.symptomatic())
+    cases = s.period_rows("base_saude").where(A.symptomatic())
 
     def rows(kpis: Sequence[Kpi]) -> list[tuple[Column, ...]]:
         return [

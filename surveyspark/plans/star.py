@@ -23,7 +23,7 @@ from surveyspark.functions.columns import (
     positive_flag,
 )
 from surveyspark.functions.measures import Weight
-from surveyspark.operators.filters import Options, Selection, _active, demographic_filter
+from surveyspark.operators.filters import Options, Selection, is_partial, demographic_filter
 from surveyspark.operators.joins import additive_sums, joined_sums
 from surveyspark.operators.recode import dim_dictionary, dim_location, dim_profile, dim_time, project_block
 from surveyspark.sinks.tables import overwrite_period, remove_folder, write_partitioned
@@ -201,13 +201,13 @@ class Survey:
 
     # -- rows ------------------------------------------------------------------------------
 
-    def _period_rows(self, table: str) -> DataFrame:
+    def period_rows(self, table: str) -> DataFrame:
         df = self.tables[table]
         return df if not self.months else df.where(F.col(V.PERIOD).isin(*self.months))
 
     def _region_rows(self, df: DataFrame, skip: Sequence[str]) -> DataFrame:
         df = df.withColumn("regiao", map_hierarchy("uf", self.regions))
-        if "regions" not in skip and _active(self.selection.regions, self.options.regions):
+        if "regions" not in skip and is_partial(self.selection.regions, self.options.regions):
             df = df.where(F.col("regiao").isin(*self.selection.regions))
         return df
 
@@ -218,22 +218,22 @@ class Survey:
 
         The analyses use :meth:`sums` instead, which reduces the rows before it joins.
         """
-        df = self._region_rows(self._period_rows(table), skip)
+        df = self._region_rows(self.period_rows(table), skip)
         return demographic_filter(
-            df, self._period_rows("dim_perfil"), self.selection, self.options,
+            df, self.period_rows("dim_perfil"), self.selection, self.options,
             ["regions", *skip], self.keys, self.regions, hot_keys,
         )
 
     def people(self, skip: Sequence[str] = ()) -> DataFrame | None:
         """Profile rows in the chosen age bands and sexes; None when nothing is chosen."""
         chosen: list[Column] = []
-        if "age_bands" not in skip and _active(self.selection.age_bands, self.options.age_bands):
+        if "age_bands" not in skip and is_partial(self.selection.age_bands, self.options.age_bands):
             chosen.append(F.col("faixa_etaria").isin(*self.selection.age_bands))
-        if "sexes" not in skip and _active(self.selection.sexes, self.options.sexes):
+        if "sexes" not in skip and is_partial(self.selection.sexes, self.options.sexes):
             chosen.append(F.col("sexo").isin(*self.selection.sexes))
         if not chosen:
             return None
-        return self._period_rows("dim_perfil").where(reduce(Column.__and__, chosen))
+        return self.period_rows("dim_perfil").where(reduce(Column.__and__, chosen))
 
     # -- sums ------------------------------------------------------------------------------
 
@@ -253,7 +253,7 @@ class Survey:
 
         ``derive`` adds columns to group by.
         """
-        df = self._region_rows(self._period_rows(table), skip)
+        df = self._region_rows(self.period_rows(table), skip)
         if derive:
             df = df.withColumns(dict(derive))
         if where is not None:
@@ -271,7 +271,7 @@ class Survey:
     ) -> DataFrame:
         """Sums by profile attributes, the selection applied to the same profile rows."""
         people = self.people(skip)
-        profile = self._period_rows("dim_perfil") if people is None else people
+        profile = self.period_rows("dim_perfil") if people is None else people
         return self.sums(
             table, sums, by, ["age_bands", "sexes", *skip], match=profile, match_by=columns,
             how=how,

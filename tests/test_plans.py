@@ -1,7 +1,6 @@
 """What the physical plans must look like, whatever the data size."""
 
 import pytest
-from pyspark.sql import functions as F
 
 from bindings import panel
 from surveyspark import fixed_values as V

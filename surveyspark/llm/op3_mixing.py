@@ -20,7 +20,7 @@ WEIGHTS = (3, 1, 2)
 BUDGET = 1.5
 MAX_EPOCHS = 2
 #: Rows whose running sum is taken in one task, about.
-RANGE_ROWS = 100_000
+RANGE_ROWS = 5_000
 
 
 def n_words(text: Column) -> Column:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from surveyspark.llm import op2_decontaminate, op3_mixing, op4_minhash, op10_line_dedup
+from surveyspark.llm import op2_decontaminate, op3_mixing, op4_minhash, op9_toxicity, op10_line_dedup
 
 QUERIES = {
     "op2_decontaminate": (op2_decontaminate.query, None),
     "op3_mixing": (op3_mixing.query, op3_mixing.SQL),
     "op4_minhash": (op4_minhash.query, op4_minhash.SQL),
+    "op9_toxicity": (op9_toxicity.query, None),
     "op10_line_dedup": (op10_line_dedup.query, op10_line_dedup.SQL),
 }

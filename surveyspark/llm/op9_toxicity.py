@@ -25,6 +25,7 @@ import pyarrow as pa
 import zstandard as zs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from surveyspark.llm.common import OWN, load, stored
 
@@ -184,7 +185,7 @@ def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
             features = np.array([model.features(t, compressors) for t in batch.column(at).to_pylist()]).reshape(-1, 3)
             yield pa.RecordBatch.from_arrays([*batch.columns[:at], pa.array(model.score(features), pa.float64())], names=[*batch.schema.names[:at], score])
 
-    kinds = docs.schema.add(score, "double")
+    kinds = StructType(list(docs.schema)).add(score, "double")
     return docs.select("*", F.col("text").alias(f"{OWN}t")).mapInArrow(run, kinds)
 
 

@@ -75,11 +75,11 @@ def buffer(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return body[at[0] : at[-1]], at - at[0]
 
 
-def pieces(offsets: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Runs [i, j) of texts of about PIECE bytes together."""
+def pieces(offsets: np.ndarray, size: int = PIECE) -> Iterator[tuple[int, int]]:
+    """Runs [i, j) of texts of at most `size` bytes together, or of one longer text."""
     i, n = 0, len(offsets) - 1
     while i < n:
-        j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + PIECE, "right")) - 1)
+        j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + size, "right")) - 1)
         yield i, min(j, n)
         i = min(j, n)
 

@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from surveyspark.llm import wordbytes as W
 from surveyspark.llm.common import OWN, load, row_key, stored
+from surveyspark.llm.hashbits import bitmap, holds
 
 SEED = 3
 WINDOW = 4
@@ -64,21 +65,10 @@ def _block_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column(0).take(n), batch.column(1).take(n), pa.array(np.arange(len(g)), pa.int32()), pa.array(g.view(np.int64))], names=["item_id", "block", "at", "h"])
 
 
-def bitmap(hashes: DataFrame) -> np.ndarray:
-    """Bits of the top BITMAP_BITS of column h, as 64-bit words; at most 2^(BITMAP_BITS - 6) rows reach the driver."""
-    place = F.shiftrightunsigned("h", 64 - BITMAP_BITS)
-    words = hashes.groupBy(F.shiftrightunsigned(place, 6).cast("int").alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned(h, {64 - BITMAP_BITS}) & 63 as int))")).alias("b"))
-    found = words.toArrow()
-    out = np.zeros(1 << (BITMAP_BITS - 6), np.int64)
-    out[found.column("w").to_numpy()] = found.column("b").to_numpy()
-    return out.view(np.uint64)
-
-
 def _hits(h: np.ndarray, of: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text, word, hash) of the n-grams in the bitmap; none runs over the end of its text."""
     g = W.grams(h, SEED)
-    place = g >> np.uint64(64 - BITMAP_BITS)
-    at = np.flatnonzero((bits[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63))) & np.uint64(1))
+    at = np.flatnonzero(holds(bits, g))
     text = np.searchsorted(of, at, "right") - 1
     inside = at + SEED <= of[text + 1]
     return text[inside], at[inside], g[at[inside]]
@@ -169,7 +159,7 @@ def leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> Da
     grams = stored(blocks.mapInArrow(_block_grams, f"item_id {item_kind}, block int, at int, h long"), "grams")
     longest = blocks.agg(F.max(F.size("words"))).first()[0] or 0
 
-    counted = docs.select("text").mapInArrow(_counted(spark.sparkContext.broadcast(bitmap(grams))), "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    counted = docs.select("text").mapInArrow(_counted(spark.sparkContext.broadcast(bitmap(grams, BITMAP_BITS))), "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
     by_item = Window.partitionBy("item_id", "block")
     rarest = F.min(F.struct("n", "h", "at")).over(by_item.orderBy("at").rowsBetween(0, WINDOW - 1))
     ranked = grams.join(counted, "h", "left").withColumn("n", F.coalesce("n", F.lit(0))).withColumn("seed", rarest).withColumn("last", F.max("at").over(by_item))
@@ -177,7 +167,7 @@ def leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> Da
     seeds = stored(seeds, "seeds")
 
     kinds = f"{OWN}id {doc_kind}, {OWN}th long, first long, words array<long>, seeds array<long>"
-    found = docs.select(*row_key(), "text").mapInArrow(_windows(spark.sparkContext.broadcast(bitmap(seeds)), longest), kinds)
+    found = docs.select(*row_key(), "text").mapInArrow(_windows(spark.sparkContext.broadcast(bitmap(seeds, BITMAP_BITS)), longest), kinds)
     found = stored(found, "windows")
     pairs = found.select(f"{OWN}id", f"{OWN}th", "first", F.explode("seeds").alias("h")).join(seeds, "h").drop("h").distinct()
     pairs = pairs.withColumnsRenamed({f"{OWN}id": "i", f"{OWN}th": "t", "first": "f"})

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from surveyspark.llm import op2_decontaminate, op3_mixing, op4_minhash, op7_substrings, op9_toxicity, op10_line_dedup
+from surveyspark.llm import op2_decontaminate, op3_mixing, op4_minhash, op6_imatch, op7_substrings, op9_toxicity, op10_line_dedup
 
 QUERIES = {
     "op2_decontaminate": (op2_decontaminate.query, None),
     "op3_mixing": (op3_mixing.query, op3_mixing.SQL),
     "op4_minhash": (op4_minhash.query, op4_minhash.SQL),
+    "op6_imatch": (op6_imatch.query, None),
     "op7_substrings": (op7_substrings.query, None),
     "op9_toxicity": (op9_toxicity.query, None),
     "op10_line_dedup": (op10_line_dedup.query, op10_line_dedup.SQL),

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from surveyspark.llm import op2_decontaminate, op3_mixing, op4_minhash, op6_imatch, op7_substrings, op9_toxicity, op10_line_dedup
+from surveyspark.llm import op1_arc_warc, op2_decontaminate, op3_mixing, op4_minhash, op6_imatch, op7_substrings, op9_toxicity, op10_line_dedup
 
 QUERIES = {
+    "op1_arc_warc": (op1_arc_warc.query, op1_arc_warc.SQL),
     "op2_decontaminate": (op2_decontaminate.query, None),
     "op3_mixing": (op3_mixing.query, op3_mixing.SQL),
     "op4_minhash": (op4_minhash.query, op4_minhash.SQL),

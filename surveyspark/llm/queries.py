@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from surveyspark.llm import op1_arc_warc, op2_decontaminate, op3_mixing, op4_minhash, op6_imatch, op7_substrings, op9_toxicity, op10_line_dedup
+from surveyspark.llm import op1_arc_warc, op2_decontaminate, op3_mixing, op4_minhash, op6_imatch, op7_substrings, op8_pii, op9_toxicity, op10_line_dedup
 
 QUERIES = {
     "op1_arc_warc": (op1_arc_warc.query, op1_arc_warc.SQL),
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_minhash": (op4_minhash.query, op4_minhash.SQL),
     "op6_imatch": (op6_imatch.query, None),
     "op7_substrings": (op7_substrings.query, None),
+    "op8_pii": (op8_pii.query, None),
     "op9_toxicity": (op9_toxicity.query, None),
     "op10_line_dedup": (op10_line_dedup.query, op10_line_dedup.SQL),
 }

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from surveyspark.llm import op1_arc_warc, op2_decontaminate, op3_mixing, op4_minhash, op6_imatch, op7_substrings, op8_pii, op9_toxicity, op10_line_dedup
 
 QUERIES = {
@@ -14,4 +15,5 @@ QUERIES = {
     "op8_pii": (op8_pii.query, None),
     "op9_toxicity": (op9_toxicity.query, None),
     "op10_line_dedup": (op10_line_dedup.query, op10_line_dedup.SQL),
+    "pipeline": (corpus_pipeline.run, corpus_pipeline.ORACLE_SQL),
 }

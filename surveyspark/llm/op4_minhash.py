@@ -7,9 +7,10 @@ stand side by side in the (wrapped) permutation, so a signature is the minimum o
 
 Bands of coordinates make buckets of candidates. Documents with equal shingle sets are one class
 first. In each bucket the classes are compared with a hub of the bucket, not with each other; links
-make components, and only pairs of a bucket that are still in different components are compared in
-the next rounds, with other hubs and at last with each other. Every link is confirmed on the full
-sets; which links within one component are found does not change the result.
+make components, and only buckets with several components go on to a next round with other hubs. What
+is then apart is compared in pairs, but only where two texts share enough of their edits against the
+first hub to be similar at all (`_sharing_edits`). Every link is confirmed on the full sets; which
+links within one component are found does not change the result.
 
 With 32 bands of 5, a pair at similarity 0.8 meets in no bucket with probability 3e-6.
 
@@ -39,6 +40,10 @@ THRESHOLD = 80
 BANDS = 32
 ROWS = 5
 PLACES_BITS = 20
+#: Rounds of hubs before what is still apart in a bucket is compared in pairs.
+HUBS = 2
+#: Rows of a group that are indexed in one task, about.
+BLOCK = 10_000
 #: Places whose values are gathered at once.
 AT_ONCE = 2048
 ID, TH = f"{OWN}id", f"{OWN}th"
@@ -125,6 +130,78 @@ def _links(pairs: DataFrame, texts: DataFrame, n: int, threshold: int) -> DataFr
     return both.mapInArrow(_confirmed(n, threshold), "a binary, b binary")
 
 
+def _edits(n: int, threshold: int):
+    """(hub, cls, root, inside, hub text, text) -> (hub, cls, root, inside, f, edits); see `_sharing_edits`."""
+    c = threshold / (100 + threshold)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            edits, f = [], []
+            for h, v in zip(shingle_sets(batch.column(4), n), shingle_sets(batch.column(5), n), strict=True):
+                removed, added = np.setdiff1d(h, v, assume_unique=True), np.setdiff1d(v, h, assume_unique=True)
+                f.append((1 - c) * len(removed) + c * len(added) - (0.5 - c) * len(h))
+                edits.append(np.concatenate([added, removed ^ np.uint64(0x5851F42D4C957F2D)]).view(np.int64))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(f, pa.float64()), pa.array(edits, pa.list_(pa.int64()))], names=["hub", "cls", "root", "inside", "f", "edits"])
+
+    return run
+
+
+def _matched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(hub, block, probe, cls, root, inside, f, edits), sorted by the first three: a block's rows, then what is to be compared with them."""
+    now, index = None, []
+    for batch in batches:
+        a, b = [], []
+        columns = [batch.column(k).to_pylist() for k in range(7)]
+        edits = batch.column(7)
+        values, ends = edits.flatten().to_numpy(), np.concatenate([[0], np.cumsum(edits.value_lengths().to_numpy())])
+        for k, (hub, block, probe, cls, root, inside, f) in enumerate(zip(*columns, strict=True)):
+            own = values[ends[k] : ends[k + 1]]
+            if (hub, block) != now:
+                now, index, built = (hub, block), [], None
+            if not probe:
+                index.append((cls, root, inside, f, own))
+                continue
+            if built is None:
+                of = np.repeat(np.arange(len(index)), [len(x[4]) for x in index])
+                flat = np.concatenate([x[4] for x in index]) if index else np.zeros(0, np.int64)
+                order = np.argsort(flat, kind="stable")
+                built = flat[order], of[order], np.array([x[3] for x in index])
+            at = np.searchsorted(built[0], own), np.searchsorted(built[0], own, "right")
+            shared = np.bincount(np.concatenate([built[1][i:j] for i, j in zip(*at, strict=True)]) if len(own) else np.zeros(0, np.int64), minlength=len(index))
+            for x in np.flatnonzero((shared > 0) & (shared >= built[2] + f - 1e-6)):
+                other = index[x]
+                # Of two that are both compared with the block's rows one way is enough.
+                if other[1] != root and (other[2] or cls < other[0]):
+                    a.append(min(cls, other[0]))
+                    b.append(max(cls, other[0]))
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
+
+
+def _sharing_edits(at: DataFrame, hubs: DataFrame, roots: DataFrame | None, texts: DataFrame, n: int, threshold: int) -> DataFrame:
+    """Pairs (a, b) of bucket mates in different components whose sets are similar.
+
+    With r and a shingles removed from and added to a hub of size s, two sets share s - r - r' shingles
+    and the edits that they have in common. A similarity of T % takes f + f' common edits, where
+    f = (1 - c) r + c a - (1/2 - c) s and c = T / (100 + T). One of the two is not in the hub's
+    component, so f + f' is positive: what shares no edit is out. The hub's mates are dealt into blocks
+    of about BLOCK rows, and those outside its component look their edits up in each block, so that
+    neither a group nor its pairs are ever held or written whole.
+    """
+    pairs = at.select("key", "cls", "root").join(hubs.select("key", "hub"), "key").select("hub", "cls", "root").distinct()
+    own = (roots if roots is not None else at.select(F.col("cls").alias("node"), "root")).select(F.col("node").alias("hub"), F.col("root").alias("hub_root")).distinct()
+    pairs = pairs.join(own, "hub", "left").withColumn("inside", F.col("root") == F.coalesce("hub_root", "hub"))
+    side = lambda c: texts.select(F.col("cls").alias(c), F.col("text").alias(f"text_{c}"))
+    both = pairs.join(side("hub"), "hub").join(side("cls"), "cls").select("hub", "cls", "root", "inside", "text_hub", "text_cls")
+    edits = stored(both.mapInArrow(_edits(n, threshold), "hub binary, cls binary, root binary, inside boolean, f double, edits array<long>"), "edits")
+    blocks = edits.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
+    edits = edits.join(blocks, "hub")
+    row = ["cls", "root", "inside", "f", "edits"]
+    index = edits.select("hub", F.pmod(F.xxhash64("cls"), "blocks").alias("block"), F.lit(False).alias("probe"), *row)
+    probe = edits.where("not inside").select("hub", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.lit(True).alias("probe"), *row)
+    dealt = index.union(probe).repartition("hub", "block").sortWithinPartitions("hub", "block", "probe")
+    return dealt.mapInArrow(_matched, "a binary, b binary").distinct()
+
+
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
     """The `row_key` columns, n_shingles and component_id of every row of `docs`."""
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -134,37 +211,39 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, threshold: int = TH
     classes = stored(signed.where("n > 0").groupBy("cls").agg(*by_class), "classes")
 
     buckets = classes.select("cls", "n", F.explode("bands").alias("key"))
-    full = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key")
-    members = stored(buckets.join(full, "key").select("key", "cls", "n"), "members")
+    full = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    members = stored(buckets.join(full, "key").select("key", "cls", "n", "c"), "members")
+    # How many bucket mates a class has in all: the text that the others were edited from has most.
+    mates = members.groupBy("cls").agg(F.sum("c").alias("mates"))
+    members = stored(members.join(mates, "cls").select("key", "cls", "n", "mates"), "members")
     rows = members.select("cls").distinct().join(classes, "cls").select("cls", F.col(f"row.{ID}").alias("i"), F.col(f"row.{TH}").alias("t"))
     texts = keyed.join(rows, F.col(ID).eqNullSafe(F.col("i")) & (F.col(TH) == F.col("t"))).select("cls", "text")
     texts = stored(texts.dropDuplicates(["cls"]), "texts")
 
-    sizes = F.col("n") * 100 >= F.col("m") * threshold, F.col("m") * 100 >= F.col("n") * threshold
-    compared, links, roots = None, None, None
-    for hub in (F.min, F.max, None):
-        at = members if roots is None else members.join(roots, F.col("cls") == F.col("node"), "left").select("key", "cls", "n", F.coalesce("root", "cls").alias("root"))
-        if hub is None:
-            other = at.select("key", F.col("cls").alias("hub"), F.col("n").alias("m"), F.col("root").alias("hub_root"))
-            pairs = at.join(other, "key").where("cls < hub and root != hub_root")
+    similar_sizes = (F.col("n") * 100 >= F.col("m") * threshold) & (F.col("m") * 100 >= F.col("n") * threshold)
+    compared, links, roots, first_hubs = None, None, None, None
+    for turn in range(HUBS + 1):
+        at = members.withColumn("root", F.col("cls"))
+        if roots is not None:
+            at = members.join(roots, F.col("cls") == F.col("node"), "left").withColumn("root", F.coalesce("root", "cls")).drop("node")
+        if turn:
+            # Buckets within one component are done, and hubs have met all the others.
+            at = at.join(hubs.select(F.col("key").alias("k"), F.col("hub").alias("u")), (F.col("key") == F.col("k")) & (F.col("cls") == F.col("u")), "left_anti")
+            apart = at.groupBy("key").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r != s").select("key")
+            at = stored(at.join(apart, "key"), "members")
+            members = at.drop("root")
+        if turn < HUBS:
+            hubs = at.groupBy("key").agg(F.max(F.struct("mates", "cls", "n", "root")).alias("h")).select("key", F.col("h.cls").alias("hub"), F.col("h.n").alias("m"), F.col("h.root").alias("hub_root"))
+            hubs = stored(hubs, "hubs")
+            pairs = at.join(hubs, "key").where("root != hub_root").where(similar_sizes).select(F.least("cls", "hub").alias("a"), F.greatest("cls", "hub").alias("b")).distinct()
         else:
-            if roots is None:
-                at = at.withColumn("root", F.col("cls"))
-            else:
-                # Buckets of one component are done; so are those of which all pairs had the hub.
-                open_ = at.groupBy("key").agg(F.min("root").alias("r"), F.max("root").alias("s"), F.count(F.lit(1)).alias("c")).where("r != s and c > 2")
-                at = members = stored(at.join(open_.select("key"), "key").select("key", "cls", "n", "root"), "members")
-                members = members.select("key", "cls", "n")
-            hubs = at.groupBy("key").agg(hub(F.struct("cls", "n", "root")).alias("h")).select("key", F.col("h.cls").alias("hub"), F.col("h.n").alias("m"), F.col("h.root").alias("hub_root"))
-            pairs = at.join(hubs, "key").where("root != hub_root")
-        pairs = pairs.where(sizes[0] & sizes[1]).select(F.least("cls", "hub").alias("a"), F.greatest("cls", "hub").alias("b")).distinct()
+            pairs = _sharing_edits(at, first_hubs, roots, texts, shingle, threshold)
+        first_hubs = hubs if turn == 0 else first_hubs
         if compared is not None:
             pairs = pairs.join(compared, ["a", "b"], "left_anti")
         pairs = stored(pairs, "pairs")
         if pairs.isEmpty():
-            if hub is None or roots is not None:
-                continue
-            break
+            continue
         found = stored(_links(pairs, texts, shingle, threshold), "links")
         compared = pairs if compared is None else compared.union(pairs)
         links = found if links is None else links.union(found)

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from surveyspark.llm import op1_arc_warc, op2_decontaminate, op3_mixing, op4_minhash, op6_imatch, op7_substrings, op8_pii, op9_toxicity, op10_line_dedup
+from surveyspark.llm import op1_arc_warc, op2_decontaminate, op3_mixing, op4_minhash, op5_edit_counts, op6_imatch, op7_substrings, op8_pii, op9_toxicity, op10_line_dedup
 
 QUERIES = {
     "op1_arc_warc": (op1_arc_warc.query, op1_arc_warc.SQL),
     "op2_decontaminate": (op2_decontaminate.query, None),
     "op3_mixing": (op3_mixing.query, op3_mixing.SQL),
     "op4_minhash": (op4_minhash.query, op4_minhash.SQL),
+    "op5_edit_counts": (op5_edit_counts.query, None),
     "op6_imatch": (op6_imatch.query, None),
     "op7_substrings": (op7_substrings.query, None),
     "op8_pii": (op8_pii.query, None),

@@ -77,7 +77,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: float = BUD
     rows = stored(queue(sizes, source_targets(sizes, weights, budget, most)).select(*kept), "mix-queue")
 
     ranges = max(1, -(-sizes.count() * most // RANGE_ROWS))
-    finish = lambda epoch: F.coalesce((F.lit(epoch) * F.col("source_size") + F.col("upto")) / F.col("target"), F.lit(0.0))
+    finish = lambda epoch: F.coalesce(F.try_divide((F.lit(epoch) * F.col("source_size") + F.col("upto")).cast("double"), F.col("target")), F.lit(0.0))
     # All sources reach their targets at 1. What lies far beyond is one range: it is never cut.
     every = F.explode(F.array(*[F.struct(finish(e).alias("finish"), "rank", F.lit(e).alias("epoch")) for e in range(most)]))
     turns = rows.select("size", "total", every.alias("at")).withColumn("range", F.least(F.floor(F.col("at.finish") * ranges), F.lit(2 * ranges)))

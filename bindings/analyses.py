@@ -5,24 +5,33 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from bindings.panel import (
     JOIN_KEY,
     PANEL_SQL,
     REGION_NAMES,
+    YEARS,
     avg_sql,
+    dictionary,
     pct,
     pop,
     ratio_sql,
+    raw_microdata,
+    regions,
     rounded,
+    scratch,
     survey,
 )
 from surveyspark import fixed_values as V
-from surveyspark.operators.filters import Selection
+from surveyspark.operators.filters import Options, Selection
 from surveyspark.plans import analyses as A
 from surveyspark.plans import questions as Q
 from surveyspark.plans import specs as S
-from surveyspark.plans.star import Survey
+from surveyspark.functions.measures import Weight
+from surveyspark.operators.recode import recode
+from surveyspark.plans.star import Survey, load_star, publish_star, star_schemas
+from surveyspark.sources import microdata as MD
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -399,6 +408,22 @@ ANALYSES: dict[str, tuple[Query, str]] = {
         + f"SELECT CAST({MEDIAN.replace('FROM m', 'FROM f')} AS DOUBLE) AS mediana, "
         f"{INCOME_MEAN.replace('FROM m', 'FROM f')} AS media, CAST(1045 AS DOUBLE) AS salario_minimo",
     ),
+    "selection_labour_status_by_age": (
+        on(A.labour_status_by_age, selection=SELECTION),
+        sql(f"SELECT band AS faixa_etaria, {STATUS}, {pop()} AS populacao_estimada FROM {BY_AGE} "
+            "WHERE sex = 'Mulher' AND band IN ('18-29', '30-44') AND regiao IN ('AFRICA', 'AMERICA') GROUP BY 1, 2"),
+    ),
+    "selection_without_known_options": (
+        on(A.symptom_prevalence, selection=Selection(sexes=("Mulher",)), options=Options()),
+        PANEL_SQL + filtered("b.sexo = 'Mulher'")
+        + " UNION ALL ".join(
+            f"SELECT '{label}' AS sintoma, {pct(yes(c))} AS pct FROM f" for c, label in V.SYMPTOMS.items()
+        ),
+    ),
+    "selection_regional_risk": (
+        on(A.regional_risk, selection=SELECTION),
+        PANEL_SQL + filtered(SELECTED_PEOPLE) + RISK.replace("FROM m", "FROM f"),
+    ),
     "selection_benefit_overlap": (
         on(A.benefit_overlap, selection=SELECTION),
         PANEL_SQL + filtered(SELECTED_PEOPLE, SELECTED_REGION)
@@ -466,6 +491,36 @@ QUESTIONS: dict[str, tuple[Query, str]] = {
 }
 
 
+# ---- files to published star to report ----------------------------------------------------------
+
+
+def end_to_end(report: Callable[[Survey], DataFrame]) -> Query:
+    """Yearly CSVs, found and read, decoded, published and opened again under the unique key."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        base, d = scratch(spark), dictionary()
+        raw_microdata(spark, sf_dir).write.parquet(f"{base}/raw")
+        raw = spark.read.parquet(f"{base}/raw")
+        for y in YEARS:
+            part = raw.where(F.col(V.PERIOD) == y).drop(V.PERIOD)
+            part.write.option("header", True).option("encoding", "ISO-8859-1").csv(f"{base}/files/survey_12{y}.csv")
+        kept, _ = MD.dedupe_period_files(MD.discover_periods(spark, f"{base}/files/*"))
+        publish_star(recode(MD.read_periods(spark, kept), d), d, f"{base}/star", regions=regions())
+        s = load_star(spark, f"{base}/star", star_schemas(spark, d), weight=Weight(V.WEIGHT, digits=2), regions=regions())
+        assert list(s.keys) == list(V.FULL_KEY)
+        return report(s).withColumn(V.PERIOD, F.substring(V.PERIOD, 1, 4))
+
+    return run
+
+
+QUESTIONS["end_to_end_symptom_rate_by_region"] = (end_to_end(Q.symptom_rate_by_region), QUESTION_SQL["02"])
+QUESTIONS["end_to_end_symptom_rate_by_age"] = (
+    end_to_end(Q.symptom_rate_by_age),
+    sql(f"SELECT MES_REF, band AS faixa_etaria, {two(pct(SICK))} AS pct_sintoma_gripal FROM (SELECT a.*, b.faixa_etaria AS band "
+        f"FROM m a JOIN m b ON {' AND '.join(f'a.{k} = b.{k}' for k in V.FULL_KEY)}) GROUP BY 1, 2"),
+)
+
+
 # ---- KPI tables --------------------------------------------------------------------------------
 
 
@@ -550,6 +605,11 @@ def economic_sql() -> str:
 
 SPECS: dict[str, tuple[Query, str]] = {
     "q14_clinical_spec": (on(S.clinical_spec), clinical_sql()),
+    "selection_clinical_spec": (
+        on(S.clinical_spec, selection=SELECTION),
+        PANEL_SQL + filtered(SELECTED_PEOPLE, SELECTED_REGION)
+        + clinical_sql()[len(PANEL_SQL):].replace("FROM m", "FROM f"),
+    ),
     "q15_behaviour_spec": (on(S.behaviour_spec), behaviour_sql()),
     "q16_economic_spec": (on(S.economic_spec), economic_sql()),
 }

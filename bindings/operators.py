@@ -109,6 +109,11 @@ def homes(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def placed(report: DataFrame) -> DataFrame:
+    """A sorted report (a few rows) with the place of each row, so that a comparison sees the order."""
+    return report.coalesce(1).withColumn("place", F.monotonically_increasing_id())
+
+
 def status(value: str) -> Column:
     return F.col("o_orderstatus") == value
 
@@ -141,10 +146,12 @@ def write_months(spark: SparkSession, sf: str, compressed_copy: bool = False) ->
 @operator(
     "s1_read_microdata",
     "SELECT CAST(o_orderkey AS VARCHAR) AS A1, o_orderpriority || ' não' AS A2, "
-    "CAST(o_totalprice AS VARCHAR) AS A3 FROM orders WHERE o_orderstatus = 'F'",
+    "CAST(o_totalprice AS VARCHAR) AS A3 FROM orders",
 )
 def _(spark, sf):
-    return MD.read_microdata(spark, write_months(spark, sf) + "/survey_092020.csv")
+    base = write_months(spark, sf)
+    months = [MD.read_microdata(spark, f"{base}/survey_{m}.csv") for m in MONTHS.values()]
+    return MD.union_periods([(str(i), df.select("A1", "A2", "A3")) for i, df in enumerate(months)]).drop(V.PERIOD)
 
 
 @operator(
@@ -175,6 +182,26 @@ def _(spark, sf):
     )
 
 
+@operator(
+    "s3_two_files_one_month",
+    f"SELECT {MONTH_SQL} AS MES_REF, count(*) AS rows, CAST(2 AS BIGINT) AS files FROM orders GROUP BY 1",
+)
+def _(spark, sf):
+    """Two different files of each month, one of them also gzipped: both are read, once."""
+    base = scratch(spark)
+    text = table(spark, sf, "orders").select("o_orderstatus", "o_orderkey", F.col("o_orderkey").cast("string").alias("A1"))
+    for value, month in MONTHS.items():
+        for half, name in enumerate(("north", "south")):
+            part = text.where(status(value) & (F.col("o_orderkey") % 2 == half)).select("A1")
+            part.write.option("header", True).csv(f"{base}/{name}_{month}.csv")
+            if name == "south":
+                part.write.option("header", True).option("compression", "gzip").csv(f"{base}/{name}_{month}.csv.gz")
+    kept, _ = MD.dedupe_period_files(MD.discover_periods(spark, base + "/*"))
+    files = spark.createDataFrame([(f.period,) for f in kept], f"{V.PERIOD} string").groupBy(V.PERIOD).agg(F.count("*").alias("files"))
+    rows = MD.read_periods(spark, kept).groupBy(V.PERIOD).agg(F.count("*").alias("rows"))
+    return rows.join(files, V.PERIOD)
+
+
 @operator(
     "s4_read_periods",
     f"SELECT CAST(o_orderkey AS VARCHAR) AS A1, CASE o_orderstatus WHEN 'P' THEN 'x' END AS A1B, "
@@ -1422,20 +1449,22 @@ def _(spark, sf):
 
 @operator(
     "r1_sort",
-    f"SELECT o_orderpriority, {pop()} AS pop FROM {ORDERS_SQL} GROUP BY 1",
+    f"SELECT o_orderpriority, {pop()} AS pop, row_number() OVER (ORDER BY {pop()} DESC) - 1 AS place "
+    f"FROM {ORDERS_SQL} GROUP BY 1",
 )
 def _(spark, sf):
     pops = W.weighted_population(orders(spark, sf), ["o_orderpriority"], PRICE)
-    return rounded(pops, 2).orderBy(F.desc("pop"))
+    return placed(rounded(pops, 2).orderBy(F.desc("pop")))
 
 
 @operator(
     "r2_sort_by_canonical_order",
-    f"SELECT o_orderstatus, {pop()} AS pop FROM {ORDERS_SQL} GROUP BY 1",
+    f"SELECT o_orderstatus, {pop()} AS pop, CASE o_orderstatus WHEN 'P' THEN 0 WHEN 'F' THEN 1 ELSE 2 END "
+    f"AS place FROM {ORDERS_SQL} GROUP BY 1",
 )
 def _(spark, sf):
     pops = rounded(W.weighted_population(orders(spark, sf), ["o_orderstatus"], PRICE), 2)
-    return RS.sort_by_canonical_order(pops, "o_orderstatus", ["P", "F", "O"])
+    return placed(RS.sort_by_canonical_order(pops, "o_orderstatus", ["P", "F", "O"]))
 
 
 @operator(

@@ -150,8 +150,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession) -> str:
-    """A fresh folder in the cluster's shared scratch space (a local one in tests)."""
-    base = shared_folder(spark, tempfile.gettempdir() + "/surveyspark")
+    """A fresh folder in the cluster's shared scratch space (a local one on a single machine)."""
+    local = spark.sparkContext.master.startswith("local[")
+    base = shared_folder(spark, tempfile.gettempdir() + "/surveyspark" if local else "")
+    if not base:
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return f"{base}/{uuid.uuid4().hex}"
 
 

@@ -62,7 +62,7 @@ class Selection:
 
 @dataclass(frozen=True)
 class Options:
-    """All values that exist per axis, in canonical order."""
+    """All values that exist per axis, in canonical order; empty if they are not known."""
 
     age_bands: Sequence[str] = V.AGE_BANDS
     sexes: Sequence[str] = ()
@@ -70,7 +70,8 @@ class Options:
 
 
 def is_partial(chosen: Sequence[str] | None, options: Sequence[str]) -> bool:
-    return chosen is not None and 0 < len(chosen) < len(options)
+    """Whether something is chosen and it is not everything; without known options, whether anything is."""
+    return bool(chosen) and not (options and set(options) <= set(chosen))
 
 
 def demographic_filter(

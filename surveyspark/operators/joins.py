@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 
 from surveyspark import fixed_values as V
 
-SALTS = 32
+#: Left rows of a hot key that one salt takes, about.
+ROWS_PER_SALT = 1_000_000
 
 
 def null_safe(left: DataFrame, right: DataFrame, pairs: Sequence[tuple[str, str]]) -> Column:
@@ -41,7 +42,7 @@ def _heavy_keys(df: DataFrame, keys: Sequence[str], n: int) -> DataFrame:
     """
     return (
         df.groupBy(*keys).count().orderBy(F.desc("count"), *keys).limit(n)
-        .select(*keys, F.lit(True).alias("__hot"))
+        .select(*keys, F.lit(True).alias("__hot"), F.col("count").alias("__rows"))
     )
 
 
@@ -52,14 +53,18 @@ def panel_join(
     columns: Sequence[str] | None = None,
     how: str = "inner",
     hot_keys: int | None = None,
-    salts: int = SALTS,
+    salts: int | None = None,
 ) -> DataFrame:
     """Equi-join on the panel key, the right side cut to ``columns`` first.
 
     Adaptive execution splits skewed partitions by itself.  ``hot_keys=n`` spreads the ``n``
-    most frequent keys of the left side over ``salts`` tasks explicitly, copying only the
-    right rows of those keys; the result is the same.
+    most frequent keys of the left side over several tasks explicitly, copying only the right
+    rows of those keys; the result is the same.  A key gets ``salts`` tasks, by default one for
+    each ROWS_PER_SALT of its rows and two at least.  Kinds of join that keep unmatched right
+    rows would keep their copies, and are refused.
     """
+    if hot_keys is not None and how not in ("inner", "left", "leftouter", "left_outer", "left_semi"):
+        raise ValueError(f"a {how} join cannot spread hot keys")
     keys = list(keys)
     if columns is not None:
         right = right.select(*keys, *[c for c in columns if c not in keys])
@@ -70,13 +75,14 @@ def panel_join(
     heavy = F.broadcast(_heavy_keys(left, keys, hot_keys))  # at most hot_keys rows
     # Row content plus task number: copies of one row spread out too, and a retried task
     # puts every row where it was before.
-    content = F.pmod(F.xxhash64(*[F.col(c) for c in left.columns]), F.lit(salts))
-    spread = F.pmod(content + F.spark_partition_id(), F.lit(salts)).cast("int")
+    n = F.lit(salts) if salts else F.greatest(F.lit(2), F.ceil(F.col("__rows") / ROWS_PER_SALT)).cast("int")
+    content = F.pmod(F.xxhash64(*[left[c] for c in left.columns]), n)
+    spread = F.pmod(content + F.spark_partition_id(), n).cast("int")
     salted_left = left.join(heavy, keys, "left").select(
         left["*"], F.when(F.col("__hot"), spread).otherwise(0).alias("__salt")
     )
     copies = F.when(
-        F.col("__hot"), F.sequence(F.lit(0), F.lit(salts - 1))
+        F.col("__hot"), F.sequence(F.lit(0), n - 1)
     ).otherwise(F.array(F.lit(0)))
     salted_right = right.join(heavy, keys, "left").select(
         right["*"], F.explode(copies).alias("__salt")
@@ -106,17 +112,29 @@ def joined_sums(
     right_by: Sequence[str] = (),
     how: str = "inner",
     within: DataFrame | None = None,
+    unique: bool = False,
 ) -> DataFrame:
     """Sums of left-side expressions over ``left JOIN right``, by columns of either side.
 
     Both sides are aggregated on the key first; a left sum then counts once per matching
     right row.  ``left_semi`` counts it once.  ``left`` keeps unmatched rows, their
     right-side groups null.  ``within`` first restricts the left side to keys it contains.
+    ``unique`` says that neither side repeats a key: grouping by it would reduce nothing, so the
+    rows are joined as they are, with one exchange a side.
     """
+    if how not in ("inner", "left", "left_semi"):
+        raise ValueError(f"sums over a {how} join are not defined")
     keys = list(keys)
     if clash := set(right_by) & set(keys):
         raise ValueError(f"group key columns by the left side: {sorted(clash)}")
     by = [*left_by, *right_by]
+    if unique:
+        names = dict.fromkeys([*keys, *left_by])
+        partial = left.select(*names, *[e.alias(name) for name, e in sums.items()])
+        if within is not None:
+            partial = partial.join(within.select(*keys), keys, "left_semi")
+        matched = partial.join(right.select(*keys, *right_by), keys, how)
+        return additive_sums(matched, {name: F.col(name) for name in sums}, by)
     partial = additive_sums(left, sums, dict.fromkeys([*keys, *left_by]))
     if within is not None:
         partial = partial.join(within.select(*keys).distinct(), keys, "left_semi")

@@ -25,7 +25,7 @@ from surveyspark.functions.columns import (
 )
 from surveyspark.sources.dictionary import Dictionary
 
-# Larger code tables are joined instead of being compiled into the plan.
+# Larger code tables are joined instead of being compiled into the plan; labels are the same.
 INLINE_CODES = 200
 
 
@@ -119,11 +119,10 @@ class _Labels:
     def of(self, name: str, code: Column, codes: Mapping[int, str]) -> Column:
         if len(codes) > INLINE_CODES:
             at, label = f"{name}__code", f"{name}__label"
-            # The driver holds the dictionary, so the size of this side is known.
             table = self._df.sparkSession.createDataFrame(
                 list(codes.items()), f"`{at}` int, `{label}` string"
             )
-            self._df = self._df.join(F.broadcast(table), code == F.col(at), "left")
+            self._df = self._df.join(table, code == F.col(at), "left")
             return F.col(label)
         key = tuple(codes.items())
         if key not in self._maps:  # most questions share one answer list

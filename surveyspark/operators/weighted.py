@@ -330,8 +330,8 @@ def headline(frames: Sequence[DataFrame]) -> DataFrame:
 
 
 def running_weight(
-    df: DataFrame, x: str, w: str | Weight = V.WEIGHT, by: Sequence[str] = (), slices: int = 64,
-    _around_half: bool = False,
+    df: DataFrame, x: str, w: str | Weight = V.WEIGHT, by: Sequence[str] = (),
+    slices: int | None = None, _around_half: bool = False,
 ) -> DataFrame:
     """(by..., x, weight, cumulative, total) per distinct value, weights in summed units.
 
@@ -340,8 +340,11 @@ def running_weight(
     accumulated, and each slice then runs on its own from where the one before it ended.
 
     The cut points come from the values of lowest hash, an even sample that any evaluation
-    repeats exactly.  They affect balance only: sums are exact.
+    repeats exactly.  They affect balance only: sums are exact.  By default there are as many
+    slices as shuffle partitions, 64 at least, so that they follow what the session is set to.
     """
+    if slices is None:
+        slices = max(64, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     if slices < 2:
         raise ValueError("at least two slices are needed")
     by = list(by)
@@ -396,8 +399,8 @@ def running_weight(
 
 
 def weighted_median(
-    df: DataFrame, x: str, w: str | Weight = V.WEIGHT, by: Sequence[str] = (), slices: int = 64,
-    name: str = "median",
+    df: DataFrame, x: str, w: str | Weight = V.WEIGHT, by: Sequence[str] = (),
+    slices: int | None = None, name: str = "median",
 ) -> DataFrame:
     """Lower weighted median: the smallest value at which half the weight is reached.
 
@@ -415,8 +418,8 @@ def weighted_histogram(
 ) -> DataFrame:
     """(by..., bin, bin_lo, bin_hi, pop), equal widths, the last bin closed on both sides.
 
-    Values above ``hi`` are clipped into the last bin or dropped.  ``lo``/``hi`` of ``None``
-    are taken from the data.
+    Values beyond ``lo`` or ``hi`` are clipped into the first and last bin, or dropped.  Limits
+    of ``None`` are taken from the data.  A range without width is bin 1 alone.
     """
     if overflow not in ("clip", "drop"):
         raise ValueError(f"unknown overflow policy {overflow!r}")
@@ -424,6 +427,8 @@ def weighted_histogram(
     known = df.where(F.col(x).isNotNull())
     if hi is not None and overflow == "drop":
         known = known.where(F.col(x) <= hi)
+    if lo is not None and overflow == "drop":
+        known = known.where(F.col(x) >= lo)
 
     def bound(limit: float | None, f) -> Column:
         return F.lit(float(limit)) if limit is not None else known.agg(
@@ -437,9 +442,13 @@ def weighted_histogram(
                      high.alias("__hi"))
         .groupBy(
             *by, "__lo", "__hi",
-            F.least(
-                F.width_bucket(F.least("__x", "__hi"), F.col("__lo"), F.col("__hi"), F.lit(bins)),
-                F.lit(bins),
+            F.when(F.col("__lo") == F.col("__hi"), F.lit(1).cast("bigint")).otherwise(
+                F.least(
+                    F.width_bucket(
+                        F.greatest(F.least("__x", "__hi"), "__lo"), F.col("__lo"), F.col("__hi"), F.lit(bins)
+                    ),
+                    F.lit(bins),
+                )
             ).alias("bin"),
         )
         .agg(w.population(F.sum("__w")).alias("pop"))

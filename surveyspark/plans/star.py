@@ -145,27 +145,31 @@ def publish_star(
 
     The decoded microdata are written once, columnar, to a shared folder, and each table
     then reads back only its own columns: the CSVs are parsed and decoded once instead of
-    once per table.  The stage is removed when all tables are written.  With ``incremental``
+    once per table.  The stage is removed at the end, also after a failure; a table whose write
+    failed keeps its old months.  With ``incremental``
     only the months present are replaced.
     """
     spark = labelled.sparkSession
     stage = stage or posixpath.join(
         shared_folder(spark, base), f"_decoded_{uuid.uuid4().hex}"
     )
-    with wide_row_codegen(spark):
-        write_partitioned(labelled, stage)
-    decoded = spark.read.schema(labelled.schema).parquet(stage)
-    tables = build_star(decoded, dictionary, **options)
-    write = overwrite_period if incremental else write_partitioned
-
-    def publish(name: str) -> None:
-        write(tables[name], posixpath.join(base, name))
-
-    # Independent jobs: the tail of one leaves room for the next.
-    with ThreadPoolExecutor(WRITERS) as pool:
-        list(pool.map(publish, tables))
-    if not keep_stage:
-        remove_folder(spark, stage)
+    try:
+        with wide_row_codegen(spark):
+            write_partitioned(labelled, stage)
+        decoded = spark.read.schema(labelled.schema).parquet(stage)
+        built = build_star(decoded, dictionary, **options)
+        tables = {name: built[name] for name in built}  # all are analysed before the first write
+        write = overwrite_period if incremental else write_partitioned
+
+        def publish(name: str) -> None:
+            write(tables[name], posixpath.join(base, name))
+
+        # Independent jobs: the tail of one leaves room for the next.
+        with ThreadPoolExecutor(WRITERS) as pool:
+            list(pool.map(publish, tables))
+    finally:
+        if not keep_stage:
+            remove_folder(spark, stage)
     if dictionary_table is not None:
         write_partitioned(
             dim_dictionary(dictionary_table), posixpath.join(base, "dim_dicionario"), None
@@ -248,19 +252,24 @@ class Survey:
         match_by: Sequence[str] = (),
         how: str = "inner",
         derive: Mapping[str, Column] | None = None,
+        within: DataFrame | None = None,
     ) -> DataFrame:
         """Sums over a fact, optionally joined with another table on the panel key.
 
-        ``derive`` adds columns to group by.
+        ``derive`` adds columns to group by.  ``within`` gives the people to restrict the fact to
+        instead of the selection's.
         """
         df = self._region_rows(self.period_rows(table), skip)
         if derive:
             df = df.withColumns(dict(derive))
         if where is not None:
             df = df.where(where)
-        people = self.people(skip)
+        people = self.people(skip) if within is None else within
         if match is not None:
-            return joined_sums(df, match, sums, self.keys, by, match_by, how, within=people)
+            unique = set(V.FULL_KEY) <= set(self.keys)
+            return joined_sums(
+                df, match, sums, self.keys, by, match_by, how, within=people, unique=unique
+            )
         if people is not None:
             return joined_sums(df, people, sums, self.keys, by, how="left_semi")
         return additive_sums(df, sums, by)
@@ -272,9 +281,10 @@ class Survey:
         """Sums by profile attributes, the selection applied to the same profile rows."""
         people = self.people(skip)
         profile = self.period_rows("dim_perfil") if people is None else people
+        # Unmatched rows of a left join must not bring back people who were not chosen.
         return self.sums(
             table, sums, by, ["age_bands", "sexes", *skip], match=profile, match_by=columns,
-            how=how,
+            how=how, within=people if how == "left" else None,
         )
 
 

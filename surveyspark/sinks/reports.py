@@ -61,6 +61,7 @@ def run_index(
             write_spec_csv(result, path, sep=sep, bom=True)
             rows = read_spec_csv(spark, path, sep).count()
             entries.append((q.slug, q.title, path, rows, len(result.columns), "OK", None))
-        except PySparkException as failure:
-            entries.append((q.slug, q.title, None, 0, 0, "ERRO", str(failure)))
+        except Exception as failure:  # whatever a question raises, the others still run
+            kind = "" if isinstance(failure, PySparkException) else f"{type(failure).__name__}: "
+            entries.append((q.slug, q.title, None, 0, 0, "ERRO", f"{kind}{failure}"))
     return spark.createDataFrame(entries, INDEX_SCHEMA)

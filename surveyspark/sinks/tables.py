@@ -55,7 +55,9 @@ def publish_table(
     """Create or replace an external catalog table at ``path``; returns its full name.
 
     Tables bucketed by the panel key (same ``buckets``) join with each other without a
-    shuffle, which is where most of the cost of fact-to-dimension joins lies.
+    shuffle, which is where most of the cost of fact-to-dimension joins lies.  A bucketed table
+    is dealt by bucket before it is written, so each bucket and period is one file, and is
+    written whole.
     """
     spark = df.sparkSession
     name = f"`{database}`.`{table}`"
@@ -65,6 +67,8 @@ def publish_table(
     if partition:
         writer = writer.option("partitionOverwriteMode", "dynamic").partitionBy(partition)
     if buckets:
+        writer = df.repartition(buckets, *bucket_keys).write.format("parquet").mode("overwrite").option("path", path)
+        writer = writer.partitionBy(partition) if partition else writer
         writer = writer.bucketBy(buckets, *bucket_keys).sortBy(*bucket_keys)
     writer.saveAsTable(name)
     return name

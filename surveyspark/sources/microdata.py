@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
@@ -93,12 +94,18 @@ def discover_periods(
 def dedupe_period_files(
     files: Iterable[PeriodFile],
 ) -> tuple[list[PeriodFile], list[PeriodFile]]:
-    """Keep one file per period, plain before gzip; returns (kept, ignored)."""
-    ranked = sorted(files, key=lambda f: (f.period, f.compressed, f.path))
+    """Drop the gzip twin of a plain file; returns (kept, ignored).
+
+    Twins differ in their ending only.  Other files of the same month are different files and
+    are all kept.
+    """
+    seen: set[tuple[str, str]] = set()
     kept: list[PeriodFile] = []
     ignored: list[PeriodFile] = []
-    for f in ranked:
-        (ignored if kept and kept[-1].period == f.period else kept).append(f)
+    for f in sorted(files, key=lambda f: (f.period, f.compressed, f.path)):
+        name = (f.period, re.sub(r"(\.csv)?(\.gz)?$", "", f.path))
+        (ignored if name in seen else kept).append(f)
+        seen.add(name)
     return kept, ignored
 
 

@@ -64,3 +64,41 @@ def test_grouping_by_a_right_key_is_refused(spark):
     df = spark.createDataFrame([("a", 1)], "k string, x int")
     with pytest.raises(ValueError):
         J.joined_sums(df, df, {"s": F.col("x")}, ["k"], right_by=["k"])
+
+
+@pytest.mark.parametrize("how", ["right", "full", "outer", "left_anti"])
+def test_hot_keys_are_refused_where_their_copies_would_show(spark, how):
+    df = spark.createDataFrame([("a", 1)], "k string, x int")
+    with pytest.raises(ValueError):
+        J.panel_join(df, df.withColumnRenamed("x", "y"), ["k"], how=how, hot_keys=1)
+    with pytest.raises(ValueError):
+        J.joined_sums(df, df, {"s": F.col("x")}, ["k"], how=how)
+
+
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_salts_follow_the_count_of_a_key(spark, how, monkeypatch):
+    monkeypatch.setattr(J, "ROWS_PER_SALT", 10)
+    a = spark.createDataFrame([("hot", i) for i in range(95)] + [("b", 1), (None, 2)], "k string, x int")
+    b = spark.createDataFrame([("hot", "r"), ("hot", "s"), ("c", "t")], "k string, h string")
+    assert text(J.panel_join(a, b, ["k"], how=how, hot_keys=1)) == text(J.panel_join(a, b, ["k"], how=how))
+
+
+@QUICK
+@given(left=LEFT, right=RIGHT)
+def test_unreduced_sums_equal_the_reduced_ones(spark, left, right):
+    a = spark.createDataFrame(left, "k string, g string, x int")
+    b = spark.createDataFrame(right, "k string, h string")
+    for how in ("inner", "left"):
+        one, two = (J.joined_sums(a, b, {"s": F.col("x")}, ["k"], ["g"], ["h"], how, within=b, unique=u) for u in (True, False))
+        assert text(one) == text(two)
+
+
+def test_a_unique_key_takes_one_exchange_a_side(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        a = spark.createDataFrame([("a", 1)], "k string, x int")
+        b = spark.createDataFrame([("a", "r")], "k string, h string")
+        plan = J.joined_sums(a, b, {"s": F.col("x")}, ["k"], right_by=["h"], unique=True)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning(k") == 2
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

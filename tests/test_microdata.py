@@ -77,3 +77,11 @@ def test_month_as_a_folder_of_part_files(spark, tmp_path):
     found = MD.discover_periods(spark, f"{tmp_path}/survey_*")
     assert [(f.period, f.compressed) for f in found] == [("2021-05", False)]
     assert rows(MD.read_periods(spark, found).groupBy("MES_REF").count()) == [("2021-05", 10)]
+
+
+def test_two_files_of_one_month_are_both_kept():
+    names = ["d/north_092020.csv", "d/south_092020.csv", "d/south_092020.csv.gz", "d/old_102020.csv.gz"]
+    files = [MD.PeriodFile("2020-10" if "10" in n else "2020-09", n, n.endswith(".gz")) for n in names]
+    kept, ignored = MD.dedupe_period_files(files)
+    assert sorted(f.path for f in kept) == sorted(n for n in names if n != "d/south_092020.csv.gz")
+    assert [f.path for f in ignored] == ["d/south_092020.csv.gz"]

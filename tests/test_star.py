@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from surveyspark import fixed_values as V
 from surveyspark.functions.measures import Weight
-from surveyspark.operators.filters import Options, Selection
+from surveyspark.operators.filters import Options, Selection, is_partial
 from surveyspark.plans import analyses as A
 from surveyspark.plans import questions as Q
 from surveyspark.plans import star as S
@@ -166,3 +166,37 @@ def test_catalog_publication(spark, labelled, tmp_path):
     # publishing again replaces the table
     tables.publish_table(labelled.limit(1), "tdb", "saude", str(tmp_path / "t2"))
     assert spark.table(name).count() == 1
+
+
+def test_run_index_survives_any_error(spark, tmp_path):
+    def fails():
+        raise KeyError("no_table")
+
+    index = reports.run_index(spark, [reports.Question("x", "X", fails)], str(tmp_path)).collect()
+    assert [(r["status"], r["erro"]) for r in index] == [("ERRO", "KeyError: 'no_table'")]
+
+
+def test_the_stage_goes_when_a_table_fails(spark, labelled, dictionary, tmp_path, monkeypatch):
+    def fails(df, path):
+        raise RuntimeError("disk full")
+
+    monkeypatch.setattr(S, "overwrite_period", fails)
+    with pytest.raises(RuntimeError):
+        S.publish_star(labelled, dictionary, str(tmp_path / "star"), stage=str(tmp_path / "stage"))
+    assert not (tmp_path / "stage").exists()
+
+
+def test_a_bucket_of_a_period_is_one_file(spark, labelled, tmp_path):
+    name = tables.publish_table(labelled.repartition(6), "surveyspark_tests", "buckets", str(tmp_path / "t"), buckets=4, bucket_keys=["id_domicilio"])
+    try:
+        periods = labelled.select("MES_REF").distinct().count()
+        assert 0 < len(list((tmp_path / "t").rglob("*.parquet"))) <= 4 * periods
+        assert spark.table(name).count() == labelled.count()
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
+def test_a_selection_needs_no_known_options(spark, published):
+    s = S.load_star(spark, published).where(selection=Selection(sexes=["Mulher"]))
+    assert s.people() is not None and {r["sexo"] for r in s.people().select("sexo").distinct().collect()} == {"Mulher"}
+    assert not is_partial(["a", "b", "b"], ["a", "b"]) and is_partial(["a", "a"], ["a", "b"]) and not is_partial([], [])

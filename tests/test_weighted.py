@@ -177,3 +177,25 @@ def test_shares_add_up(spark, data):
     for g in {r["g"] for r in pops}:
         inside = [r["pct"] for r in W.composition_within_group(df, ["g"], "x", "w").collect() if r["g"] == g]
         assert math.isclose(sum(inside), 100.0)
+
+
+def test_histogram_values_below_the_range(spark):
+    df = spark.createDataFrame([(x, 1.0) for x in (-500.0, 0.0, 5.0, 99.0, 200.0)], "x double, w double")
+    clip = {r["bin"]: (r["bin_lo"], r["bin_hi"], r["pop"]) for r in W.weighted_histogram(df, "x", 10, 100, w="w").collect()}
+    assert clip == {1: (0.0, 10.0, 3.0), 10: (90.0, 100.0, 2.0)}
+    drop = {r["bin"]: r["pop"] for r in W.weighted_histogram(df, "x", 10, 100, overflow="drop", w="w").collect()}
+    assert drop == {1: 2.0, 10: 1.0}
+    one = W.weighted_histogram(df.where("x = 5"), "x", 10, None, None, w="w").collect()
+    assert [(r["bin"], r["bin_lo"], r["bin_hi"], r["pop"]) for r in one] == [(1, 5.0, 5.0, 1.0)]
+
+
+def test_slices_follow_the_shuffle_partitions(spark):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    df = spark.range(2000).select(F.col("id").cast("double").alias("x"), F.lit(1.0).alias("w"))
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "200")
+        plan = W.running_weight(df, "x", "w")._jdf.queryExecution().logical().toString()
+        assert "/ 200" in plan
+        assert W.weighted_median(df, "x", "w").first()["median"] == 999.0
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)

@@ -5,13 +5,15 @@ strings have the same anchor at the same place, so strings are compared only whe
 strings of one anchor start at neighbouring places; the bytes that they cover together are the
 anchor's context. Most repeated strings lie in contexts that are repeated as a whole, which counting
 (anchor, context) finds. What is left are anchors with several contexts, near the ends of matches:
-of each different context one copy is compared with the anchor's others, string by string.
+one copy of each different context goes on. Those of an anchor come together in one task, in shards by
+document. Each shard gets its Burrows-Wheeler transform over blocks of bytes, the transforms are merged
+by iterative interleave refinement, and the intervals of suffixes that have LENGTH bytes in common are
+the repeated strings.
 
-Two passes over the texts, then one to cut the bytes. The second pass looks anchors up in bitmaps of
-fixed size; what they let through by chance does not change the result. An anchor with more than HOT
-contexts is not held in one task: its strings are counted by hash.
-
-This is not the method that was asked for, merging of Burrows-Wheeler transforms; see the README.
+Transforms of all text are not built: the README has the figures. Two passes over the texts, then one
+to cut the bytes. The second pass looks anchors up in bitmaps of fixed size; what they let through by
+chance does not change the result. An anchor with more than HOT contexts is not held in one task: its
+strings are counted by hash.
 
 Defined cases: null and short texts keep all bytes; rows with equal doc_id and text are two
 documents with equal bytes, so both lose what is long enough; null doc_ids take part; an empty table
@@ -30,6 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from surveyspark.llm import wordbytes as W
+from surveyspark.llm.bwt import Suffixes, merge, order, suffixes, transform
 from surveyspark.llm.common import OWN, load, row_key, stored
 from surveyspark.llm.hashbits import bitmap, holds
 
@@ -40,6 +43,9 @@ HOT = 10_000
 BITMAP_BITS = 27
 #: Bytes that are hashed at once; a longer text is hashed alone.
 PIECE = 1 << 18
+#: Shards of the texts that are compared, by their hash, and the largest block of bytes that is a symbol.
+SHARDS = 4
+MOST_BLOCK = 25
 ID, TH = f"{OWN}id", f"{OWN}th"
 _PLACE_BITS = np.uint64(28)
 _PLACE = (np.uint64(1) << _PLACE_BITS) - np.uint64(1)
@@ -146,14 +152,50 @@ def _runs(batch: pa.RecordBatch, row: np.ndarray, place: np.ndarray) -> pa.Recor
     return pa.RecordBatch.from_arrays(_rows(batch, row[start], pa.array(lo + place[start], pa.int32()), pa.array(lo + place[stop], pa.int32())), names=[ID, TH, "lo", "hi"])
 
 
-def _compared(length: int):
-    """(id, th, lo, key, body), keys together -> runs of strings that another row has too."""
+def shared_strings(bodies: pa.Array, shard: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """(body, place) of the strings that start more than once, from the merged transforms of the bodies' shards."""
+    block = max(k for k in range(1, MOST_BLOCK + 1) if length % k == 0)
+    data, offsets = W.buffer(bodies)
+    size = np.diff(offsets)
+    # Bodies in order of their shards, so that symbols can be numbered once for all.
+    deal = np.argsort(shard, kind="stable")
+    base = np.repeat(offsets[deal], size[deal] + 1)
+    at = np.arange(len(base)) - np.repeat(np.cumsum(size[deal] + 1) - (size[deal] + 1), size[deal] + 1)
+    body = np.repeat(deal, size[deal] + 1)
+    whole = size[body] - at >= block
+    start = (base + at)[whole]
+    every = suffixes(W.range_hash(W.prefix_hash(data), start, start + block), size[deal], block)
+    cuts = np.concatenate([[0], np.cumsum(np.bincount(shard, weights=size + 1, minlength=SHARDS).astype(np.int64))])
+    orders, transforms, ends = [], [], []
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        own = Suffixes(every.symbol[a:b], np.where(every.following[a:b] >= 0, every.following[a:b] - a, -1))
+        ordered = order(own)
+        orders.append(ordered + a)
+        transforms.append(transform(own, ordered))
+        ends.append(int((~whole[a:b]).sum()))
+    interleave, classes = merge(transforms, ends, length // block)
+    of = np.empty(len(classes), np.int64)
+    of[np.concatenate(orders)] = classes[np.argsort(interleave, kind="stable")]
+    again = np.flatnonzero(np.bincount(of)[of] > 1)
+    again = again[np.lexsort((at[again], body[again]))]
+    return body[again], at[again]
 
-    def settled(batch: pa.RecordBatch) -> pa.RecordBatch:
-        row, place, h = _strings(batch.column(4), length)
-        _, of, n = np.unique(h, return_inverse=True, return_counts=True)
-        again = n[of] > 1
-        return _runs(batch, row[again], place[again])
+
+def _compared(length: int):
+    """(id, th, lo, key, body), keys together -> runs of strings that another place has too."""
+
+    def settled(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        key = batch.column(3).to_numpy()
+        _, offsets = W.buffer(batch.column(4))
+        last = np.flatnonzero(np.concatenate([key[1:] != key[:-1], [True]])) + 1
+        a = 0
+        while a < len(key):
+            # Whole keys, of about PIECE bytes together.
+            b = int(last[min(max(np.searchsorted(last, a, "right"), np.searchsorted(offsets[last], offsets[a] + PIECE, "right") - 1), len(last) - 1)])
+            part = batch.slice(a, b - a)
+            shard = (part.column(1).to_numpy() % SHARDS).astype(np.int64)
+            yield _runs(part, *shared_strings(part.column(4), shard, length))
+            a = b
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = None
@@ -164,15 +206,17 @@ def _compared(length: int):
             # The last key may go on in the next batch.
             cut = int(np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))[-1]) if len(key) else 0
             if cut:
-                yield settled(batch.slice(0, cut))
+                yield from settled(batch.slice(0, cut))
             rest = batch.slice(cut)
         if rest is not None and rest.num_rows:
-            yield settled(rest)
+            yield from settled(rest)
 
     return run
 
 
 def _exploded(length: int):
+    """(id, th, lo, key, body) -> (id, th, lo, h) of all strings."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             row, place, h = _strings(batch.column(4), length)

@@ -154,3 +154,38 @@ PUBLISHED_DICTIONARY_COLUMNS = (
 )
 # The household weight is declared an integer but carries decimals in the data.
 TYPE_OVERRIDES = {"peso_domicilio_pessoas": "double"}
+
+# --- fixed values: reports and KPI tables ----------------------------------------------------
+# Slug and title of each report, in order.
+REPORTS = {
+    "01_evolucao_geral_sintomas_gripais": "Evolução geral de sintomas gripais por mês",
+    "02_sintomas_gripais_por_regiao": "Sintomas gripais por região",
+    "03_sintomas_por_faixa_etaria": "Sintomas por faixa etária",
+    "04_gravidade_dificuldade_respirar": "Gravidade clínica: dificuldade para respirar",
+    "05_sintomas_com_comorbidades": "População com sintomas e comorbidades",
+    "06_busca_atendimento_saude": "Busca por atendimento de saúde",
+    "07_local_atendimento": "Onde a população buscou atendimento",
+    "08_isolamento_rigoroso_por_mes": "Isolamento rigoroso por mês",
+    "09_home_office_por_regiao": "Home office por região",
+    "10_situacao_mercado_trabalho": "Situação do mercado de trabalho",
+    "11_dependencia_auxilio_emergencial": "Dependência de auxílio emergencial",
+    "12_renda_efetiva_media_por_regiao": "Renda efetiva média por região",
+    "13_insights_prevencao_proximo_surto": "Insights para prevenção de próximo surto de COVID",
+}
+# Description and group of each KPI.
+KPI_TEXTS = {
+    "test_taken": ("Realizou teste", "testagem"),
+    "test_result": ("Resultado Positivo", "testagem"),
+    "strict": ("Ficou rigorosamente em casa", "protecao"),
+    "care_all": ("Buscou atendimento (geral)", "atendimento"),
+    "care_cases": ("Buscou atendimento (sintomáticos)", "atendimento"),
+    "remote": ("Home office (entre ocupados)", "trabalho"),
+    "aid": ("Recebeu Auxílio Emergencial", "beneficio"),
+    "family_aid": ("Recebeu Bolsa Família", "beneficio"),
+    "unemployment": ("Recebeu Seguro Desemprego", "beneficio"),
+    "aid_mean": ("Valor médio Auxílio Emergencial", "renda"),
+    "no_income": ("Sem renda efetiva no mês", "renda"),
+    "income_mean": ("Média renda efetiva", "renda"),
+    "income_median": ("Mediana renda efetiva", "renda"),
+    "aid_by_region": ("Auxílio médio - ", "renda_regiao"),
+}

@@ -129,28 +129,25 @@ def regional_risk(s: Survey) -> DataFrame:
     return panel.orderBy(V.PERIOD, F.desc(columns[0]), "regiao")
 
 
-# slug, title, function
-CATALOGUE: tuple[tuple[str, str, Callable[[Survey], DataFrame]], ...] = (
-    ("01_evolucao_geral_sintomas_gripais", "Evolução geral de sintomas gripais por mês",
-     symptom_rate),
-    ("02_sintomas_gripais_por_regiao", "Sintomas gripais por região", symptom_rate_by_region),
-    ("03_sintomas_por_faixa_etaria", "Sintomas por faixa etária", symptom_rate_by_age),
-    ("04_gravidade_dificuldade_respirar", "Gravidade clínica: dificuldade para respirar",
-     breathing_difficulty),
-    ("05_sintomas_com_comorbidades", "População com sintomas e comorbidades",
-     symptomatic_with_comorbidity),
-    ("06_busca_atendimento_saude", "Busca por atendimento de saúde", care_seeking),
-    ("07_local_atendimento", "Onde a população buscou atendimento", care_places),
-    ("08_isolamento_rigoroso_por_mes", "Isolamento rigoroso por mês", strict_isolation),
-    ("09_home_office_por_regiao", "Home office por região", home_office_by_region),
-    ("10_situacao_mercado_trabalho", "Situação do mercado de trabalho", labour_status),
-    ("11_dependencia_auxilio_emergencial", "Dependência de auxílio emergencial", emergency_aid),
-    ("12_renda_efetiva_media_por_regiao", "Renda efetiva média por região", income_by_region),
-    ("13_insights_prevencao_proximo_surto", "Insights para prevenção de próximo surto",
-     regional_risk),
+# The reports of fixed_values.REPORTS in order.
+REPORT_FUNCTIONS: tuple[Callable[[Survey], DataFrame], ...] = (
+    symptom_rate,
+    symptom_rate_by_region,
+    symptom_rate_by_age,
+    breathing_difficulty,
+    symptomatic_with_comorbidity,
+    care_seeking,
+    care_places,
+    strict_isolation,
+    home_office_by_region,
+    labour_status,
+    emergency_aid,
+    income_by_region,
+    regional_risk,
 )
 
 
 def question_set(s: Survey) -> list[Question]:
     """The catalogue bound to a survey, for ``sinks.reports.run_index``."""
-    return [Question(slug, title, partial(f, s)) for slug, title, f in CATALOGUE]
+    reports = zip(V.REPORTS.items(), REPORT_FUNCTIONS, strict=True)
+    return [Question(slug, title, partial(f, s)) for (slug, title), f in reports]

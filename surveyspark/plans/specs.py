@@ -79,8 +79,8 @@ def clinical_spec(s: Survey) -> DataFrame:
     kpis = [
         *[kpi(c, label, "sintoma") for c, label in V.SPEC_SYMPTOMS.items()],
         *[kpi(c, label, "comorbidade") for c, label in V.SPEC_COMORBIDITIES.items()],
-        kpi(V.TEST_TAKEN, "Realizou teste", "testagem"),
-        kpi(V.TEST_RESULT, "Resultado Positivo", "testagem", V.POSITIVE),
+        kpi(V.TEST_TAKEN, *V.KPI_TEXTS["test_taken"]),
+        kpi(V.TEST_RESULT, *V.KPI_TEXTS["test_result"], V.POSITIVE),
     ]
     people = [
         s.weight.population(F.coalesce(F.col(k.ratio.num_sum), F.lit(0))) for k in kpis
@@ -104,19 +104,18 @@ def behaviour_spec(s: Survey) -> DataFrame:
     """Isolation, care seeking and home office; labour-market shares over all months."""
     strict = Kpi(
         M.share("strict", A.has(V.ISOLATION, V.STRICT_ISOLATION), s.weight, empty="zero"),
-        V.ISOLATION, "Ficou rigorosamente em casa", "protecao",
+        V.ISOLATION, *V.KPI_TEXTS["strict"],
     )
     care = M.share("care", A.has(V.CARE_SOUGHT), s.weight, empty="zero")
     care_all = Kpi(
-        care, "buscou_atendimento_saude_geral", "Buscou atendimento (geral)", "atendimento"
+        care, "buscou_atendimento_saude_geral", *V.KPI_TEXTS["care_all"]
     )
     care_cases = Kpi(
-        care, "buscou_atendimento_saude_sintomaticos", "Buscou atendimento (sintomáticos)",
-        "atendimento",
+        care, "buscou_atendimento_saude_sintomaticos", *V.KPI_TEXTS["care_cases"],
     )
     remote = Kpi(
         M.share("remote", A.has(V.HOME_OFFICE), s.weight, within=A.has(V.WORKED), empty="zero"),
-        V.HOME_OFFICE, "Home office (entre ocupados)", "trabalho",
+        V.HOME_OFFICE, *V.KPI_TEXTS["remote"],
     )
     cases = s.period_rows("base_saude").where(A.symptomatic())
 
@@ -164,19 +163,18 @@ ECONOMY_COLUMNS = [
 def economic_spec(s: Survey) -> DataFrame:
     """Benefits and income by month; income, overlap and regional aid over all months."""
     benefits = [
-        (V.AID, "Recebeu Auxílio Emergencial"),
-        (V.FAMILY_AID, "Recebeu Bolsa Família"),
-        ("recebeu_seguro_desemprego", "Recebeu Seguro Desemprego"),
+        (V.AID, V.KPI_TEXTS["aid"]),
+        (V.FAMILY_AID, V.KPI_TEXTS["family_aid"]),
+        ("recebeu_seguro_desemprego", V.KPI_TEXTS["unemployment"]),
     ]
     kpis = [
         *[
-            Kpi(M.share(c, A.has(c), s.weight, empty="zero"), c, label, "beneficio")
-            for c, label in benefits
+            Kpi(M.share(c, A.has(c), s.weight, empty="zero"), c, *texts) for c, texts in benefits
         ],
         Kpi(A.aid_mean(s, "aid_mean", empty="zero"), V.AID_AMOUNT,
-            "Valor médio Auxílio Emergencial", "renda", amount=True),
+            *V.KPI_TEXTS["aid_mean"], amount=True),
         Kpi(M.share("no_income", F.col(V.HAS_INCOME) == 0, s.weight, empty="zero"),
-            V.HAS_INCOME, "Sem renda efetiva no mês", "renda"),
+            V.HAS_INCOME, *V.KPI_TEXTS["no_income"]),
     ]
     income_mean = M.mean("income_mean", V.INCOME, s.weight, where=F.col(V.INCOME) > 0)
     nothing = F.lit(None).cast("double")
@@ -204,10 +202,10 @@ def economic_spec(s: Survey) -> DataFrame:
         for k in kpis
     ]
     aid = A.aid_mean(s, "aid_mean")  # the monthly one's sums, null where nobody is paid
-    mean_row = amount(V.INCOME, _text("Média renda efetiva"), income_mean.result(), "renda")
+    mean_row = amount(V.INCOME, _text(V.KPI_TEXTS["income_mean"][0]), income_mean.result(), V.KPI_TEXTS["income_mean"][1])
     region_row = amount(
-        "valor_auxilio_regiao", F.concat(F.lit("Auxílio médio - "), "regiao"), aid.result(),
-        "renda_regiao",
+        "valor_auxilio_regiao", F.concat(F.lit(V.KPI_TEXTS["aid_by_region"][0]), "regiao"), aid.result(),
+        V.KPI_TEXTS["aid_by_region"][1],
     )
     overlap_row = (
         _text(V.TOTAL), _text("sobreposicao_bf_ae"), F.col("grupo"), F.col("share"), nothing,
@@ -221,7 +219,7 @@ def economic_spec(s: Survey) -> DataFrame:
     )
     median = long_table(
         W.weighted_median(A.earners(s), V.INCOME, A.earners_weight(s)),
-        [amount(V.INCOME, _text("Mediana renda efetiva"), F.col("median").cast("double"), "renda")],
+        [amount(V.INCOME, _text(V.KPI_TEXTS["income_median"][0]), F.col("median").cast("double"), V.KPI_TEXTS["income_median"][1])],
         ECONOMY_COLUMNS,
     )
     return stack([blocks, median])

@@ -6,6 +6,7 @@ answer, the customer's nation the state.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -356,8 +357,9 @@ def _(spark, sf):
     return read_star_table(spark, path, "pedidos").groupBy(V.PERIOD, "run").agg(F.count("*").alias("rows"))
 
 
-def _database() -> str:
-    return "surveyspark_check"
+def _table(name: str) -> tuple[str, str]:
+    """Database and a table name of its own, so that two runs on one catalog do not meet."""
+    return "surveyspark_check", f"{name}_{uuid.uuid4().hex[:12]}"
 
 
 @operator(
@@ -366,7 +368,7 @@ def _database() -> str:
 )
 def _(spark, sf):
     name = tables.publish_table(
-        orders(spark, sf), _database(), "pedidos_k3", scratch(spark), buckets=4,
+        orders(spark, sf), *_table("pedidos_k3"), scratch(spark), buckets=4,
         bucket_keys=["o_custkey"],
     )
     return spark.table(name).groupBy(V.PERIOD).agg(F.count("*").alias("rows"))
@@ -379,7 +381,7 @@ def _(spark, sf):
 def _(spark, sf):
     path, o = scratch(spark), orders(spark, sf)
     early = o.where(F.col(V.PERIOD) < "2000")
-    name = tables.publish_table(early, _database(), "pedidos_k4", path)
+    name = tables.publish_table(early, *_table("pedidos_k4"), path)
     tables.overwrite_period(o.where(F.col(V.PERIOD) >= "2000"), path)
     tables.register_partitions(spark, name)
     return spark.table(name).groupBy(V.PERIOD).agg(F.count("*").alias("rows"))

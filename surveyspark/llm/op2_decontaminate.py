@@ -1,14 +1,15 @@
-"""Benchmark decontamination: rare seeds, then Smith-Waterman alignment of words.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment of words.
 
-A test item is cut into blocks of at most BLOCK words. Of every WINDOW consecutive n-grams of a block
-the one that is rarest in the corpus is a seed, so that a copied run of SEED + WINDOW - 1 words holds
-a seed, however often the item was copied. Places of documents that hold a seed are joined with the
-blocks that hold it, and the words around them are aligned with the block: matches score 2,
-substitutions, insertions and deletions -1. A document is contaminated by an item if an alignment
-reaches `threshold` of a block's full score.
+A test item is cut into blocks of at most BLOCK words. Every n-gram of a block is a seed: which of them
+an edited copy has left is not known before, so a copy with any SEED words in a row untouched is found,
+however often the item was copied. Places of documents that hold a seed are joined with the blocks that
+hold it, and the words around them are aligned with the block: matches score 2, substitutions,
+insertions and deletions -1. A document is contaminated by an item if an alignment reaches `threshold`
+of a block's full score. A match takes a word of the block, so a pair is not aligned if too few of the
+block's words are there at all.
 
-Two passes over the texts, one for the counts and one for the seeds. Both look words up in a bitmap of
-fixed size first, of which false hits fall out in the joins after it; only what hits is shuffled.
+One pass over the texts. It looks n-grams up in a bitmap of fixed size first, of which false hits fall
+out in the join after it; only what hits is shuffled.
 
 Defined cases: words are runs of letters and digits, A-Z lower-cased; null and empty texts hold
 nothing; items of fewer words than a seed are ignored; repeated documents or items give one row for
@@ -22,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from surveyspark.llm import wordbytes as W
@@ -30,7 +31,6 @@ from surveyspark.llm.common import OWN, load, row_key, stored
 from surveyspark.llm.hashbits import bitmap, holds
 
 SEED = 3
-WINDOW = 4
 BLOCK = 100
 THRESHOLD = 0.5
 #: Size of the bitmaps of hashes: 2^25 bits, 4 MB, whatever the number of items.
@@ -57,12 +57,12 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _block_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(item_id, block, words) -> (item_id, block, at, h)."""
+    """(item_id, block, words) -> (item_id, block, h)."""
     for batch in batches:
         for k in range(batch.num_rows):
             g = W.grams(np.array(batch.column(2)[k].as_py(), np.int64).view(np.uint64), SEED)
             n = pa.array(np.full(len(g), k), pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(n), batch.column(1).take(n), pa.array(np.arange(len(g)), pa.int32()), pa.array(g.view(np.int64))], names=["item_id", "block", "at", "h"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(n), batch.column(1).take(n), pa.array(g.view(np.int64))], names=["item_id", "block", "h"])
 
 
 def _hits(h: np.ndarray, of: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -74,20 +74,6 @@ def _hits(h: np.ndarray, of: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray,
     return text[inside], at[inside], g[at[inside]]
 
 
-def _counted(bits):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, offsets = W.buffer(batch.column(0))
-            found = [np.zeros(0, np.uint64)]
-            for i, j in W.pieces(offsets):
-                h, _, _, of = W.word_hashes(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], W.NON_WORD)
-                found.append(_hits(h, of, bits.value)[2])
-            g, n = np.unique(np.concatenate(found), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(n, pa.int64())], names=["h", "n"])
-
-    return run
-
-
 def _windows(bits, longest: int):
     """Words around the places with hits, with the hits' hashes; places that are near are one window."""
     reach = longest + longest // 2
@@ -137,17 +123,27 @@ def align(item: np.ndarray, words: np.ndarray) -> tuple[float, int, int]:
     return best / (2 * len(item)), end - back, end
 
 
-def _aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, item_id, first, words, item words) -> (doc_id, item_id, score, start_word, end_word)."""
-    for batch in batches:
-        out = []
-        for k in range(batch.num_rows):
-            words, item = (np.array(batch.column(c)[k].as_py(), np.int64) for c in (3, 4))
-            score, a, b = align(item, words)
-            first = batch.column(2)[k].as_py()
-            out.append((score, first + a, first + b))
-        score, a, b = zip(*out, strict=True) if out else ((), (), ())
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(score, pa.float64()), pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["doc_id", "item_id", "score", "start_word", "end_word"])
+def _aligned(threshold: float):
+    """(doc_id, item_id, first, words, item words) -> (doc_id, item_id, score, start_word, end_word) of what reaches the threshold."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, out = [], []
+            for k in range(batch.num_rows):
+                words, item = (batch.column(c)[k].values.to_numpy() for c in (3, 4))
+                # The score cannot be above the share of the item's words that are there.
+                if np.isin(item, words).sum() / len(item) < threshold:
+                    continue
+                score, a, b = align(item, words)
+                if score >= threshold:
+                    first = batch.column(2)[k].as_py()
+                    rows.append(k)
+                    out.append((score, first + a, first + b))
+            score, a, b = zip(*out, strict=True) if out else ((), (), ())
+            take = pa.array(rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(score, pa.float64()), pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["doc_id", "item_id", "score", "start_word", "end_word"])
+
+    return run
 
 
 def leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -156,16 +152,9 @@ def leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> Da
     doc_kind, item_kind = docs.schema["doc_id"].dataType.simpleString(), items.schema["item_id"].dataType.simpleString()
     blocks = items.select("item_id", "text").distinct().mapInArrow(_blocks, f"item_id {item_kind}, block int, words array<long>")
     blocks = stored(blocks, "blocks")
-    grams = stored(blocks.mapInArrow(_block_grams, f"item_id {item_kind}, block int, at int, h long"), "grams")
+    seeds = stored(blocks.mapInArrow(_block_grams, f"item_id {item_kind}, block int, h long").distinct(), "seeds")
     longest = blocks.agg(F.max(F.size("words"))).first()[0] or 0
 
-    counted = docs.select("text").mapInArrow(_counted(spark.sparkContext.broadcast(bitmap(grams, BITMAP_BITS))), "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-    by_item = Window.partitionBy("item_id", "block")
-    rarest = F.min(F.struct("n", "h", "at")).over(by_item.orderBy("at").rowsBetween(0, WINDOW - 1))
-    ranked = grams.join(counted, "h", "left").withColumn("n", F.coalesce("n", F.lit(0))).withColumn("seed", rarest).withColumn("last", F.max("at").over(by_item))
-    seeds = ranked.where(F.col("at") <= F.greatest(F.col("last") - (WINDOW - 1), F.lit(0))).select("item_id", "block", F.col("seed.h").alias("h")).distinct()
-    seeds = stored(seeds, "seeds")
-
     kinds = f"{OWN}id {doc_kind}, {OWN}th long, first long, words array<long>, seeds array<long>"
     found = docs.select(*row_key(), "text").mapInArrow(_windows(spark.sparkContext.broadcast(bitmap(seeds, BITMAP_BITS)), longest), kinds)
     found = stored(found, "windows")
@@ -174,7 +163,7 @@ def leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> Da
     pairs = pairs.join(found.drop("seeds"), F.col("i").eqNullSafe(F.col(f"{OWN}id")) & (F.col("t") == F.col(f"{OWN}th")) & (F.col("f") == F.col("first")))
     own = blocks.select(F.col("item_id").alias("of"), F.col("block").alias("b"), F.col("words").alias("item"))
     pairs = pairs.join(own, F.col("item_id").eqNullSafe(F.col("of")) & (F.col("block") == F.col("b"))).select(F.col("i").alias("doc_id"), "item_id", "first", "words", "item")
-    scored = pairs.mapInArrow(_aligned, f"doc_id {doc_kind}, item_id {item_kind}, score double, start_word long, end_word long").where(F.col("score") >= threshold)
+    scored = pairs.mapInArrow(_aligned(threshold), f"doc_id {doc_kind}, item_id {item_kind}, score double, start_word long, end_word long")
     best = F.max_by(F.struct("score", "start_word", "end_word"), F.struct("score", -F.col("start_word"), -F.col("end_word"))).alias("b")
     return scored.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "b.*")
 

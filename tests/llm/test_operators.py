@@ -109,6 +109,17 @@ def test_edited_and_reordered_copies(spark, odd, none):
     assert leak.leaks(docs, items.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("exact", [0, 1, 40])
+def test_copies_with_edits_spread_over_them(spark, exact):
+    passage = [f"w{k}" for k in range(40)]
+    edits = {n: " ".join(f"new{k}" if k % n == n - 1 else w for k, w in enumerate(passage)) for n in (4, 5, 6)}
+    docs = texts(spark, [(n, f"before {t} after") for n, t in edits.items()] + [(100 + k, " ".join(passage)) for k in range(exact)])
+    items = spark.createDataFrame([(1, " ".join(passage))], "item_id long, text string")
+    found = {r.doc_id: r.score for r in leak.leaks(docs, items).collect()}
+    assert set(found) == {4, 5, 6} | {100 + k for k in range(exact)}
+    assert all(found[n] == brute.align(passage, t.split()) / 80 for n, t in edits.items())
+
+
 # --- 3 -----------------------------------------------------------------------------------------------
 
 

@@ -13,8 +13,8 @@ out in the join after it; only what hits is shuffled.
 
 Defined cases: words are runs of letters and digits, A-Z lower-cased; null and empty texts hold
 nothing; items of fewer words than a seed are ignored; repeated documents or items give one row for
-each distinct (doc_id, item_id); null doc_ids or item_ids are values of their own; empty tables give
-an empty result.
+each distinct (doc_id, item_id); null doc_ids or item_ids are values of their own; of rows that share an
+id only those go whose own text is contaminated; empty tables give an empty result.
 """
 
 from __future__ import annotations
@@ -124,30 +124,30 @@ def align(item: np.ndarray, words: np.ndarray) -> tuple[float, int, int]:
 
 
 def _aligned(threshold: float):
-    """(doc_id, item_id, first, words, item words) -> (doc_id, item_id, score, start_word, end_word) of what reaches the threshold."""
+    """(id, th, item_id, first, words, item words) -> (id, th, item_id, score, start_word, end_word) of what reaches the threshold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows, out = [], []
             for k in range(batch.num_rows):
-                words, item = (batch.column(c)[k].values.to_numpy() for c in (3, 4))
+                words, item = (batch.column(c)[k].values.to_numpy() for c in (4, 5))
                 # The score cannot be above the share of the item's words that are there.
                 if np.isin(item, words).sum() / len(item) < threshold:
                     continue
                 score, a, b = align(item, words)
                 if score >= threshold:
-                    first = batch.column(2)[k].as_py()
+                    first = batch.column(3)[k].as_py()
                     rows.append(k)
                     out.append((score, first + a, first + b))
             score, a, b = zip(*out, strict=True) if out else ((), (), ())
             take = pa.array(rows, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(score, pa.float64()), pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["doc_id", "item_id", "score", "start_word", "end_word"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(c).take(take) for c in range(3)], pa.array(score, pa.float64()), pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=[f"{OWN}id", f"{OWN}th", "item_id", "score", "start_word", "end_word"])
 
     return run
 
 
-def leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_id, item_id, score, start_word, end_word) of the best alignment of each contaminated pair, words counted from 0."""
+def alignments(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The `row_key` columns, item_id, score, start_word and end_word of each alignment that reaches the threshold."""
     spark = docs.sparkSession
     doc_kind, item_kind = docs.schema["doc_id"].dataType.simpleString(), items.schema["item_id"].dataType.simpleString()
     blocks = items.select("item_id", "text").distinct().mapInArrow(_blocks, f"item_id {item_kind}, block int, words array<long>")
@@ -162,16 +162,22 @@ def leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> Da
     pairs = pairs.withColumnsRenamed({f"{OWN}id": "i", f"{OWN}th": "t", "first": "f"})
     pairs = pairs.join(found.drop("seeds"), F.col("i").eqNullSafe(F.col(f"{OWN}id")) & (F.col("t") == F.col(f"{OWN}th")) & (F.col("f") == F.col("first")))
     own = blocks.select(F.col("item_id").alias("of"), F.col("block").alias("b"), F.col("words").alias("item"))
-    pairs = pairs.join(own, F.col("item_id").eqNullSafe(F.col("of")) & (F.col("block") == F.col("b"))).select(F.col("i").alias("doc_id"), "item_id", "first", "words", "item")
-    scored = pairs.mapInArrow(_aligned(threshold), f"doc_id {doc_kind}, item_id {item_kind}, score double, start_word long, end_word long")
+    pairs = pairs.join(own, F.col("item_id").eqNullSafe(F.col("of")) & (F.col("block") == F.col("b"))).select("i", "t", "item_id", "first", "words", "item")
+    return pairs.mapInArrow(_aligned(threshold), f"{OWN}id {doc_kind}, {OWN}th long, item_id {item_kind}, score double, start_word long, end_word long")
+
+
+def leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(doc_id, item_id, score, start_word, end_word) of the best alignment of each contaminated pair, words counted from 0."""
     best = F.max_by(F.struct("score", "start_word", "end_word"), F.struct("score", -F.col("start_word"), -F.col("end_word"))).alias("b")
+    scored = alignments(docs, items, threshold).withColumnRenamed(f"{OWN}id", "doc_id")
     return scored.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "b.*")
 
 
 def clean_rows(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """`docs` less the documents (ids) that an item contaminates."""
-    gone = leaks(docs, items, threshold).select(F.col("doc_id").alias(f"{OWN}gone")).distinct()
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col(f"{OWN}gone")), "left_anti")
+    """`docs` less the rows that an item contaminates; other rows of the same id stay."""
+    gone = alignments(docs, items, threshold).select(F.col(f"{OWN}id").alias(f"{OWN}gone"), F.col(f"{OWN}th").alias(f"{OWN}of")).distinct()
+    keyed = docs.select("*", *row_key())
+    return keyed.join(gone, F.col(f"{OWN}id").eqNullSafe(F.col(f"{OWN}gone")) & (F.col(f"{OWN}th") == F.col(f"{OWN}of")), "left_anti").select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

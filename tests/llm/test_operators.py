@@ -120,6 +120,15 @@ def test_copies_with_edits_spread_over_them(spark, exact):
     assert all(found[n] == brute.align(passage, t.split()) / 80 for n, t in edits.items())
 
 
+def test_clean_rows_of_a_shared_id_stay(spark):
+    passage = "alpha beta gamma delta epsilon zeta eta theta iota kappa"
+    docs = texts(spark, [(None, f"{passage} end"), (None, "clean words"), (None, None), (1, passage), (1, "clean too"), (1, passage)])
+    items = spark.createDataFrame([(9, passage)], "item_id long, text string")
+    found = leak.clean_rows(docs, items)
+    assert found.columns == docs.columns
+    assert sorted(map(tuple, found.collect()), key=str) == sorted([(None, "clean words"), (None, None), (1, "clean too")], key=str)
+
+
 # --- 3 -----------------------------------------------------------------------------------------------
 
 

@@ -35,8 +35,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def minhash(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest id of each group of near copies, and all others."""
-    return op4_minhash.kept_rows(docs)
+    """The document of smallest id of each group of near copies, once if it is repeated, and all others; nulls are the largest ids."""
+    return op4_minhash.kept_rows(docs, repeats=False)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

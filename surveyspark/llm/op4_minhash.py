@@ -16,8 +16,9 @@ With 32 bands of 5, a pair at similarity 0.8 meets in no bucket with probability
 
 Defined cases: a text without words, or null, has an empty set and is linked with nothing; fewer
 words than a shingle make one shingle; null doc_ids take part, and a component's id is its smallest
-id that is not null; rows with equal ids are rows of their own, and all that carry the smallest id
-are kept; an empty table gives an empty result.
+id that is not null; rows with equal ids are rows of their own, and the query's kept column marks all
+that carry the smallest id, while `kept_rows` keeps one text of a component; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -202,8 +203,8 @@ def _sharing_edits(at: DataFrame, hubs: DataFrame, roots: DataFrame | None, text
     return dealt.mapInArrow(_matched, "a binary, b binary").distinct()
 
 
-def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
-    """The `row_key` columns, n_shingles and component_id of every row of `docs`."""
+def _grouped(docs: DataFrame, shingle: int, threshold: int) -> DataFrame:
+    """The `row_key` columns, n, component_id and `stays` (the row key of the component's first row; null without shingles) of every row of `docs`."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     keyed = docs.select(*row_key(), "text")
     signed = stored(keyed.mapInArrow(_signed(shingle), f"{ID} {kind}, {TH} long, n long, cls binary, bands array<long>"), "signed")
@@ -251,18 +252,33 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, threshold: int = TH
     if roots is None:
         roots = members.select(F.col("cls").alias("node"), F.col("cls").alias("root")).where("false")
 
-    of = classes.join(roots, F.col("cls") == F.col("node"), "left").select("cls", "first", F.coalesce("root", "cls").alias("root"))
-    ids = of.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = of.join(ids, "root").select("cls", "component_id")
-    return signed.join(named, "cls", "left").select(ID, TH, F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col(ID)).alias("component_id"))
+    of = classes.join(roots, F.col("cls") == F.col("node"), "left").select("cls", "first", "row", F.coalesce("root", "cls").alias("root"))
+    ids = of.groupBy("root").agg(F.min("first").alias("component_id"), F.min("row").alias("stays"))
+    named = of.join(ids, "root").select("cls", "component_id", "stays")
+    return signed.join(named, "cls", "left").select(ID, TH, "n", "component_id", "stays")
+
+
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
+    """The `row_key` columns, n_shingles and component_id of every row of `docs`."""
+    return _grouped(docs, shingle, threshold).select(ID, TH, F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col(ID)).alias("component_id"))
 
 
-def kept_rows(docs: DataFrame, shingle: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
-    """`docs` less the documents that have a smaller id in their component."""
-    found = near_duplicates(docs, shingle, threshold)
-    gone = found.where(~_kept()).select(F.col(ID).alias("i"), F.col(TH).alias("t")).distinct()
+def kept_rows(docs: DataFrame, shingle: int = SHINGLE, threshold: int = THRESHOLD, repeats: bool = True) -> DataFrame:
+    """`docs` less all rows but the first of each component, by (id is null, id, text hash).
+
+    Rows that are equal in id and text to the first stay with it; with `repeats` off one of them does.
+    Rows without shingles are in no component and stay.
+    """
+    first = F.col(ID).eqNullSafe(F.col(f"stays.{ID}")) & (F.col(TH) == F.col(f"stays.{TH}"))
+    found = _grouped(docs, shingle, threshold).where("n > 0").groupBy(ID, TH).agg(F.max(first).alias("first"), F.count(F.lit(1)).alias("c"))
+    found = stored(found.where("not first or c > 1").select(F.col(ID).alias(f"{OWN}i"), F.col(TH).alias(f"{OWN}t"), F.col("first").alias(f"{OWN}first")), "gone")
+    same = F.col(ID).eqNullSafe(F.col(f"{OWN}i")) & (F.col(TH) == F.col(f"{OWN}t"))
     keyed = docs.select("*", *row_key())
-    return keyed.join(gone, F.col(ID).eqNullSafe(F.col("i")) & (F.col(TH) == F.col("t")), "left_anti").select(*docs.columns)
+    again = found.where(f"{OWN}first")
+    if repeats or again.isEmpty():
+        return keyed.join(found.where(f"not {OWN}first"), same, "left_anti").select(*docs.columns)
+    once = keyed.join(again, same, "left_semi").dropDuplicates([ID, TH])
+    return keyed.join(found, same, "left_anti").union(once).select(*docs.columns)
 
 
 def _kept() -> Column:

@@ -198,6 +198,17 @@ def test_near_duplicates_on_odd_rows(odd, none):
     assert minhash.near_duplicates(none).count() == 0 and minhash.kept_rows(none).count() == 0
 
 
+def test_one_row_of_each_group_stays(spark):
+    near = [" ".join(f"w{k}" for k in range(n)) for n in (60, 61, 62)]
+    other, repeated = "five words that stand alone", "one more text that comes again"
+    docs = texts(spark, [(None, near[0]), (None, near[1]), (None, near[1]), (None, near[2]), (None, other), (3, repeated), (3, repeated), (None, repeated), (4, None), (None, "")])
+    found = minhash.kept_rows(docs, repeats=False)
+    rows = [tuple(r) for r in found.collect()]
+    assert found.columns == docs.columns and len(rows) == 5
+    assert sum(t in near for _, t in rows) == 1 and [i for i, t in rows if t == repeated] == [3]
+    assert {(None, other), (4, None), (None, "")} <= set(rows)
+
+
 # --- 5 -----------------------------------------------------------------------------------------------
 
 

@@ -12,7 +12,7 @@ the repeated strings.
 
 Transforms of all text are not built: the README has the figures. Two passes over the texts, then one
 to cut the bytes. The second pass looks anchors up in bitmaps of fixed size; what they let through by
-chance does not change the result. An anchor with more than HOT contexts is not held in one task: its
+chance falls out in joins with the counts. An anchor with more than HOT contexts is not held in one task: its
 strings are counted by hash.
 
 Defined cases: null and short texts keep all bytes; rows with equal doc_id and text are two
@@ -118,11 +118,12 @@ def _found(whole, apart, length: int, gram: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, i, data, _, a in _pieces(batches, length, gram):
-            body = holds(apart.value, _occurrence(batch, i, a))
+            occ = _occurrence(batch, i, a)
+            body = holds(apart.value, occ)
             at = np.flatnonzero(body | holds(whole.value, a["ctx"]))
             bodies = [data[p : p + q + length].tobytes() if b else None for p, q, b in zip(a["at"][at], (a["hi"] - a["lo"])[at], body[at], strict=True)]
-            more = [pa.array(a["lo"][at], pa.int32()), pa.array(a["hi"][at], pa.int32()), pa.array(a["key"][at].view(np.int64)), pa.array(a["ctx"][at].view(np.int64)), pa.array(bodies, pa.binary())]
-            yield pa.RecordBatch.from_arrays(_rows(batch, a["text"][at] + i, *more), names=[ID, TH, "lo", "hi", "key", "ctx", "body"])
+            more = [pa.array(a["lo"][at], pa.int32()), pa.array(a["hi"][at], pa.int32()), pa.array(a["key"][at].view(np.int64)), pa.array(a["ctx"][at].view(np.int64)), pa.array(occ[at].view(np.int64)), pa.array(bodies, pa.binary())]
+            yield pa.RecordBatch.from_arrays(_rows(batch, a["text"][at] + i, *more), names=[ID, TH, "lo", "hi", "key", "ctx", "occ", "body"])
 
     return run
 
@@ -237,11 +238,14 @@ def repeated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFra
     counts = stored(counts.join(by_key.where("total > 1"), "key"), "contexts")
     whole = spark.sparkContext.broadcast(bitmap(counts.where("n > 1").select(F.col("ctx").alias("h")), BITMAP_BITS))
     apart = spark.sparkContext.broadcast(bitmap(counts.where("contexts > 1").select(F.col("occ").alias("h")), BITMAP_BITS))
-    found = stored(keyed.mapInArrow(_found(whole, apart, length, gram), f"{ID} {kind}, {TH} long, lo int, hi int, key long, ctx long, body binary"), "found")
+    found = stored(keyed.mapInArrow(_found(whole, apart, length, gram), f"{ID} {kind}, {TH} long, lo int, hi int, key long, ctx long, occ long, body binary"), "found")
 
     same = found.select(ID, TH, "lo", "hi", "key", "ctx").join(counts.where("n > 1").select("key", "ctx"), ["key", "ctx"]).select(ID, TH, "lo", "hi")
     hot = counts.where(F.col("contexts") > HOT).select("key").distinct().withColumn("hot", F.lit(True))
-    bodies = found.where("body is not null").select(ID, TH, "lo", "key", "body").join(hot, "key", "left").select(ID, TH, "lo", "key", "body", "hot")
+    # One body for each context: what the bitmap let through by chance goes, and so do repeated rows.
+    bodies = found.where("body is not null").select(ID, TH, "lo", "key", "ctx", "occ", "body").dropDuplicates(["key", "ctx", "occ"])
+    bodies = bodies.join(counts.where("contexts > 1").select("key", "ctx", "occ"), ["key", "ctx", "occ"])
+    bodies = bodies.join(hot, "key", "left").select(ID, TH, "lo", "key", "body", "hot")
     bodies = stored(bodies, "bodies")
     runs = f"{ID} {kind}, {TH} long, lo int, hi int"
     few = bodies.where("hot is null").drop("hot").repartition("key").sortWithinPartitions("key").mapInArrow(_compared(length), runs)
@@ -287,7 +291,7 @@ _CUT = [f"{OWN}{c}" for c in ("n_bytes", "n_removed", "n_spans", "kept_sha256",
 
 def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """`docs` with n_bytes, n_removed, n_spans, kept_sha256 and kept (bytes; null: all) under the internal prefix."""
-    ranges = repeated(docs, length, gram).groupBy(F.col(ID).alias(f"{OWN}i"), F.col(TH).alias(f"{OWN}t")).agg(F.collect_list(F.struct("lo", "hi")).alias(f"{OWN}ranges"))
+    ranges = repeated(docs, length, gram).groupBy(F.col(ID).alias(f"{OWN}i"), F.col(TH).alias(f"{OWN}t")).agg(F.collect_set(F.struct("lo", "hi")).alias(f"{OWN}ranges"))
     keyed = docs.select("*", *row_key())
     rows = keyed.join(ranges, F.col(ID).eqNullSafe(F.col(f"{OWN}i")) & (F.col(TH) == F.col(f"{OWN}t")), "left")
     rows = rows.select(*docs.columns, F.col("text").alias(f"{OWN}text"), f"{OWN}ranges")

@@ -290,6 +290,22 @@ def test_repeated_strings_on_odd_rows(odd, none):
     assert substrings.without_repeats(none).count() == 0
 
 
+def test_one_body_of_each_context_is_compared(spark, monkeypatch):
+    kept, keep = {}, substrings.stored
+    monkeypatch.setattr(substrings, "stored", lambda df, label: kept.setdefault(label, keep(df, label)))
+    # So small a bitmap that much is let through by chance.
+    monkeypatch.setattr(substrings, "BITMAP_BITS", 10)
+    r = random.Random(7)
+    a, b, c = ("".join(r.choice("abcdefgh ") for _ in range(300)) for _ in range(3))
+    docs = [(k, a + b) for k in range(30)] + [(None, a + b)] * 30 + [(100, a + c), (101, c[:150] + b)]
+    rows = substrings.without_repeats(texts(spark, docs)).collect()
+    found = {x.doc_id: tuple(x[f"{OWN}{c}"] for c in ("n_bytes", "n_removed", "n_spans", "kept_sha256")) for x in rows}
+    assert found == brute.repeats(docs[:31] + docs[-2:], 200)
+    bodies = {x.key: x["count"] for x in kept["bodies"].groupBy("key").count().collect()}
+    contexts = {x.key: x.contexts for x in kept["contexts"].where("contexts > 1").select("key", "contexts").distinct().collect()}
+    assert contexts and bodies == contexts
+
+
 # --- 8 -----------------------------------------------------------------------------------------------
 
 PRIVATE = [

@@ -3,7 +3,8 @@
 The suffixes of all line-ID sequences get names by doubling: a suffix's name for 2k lines is made of
 its names for k lines, here and k lines on, so that suffixes with equal names share so long a prefix.
 All suffixes with one name are a longest-common-prefix interval. A run of lines is repeated if it has
-`min_lines` lines, or one line of `min_words` words; any longer repeated run is covered by such ones.
+`min_lines` lines, or one line of `min_words` words; any longer repeated run is covered by such ones, so
+doubling stops there: there is no suffix array, and maximal runs are not formed.
 Of each interval the first suffix (by doc_id, then place) is the original, the lines of the others go.
 
 The shift by k stays inside a document, so doubling needs no shuffle; one shuffle forms the intervals.

@@ -23,13 +23,15 @@ left, longest first, into the sequence with the least room that is enough.
 Defined cases: a null or empty text is one piece, the separator; texts without a token too; rows with
 equal ids, and null ids, are documents of their own; an empty table gives an empty result; other columns
 are ignored. A text is tokenised between ASCII white space, which the tokenizer drops and never joins
-over, and words are remembered from one text to the next. Texts are read in parts of CHUNK bytes, so that
+over, and words are remembered from one text to the next; a tokenizer that splits otherwise
+(`splits_alike`) gets whole texts. Texts are read in parts of CHUNK bytes, so that
 a very long one holds no more than its ids.
 """
 
 from __future__ import annotations
 
 import bisect
+import json
 import re
 from collections.abc import Iterable, Iterator, Mapping
 from functools import cache
@@ -46,12 +48,16 @@ SEPARATOR = 0
 #: Bytes of a text that are cut into words at once.
 CHUNK = 1 << 20
 #: Words whose ids a worker remembers, in each of two generations.
-REMEMBERED = 400_000
+REMEMBERED = 600_000
+#: Words that are encoded in one call.
+AT_ONCE = 20_000
 #: Limits are below this, so that the plan stays small.
 MOST = 1 << 15
 #: Pieces that are numbered in one task, about.
 BLOCK_ROWS = 100_000
 
+#: End of the splitting pattern of tokenizers whose words can be told apart beforehand (a fixed value of the public file).
+SPLIT = r"|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _GAP = re.compile(rb"[\t-\r ]")
 LENGTH, NUMBER, DEAL = f"{OWN}length", f"{OWN}number", f"{OWN}deal"
 
@@ -59,62 +65,89 @@ LENGTH, NUMBER, DEAL = f"{OWN}length", f"{OWN}number", f"{OWN}deal"
 # ---- tokens ----------------------------------------------------------------------------------
 
 
+def splits_alike(path: str) -> bool:
+    """Whether the tokenizer lower-cases, drops white space, and splits letters, single digits and other runs apart."""
+    with open(path, encoding="utf-8") as file:
+        kind = json.load(file)
+    steps = [step.get("type") for step in (kind.get("normalizer") or {}).get("normalizers", [])]
+    splits = (kind.get("pre_tokenizer") or {}).get("pretokenizers", [{}])
+    return steps == ["NFC", "Replace", "Lowercase"] and splits[0].get("pattern", {}).get("Regex", "").endswith(SPLIT)
+
+
+def plain_form(word: bytes) -> tuple[bytes, bytes]:
+    """(word, mark after it) that have the same ids together: no full stop or comma after a letter or digit, ASCII in lower case."""
+    mark = word[-1:] if word[-1:] in b".," and word[-2:-1].isalnum() else b""
+    if mark:
+        word = word[:-1]
+    # Lower case would make a special token of its likeness, and other letters may compose differently.
+    return (word.lower() if word.isascii() and b"<" not in word else word), mark
+
+
 class Words:
     """The ids of words as little-endian 32-bit bytes; a generation of words that was not met again is forgotten."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.encode = Tokenizer.from_file(path).encode_batch
+        self.tokenizer = Tokenizer.from_file(path)
+        self.alike = splits_alike(path)
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
 
-    def learn(self, words: list[bytes]) -> None:
-        """Make sure that all of `words` are remembered."""
-        if len(self.young) > REMEMBERED:
-            self.old, self.young = self.young, {}
-        unknown = []
-        for w in set(words).difference(self.young):
-            if w in self.old:
-                self.young[w] = self.old[w]
+    def of(self, texts: list[bytes]) -> Iterator[bytes]:
+        """The ids of each text; texts are taken together up to CHUNK bytes, and cut at white space beyond."""
+        if not self.alike:
+            yield from (np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch([t.decode("utf-8") for t in texts], add_special_tokens=False))
+            return
+        held, size = [], 0
+        for text in texts:
+            if size + len(text) > CHUNK:
+                yield from self._short(held)
+                held, size = [], 0
+            if len(text) > CHUNK:
+                yield b"".join(i for part in self._parts(text) for i in self._short([part]))
             else:
-                unknown.append(w)
-        found = self.encode([w.decode("utf-8") for w in unknown], add_special_tokens=False)
-        self.young.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(unknown, found, strict=True))
-
-    def ids(self, texts: list[bytes]) -> list[bytes]:
-        """The ids of each text."""
-        out = []
-        for first, last in _groups(texts):
-            split = [t.split() for t in texts[first:last]] if last - first > 1 else []
-            if split:
-                self.learn([w for s in split for w in s])
-                out += [b"".join(map(self.young.__getitem__, s)) for s in split]
-            else:
-                out.append(b"".join(self._parts(texts[first])))
-        return out
+                held.append(text)
+                size += len(text)
+        yield from self._short(held)
 
     def _parts(self, text: bytes) -> Iterator[bytes]:
         at = 0
         while at < len(text):
             gap = _GAP.search(text, at + CHUNK)
             end = gap.start() if gap else len(text)
-            words = text[at:end].split()
-            self.learn(words)
-            yield b"".join(map(self.young.__getitem__, words))
+            yield text[at:end]
             at = end
 
-
-def _groups(texts: list[bytes]) -> Iterator[tuple[int, int]]:
-    """Runs of texts of at most CHUNK bytes together, or of one text."""
-    first, size = 0, 0
-    for k, t in enumerate(texts):
-        if k > first and size + len(t) > CHUNK:
-            yield first, k
-            first, size = k, 0
-        size += len(t)
-    if first < len(texts):
-        yield first, len(texts)
+    def _short(self, texts: list[bytes]) -> Iterator[bytes]:
+        """The ids of texts whose words are held at once; each word is looked up once, and what is not known is learnt."""
+        if len(self.young) > REMEMBERED:
+            self.old, self.young = self.young, {}
+        young = self.young
+        split = [t.split() for t in texts]
+        found = [list(map(young.get, words)) for words in split]
+        self._learn({w for words, ids in zip(split, found, strict=True) if None in ids for w, i in zip(words, ids, strict=True) if i is None})
+        for words, ids in zip(split, found, strict=True):
+            yield b"".join([young[w] if i is None else i for w, i in zip(words, ids, strict=True)])
+
+    def _learn(self, words: set[bytes]) -> None:
+        young, old = self.young, self.old
+        young.update((w, old[w]) for w in words if w in old)
+        forms = {w: plain_form(w) for w in words if w not in old}
+        needed = {part for both in forms.values() for part in both if part not in young}
+        young.update((w, old[w]) for w in needed if w in old)
+        unknown = [w for w in needed if w not in young]
+        for k in range(0, len(unknown), AT_ONCE):
+            some = unknown[k : k + AT_ONCE]
+            young.update(zip(some, self.encoded([w.decode("utf-8") for w in some]), strict=True))
+        young.update((w, young[form] + young[mark]) for w, (form, mark) in forms.items())
+
+    def encoded(self, words: list[str]) -> list[bytes]:
+        """The ids of words: all in one call, cut where the tokenizer says that a word ends."""
+        found = self.tokenizer.encode(words, is_pretokenized=True, add_special_tokens=False)
+        ids = np.array(found.ids, "<u4").tobytes()
+        cuts = (4 * np.searchsorted(np.array(found.word_ids, np.int64), np.arange(len(words) + 1))).tolist()
+        return [ids[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
 @cache
@@ -131,7 +164,7 @@ def _pieces(path: str, limit: int):
             texts = batch.column(1).cast(pa.binary()).to_pylist()
             for a in range(0, len(texts), 256):
                 rows, piece, cut = [], [], []
-                for k, ids in enumerate(words.ids([t or b"" for t in texts[a : a + 256]]), a):
+                for k, ids in enumerate(words.of([t or b"" for t in texts[a : a + 256]]), a):
                     ids += end
                     for p in range(-(-len(ids) // size)):
                         rows.append(k)

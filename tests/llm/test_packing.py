@@ -50,10 +50,10 @@ def best(items, limit):
 
 def test_words_apart_are_tokens_of_the_whole_text():
     deal = random.Random(7)
-    odd = [*" \t\n\r\x0b\x0c\x1c\x85\xa0 　​́'aA1Σςİß٣½;<|>日😀\x00", "'s", "<|endoftext|>", "é", "don't "]
+    odd = [*" \t\n\r\x0b\x0c\x1c\x85\xa0 　​́'aA1Σςİß٣½;<|>日😀\x00", "'s", "<|endoftext|>", "<|ENDOFTEXT|>", "H\u0331", "é", "don't ", ". ", ",", "a.", "B,\n"]
     texts = ["".join(deal.choices(odd, k=deal.randint(0, 40))) for _ in range(400)] + ["", "a " * 5000, "b" * 30_000]
     words = packing.Words(packing.default_tokenizer())
-    found = words.ids([t.encode() for t in texts])
+    found = list(words.of([t.encode() for t in texts]))
     assert [np.frombuffer(i, "<u4").tolist() + [0] for i in found] == [whole(t) for t in texts]
 
 
@@ -63,7 +63,7 @@ def test_long_texts_are_read_in_parts_and_old_words_forgotten(monkeypatch):
     deal = random.Random(3)
     texts = ["".join(deal.choices("ab c\nd1", k=n)) for n in (0, 10, 63, 64, 65, 1000, 20_000)]
     words = packing.Words(packing.default_tokenizer())
-    assert [np.frombuffer(i, "<u4").tolist() + [0] for i in words.ids([t.encode() for t in texts])] == [whole(t) for t in texts]
+    assert [np.frombuffer(i, "<u4").tolist() + [0] for i in words.of([t.encode() for t in texts])] == [whole(t) for t in texts]
     assert len(words.young) + len(words.old) < 2000
 
 
@@ -98,6 +98,13 @@ def test_best_fit_in_bulk_equals_one_piece_at_a_time():
         assert Counter({s: sum(n * dict(held).get(s, 0) for n, held in groups) for s in items}) == Counter(items)
 
 
+def test_tokenizers_that_split_otherwise_get_whole_texts(monkeypatch):
+    monkeypatch.setattr(packing, "SPLIT", "other")
+    words = packing.Words(packing.default_tokenizer())
+    texts = ["One two, three.", "", "don't <|endoftext|>"]
+    assert not words.alike and [np.frombuffer(i, "<u4").tolist() + [0] for i in words.of([t.encode() for t in texts])] == [whole(t) for t in texts]
+
+
 def check(packed, limit):
     """Sequences are gapless from 0 and hold at most the limit; returns their number."""
     by = {}

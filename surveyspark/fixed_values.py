@@ -110,6 +110,7 @@ STATUS_WORKED = "Ocupado - trabalhou"
 STATUS_AWAY = "Ocupado - afastado"
 STATUS_UNEMPLOYED = "Desocupado"
 STATUS_OUT = "Fora da forca de trabalho"
+LABOUR_STATUSES = (STATUS_WORKED, STATUS_AWAY, STATUS_UNEMPLOYED, STATUS_OUT, NOT_APPLICABLE)
 HOME_OFFICE = "fez_home_office"
 CARE_SOUGHT = "buscou_atendimento_saude"
 AWAY_REASON = "motivo_afastamento"

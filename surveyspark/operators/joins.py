@@ -10,6 +10,9 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from functools import reduce
+from itertools import product
+from math import prod
+from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,6 +22,9 @@ from surveyspark import fixed_values as V
 #: Left rows of a hot key that one salt takes, about.
 ROWS_PER_SALT = 1_000_000
 
+#: Combinations of levels that a key counts side by side, at most.
+MOST_SLOTS = 64
+
 
 def null_safe(left: DataFrame, right: DataFrame, pairs: Sequence[tuple[str, str]]) -> Column:
     """Equality on all pairs, null matching null."""
@@ -103,6 +109,80 @@ def semi_filter(
 # ---- statistics over joins ------------------------------------------------------------------
 
 
+def _slot(columns: Sequence[str], levels: Mapping[str, Sequence[Any]]) -> Column:
+    """Number of the combination of levels a row has, in the order of ``product``; null is a column's last level."""
+    out = F.lit(0)
+    for c in columns:
+        chain = F.when(F.col(c).isNull(), len(levels[c]))
+        for i, level in enumerate(levels[c]):
+            chain = chain.when(F.col(c) == F.lit(level), i)
+        unlisted = F.raise_error(F.concat(F.lit(f"not among the levels given for {c}: "), F.col(c).cast("string")))
+        out = out * (len(levels[c]) + 1) + chain.otherwise(unlisted.cast("int"))
+    return out
+
+
+def _sums_by_level(
+    left: DataFrame, right: DataFrame, sums: Mapping[str, Column], keys: Sequence[str],
+    left_by: Sequence[str], free: Sequence[str], right_by: Sequence[str], how: str,
+    within: DataFrame | None, levels: Mapping[str, Sequence[Any]],
+) -> DataFrame:
+    """``joined_sums`` with both sides aggregated by the key alone, side by side for each combination of levels.
+
+    Counts and sums merge before the one exchange a side, so a key of any number of rows is a row
+    per task.  ``free`` are the ``left_by`` columns that do not follow from the key.
+    """
+    left_slots, right_slots = (
+        list(product(*[[*levels[c], None] for c in columns])) for columns in (free, right_by)
+    )
+    fixed = [c for c in left_by if c not in free]
+    names = dict.fromkeys([*keys, *fixed])
+    rows = left.select(
+        *names, _slot(free, levels).alias("__slot"), *[e.alias(name) for name, e in sums.items()]
+    )
+    partial = rows.groupBy(*keys).agg(
+        *[F.any_value(c).alias(c) for c in names if c not in keys],
+        *[F.count_if(F.col("__slot") == i).alias(f"__m{i}") for i in range(len(left_slots))],
+        *[
+            F.sum(F.when(F.col("__slot") == i, F.col(name))).alias(f"__s{i}_{k}")
+            for i in range(len(left_slots)) for k, name in enumerate(sums)
+        ],
+    )
+    if within is not None:
+        partial = partial.join(within.select(*keys).distinct(), list(keys), "left_semi")
+    n = [f"__n{j}" for j in range(len(right_slots))]
+    counts = right.select(*keys, _slot(right_by, levels).alias("__slot")).groupBy(*keys).agg(
+        *[F.count_if(F.col("__slot") == j).alias(c) for j, c in enumerate(n)]
+    )
+    matched = partial.join(counts, list(keys), how)
+    if how == "left":  # an unmatched row appears once, with nulls
+        matched = matched.withColumns(
+            {c: F.coalesce(c, F.lit(int(j == len(n) - 1)).cast("bigint")) for j, c in enumerate(n)}
+        )
+    cells = [(i, j) for i in range(len(left_slots)) for j in range(len(right_slots))]
+    there = {(i, j): F.col(f"__m{i}") * F.col(f"__n{j}") for i, j in cells}
+    wide = matched.groupBy(*fixed).agg(
+        *[F.sum(there[i, j]).alias(f"__c{i}_{j}") for i, j in cells],
+        *[
+            F.sum(F.when(there[i, j] > 0, F.col(f"__s{i}_{k}") * F.col(f"__n{j}"))).alias(f"__t{i}_{j}_{k}")
+            for i, j in cells for k in range(len(sums))
+        ],
+    )
+    types = [*left.select(*free).schema, *right.select(*right_by).schema]
+    groups = [
+        F.struct(
+            *[
+                F.lit(v).cast(f.dataType).alias(f.name)
+                for v, f in zip((*left_slots[i], *right_slots[j]), types, strict=True)
+            ],
+            F.col(f"__c{i}_{j}").alias("__c"),
+            *[F.col(f"__t{i}_{j}_{k}").alias(name) for k, name in enumerate(sums)],
+        )
+        for i, j in cells
+    ]
+    long = wide.select(*fixed, F.inline(F.array(*groups))).where(F.col("__c") > 0)
+    return long.select(*dict.fromkeys([*left_by, *right_by]), *sums)
+
+
 def joined_sums(
     left: DataFrame,
     right: DataFrame,
@@ -113,6 +193,8 @@ def joined_sums(
     how: str = "inner",
     within: DataFrame | None = None,
     unique: bool = False,
+    levels: Mapping[str, Sequence[Any]] | None = None,
+    determined: Sequence[str] = (),
 ) -> DataFrame:
     """Sums of left-side expressions over ``left JOIN right``, by columns of either side.
 
@@ -121,6 +203,11 @@ def joined_sums(
     right-side groups null.  ``within`` first restricts the left side to keys it contains.
     ``unique`` says that neither side repeats a key: grouping by it would reduce nothing, so the
     rows are joined as they are, with one exchange a side.
+
+    A key that repeats also costs one exchange a side if what it is grouped by is known:
+    ``determined`` names ``left_by`` columns that follow from the key, and ``levels`` lists the values
+    of all others (null need not be listed; a value that is missing fails the job).  Otherwise a side
+    is grouped by key and column, and exchanged by the key once more.
     """
     if how not in ("inner", "left", "left_semi"):
         raise ValueError(f"sums over a {how} join are not defined")
@@ -135,7 +222,21 @@ def joined_sums(
             partial = partial.join(within.select(*keys), keys, "left_semi")
         matched = partial.join(right.select(*keys, *right_by), keys, how)
         return additive_sums(matched, {name: F.col(name) for name in sums}, by)
-    partial = additive_sums(left, sums, dict.fromkeys([*keys, *left_by]))
+    beside = [c for c in dict.fromkeys(left_by) if c not in keys]
+    free = [c for c in beside if c not in determined]
+    listed = [*free, *right_by]
+    if how != "left_semi" and listed and set(listed) <= set(levels or {}):
+        if prod(len(levels[c]) + 1 for c in listed) <= MOST_SLOTS:
+            return _sums_by_level(
+                left, right, sums, keys, left_by, free, right_by, how, within, levels
+            )
+    if free:
+        partial = additive_sums(left, sums, [*keys, *beside])
+    else:
+        partial = left.groupBy(*keys).agg(
+            *[F.any_value(c).alias(c) for c in beside],
+            *[F.sum(e).alias(name) for name, e in sums.items()],
+        )
     if within is not None:
         partial = partial.join(within.select(*keys).distinct(), keys, "left_semi")
     if how == "left_semi":

@@ -211,7 +211,7 @@ def isolation_by_labour_status(s: Survey) -> DataFrame:
     table = population_of(
         s, "base_saude", [V.ISOLATION],
         where=F.col(V.ISOLATION).isin(*V.ISOLATION_LEVELS),
-        match=status, match_by=[V.LABOUR_STATUS],
+        match=status, match_by=[V.LABOUR_STATUS], levels={V.ISOLATION: list(V.ISOLATION_LEVELS)},
     )
     return W.with_group_share(table, [V.LABOUR_STATUS]).select(
         F.col(V.LABOUR_STATUS).alias("situacao"),

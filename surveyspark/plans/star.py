@@ -241,6 +241,14 @@ class Survey:
 
     # -- sums ------------------------------------------------------------------------------
 
+    def levels(self) -> dict[str, Sequence[str]]:
+        """Values that the star's derived columns can have, by construction; ``age_bands`` are the star's own."""
+        return {"faixa_etaria": self.age_bands, V.LABOUR_STATUS: V.LABOUR_STATUSES}
+
+    def _determined(self) -> list[str]:
+        """Columns that follow from the key: the state gives the region."""
+        return ["regiao"] if "uf" in self.keys else []
+
     def sums(
         self,
         table: str,
@@ -253,11 +261,13 @@ class Survey:
         how: str = "inner",
         derive: Mapping[str, Column] | None = None,
         within: DataFrame | None = None,
+        levels: Mapping[str, Sequence] | None = None,
     ) -> DataFrame:
         """Sums over a fact, optionally joined with another table on the panel key.
 
         ``derive`` adds columns to group by.  ``within`` gives the people to restrict the fact to
-        instead of the selection's.
+        instead of the selection's.  ``levels`` lists the values of further columns to group by
+        (see ``joined_sums``), of the rows that ``where`` leaves.
         """
         df = self._region_rows(self.period_rows(table), skip)
         if derive:
@@ -268,10 +278,13 @@ class Survey:
         if match is not None:
             unique = set(V.FULL_KEY) <= set(self.keys)
             return joined_sums(
-                df, match, sums, self.keys, by, match_by, how, within=people, unique=unique
+                df, match, sums, self.keys, by, match_by, how, within=people, unique=unique,
+                levels={**self.levels(), **(levels or {})}, determined=self._determined(),
             )
         if people is not None:
-            return joined_sums(df, people, sums, self.keys, by, how="left_semi")
+            return joined_sums(
+                df, people, sums, self.keys, by, how="left_semi", determined=self._determined()
+            )
         return additive_sums(df, sums, by)
 
     def by_profile(

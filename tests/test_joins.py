@@ -25,6 +25,14 @@ def test_joined_sums_equal_the_row_level_join(spark, left, right):
         expected = a.join(b, "k", how).groupBy("g", "h").agg(F.sum("x").alias("s"))
         got = J.joined_sums(a, b, {"s": F.col("x")}, ["k"], ["g"], ["h"], how)
         assert text(got.select("g", "h", "s")) == text(expected)
+        for levels in ({"g": ["l"], "h": ["r", "s"]}, {"h": ["r", "s", "never"]}):
+            got = J.joined_sums(a, b, {"s": F.col("x")}, ["k"], ["g"], ["h"], how, levels=levels)
+            assert text(got.select("g", "h", "s")) == text(expected)
+        by_key = a.join(b, "k", how).groupBy("k", "h").agg(F.sum("x").alias("s"), F.sum("x").alias("t"))
+        got = J.joined_sums(
+            a.withColumn("kk", F.col("k")), b, {"s": F.col("x"), "t": F.col("x")}, ["k"], ["k", "kk"], ["h"],
+            how, levels={"h": ["r", "s"]}, determined=["kk"])
+        assert text(got.select("k", "h", "s", "t")) == text(by_key)
     expected = a.join(b, "k", "left_semi").groupBy("g").agg(F.sum("x").alias("s"))
     assert text(J.joined_sums(a, b, {"s": F.col("x")}, ["k"], ["g"], how="left_semi")) == text(expected)
 
@@ -48,6 +56,21 @@ def test_hot_key_on_both_sides_is_summed_before_it_meets(spark):
     assert rows(J.joined_sums(a, b, {"s": F.col("x")}, ["k"], right_by=["h"])) == [("r", 2 * n * n)]
 
 
+def test_a_value_that_is_not_listed_fails(spark):
+    a = spark.createDataFrame([("a", 1)], "k string, x int")
+    b = spark.createDataFrame([("a", "r"), ("a", "z")], "k string, h string")
+    with pytest.raises(Exception, match="not among the levels given for h: z"):
+        J.joined_sums(a, b, {"s": F.col("x")}, ["k"], right_by=["h"], levels={"h": ["r"]}).collect()
+
+
+def test_hot_key_with_levels_is_a_row_per_task(spark):
+    n = 100_000
+    a = spark.range(n).select(F.lit("hot").alias("k"), F.lit(2).alias("x"))
+    b = spark.range(n).select(F.lit("hot").alias("k"), F.when(F.col("id") % 2 == 0, "r").alias("h"))
+    got = J.joined_sums(a, b, {"s": F.col("x")}, ["k"], right_by=["h"], levels={"h": ["r", "q"]})
+    assert sorted(map(str, rows(got))) == sorted(map(str, [("r", n * n), (None, n * n)]))
+
+
 def test_semi_filter_never_multiplies(spark):
     a = spark.createDataFrame([("a", 1), ("a", 2), ("b", 3), (None, 4)], "k string, x int")
     b = spark.createDataFrame([("a",), ("a",), (None,)], "k string")

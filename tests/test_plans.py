@@ -9,7 +9,7 @@ from surveyspark.operators import weighted as W
 from surveyspark.operators.joins import panel_join
 from surveyspark.plans import analyses as A
 from surveyspark.plans import specs
-from surveyspark.plans.star import load_star, publish_star
+from surveyspark.plans.star import Survey, load_star, publish_star
 from surveyspark.sinks.tables import publish_table
 
 SF = "/root/testdata/sf0.001"
@@ -79,14 +79,54 @@ def test_one_exchange_per_group_by(star):
     assert physical(table).count("Exchange") == 1
 
 
+def shuffles(df):
+    """Lines of the plan that exchange rows by the panel key."""
+    return [l for l in physical(df).splitlines() if "Exchange hashpartitioning" in l and "id_morador" in l]
+
+
 def test_facts_meet_dimensions_already_summed(star, no_broadcast):
-    plan = star.by_profile(
+    repeating = star.where(keys=V.PANEL_KEY_WITH_PERIOD)
+    plan = repeating.by_profile(
         "base_saude", {"w": star.weight.per_row()}, ["faixa_etaria"]
     )._jdf.queryExecution().optimizedPlan().toString()
     join = plan.index("Join Inner")
     assert plan[join:].count("Aggregate [") == 2
 
 
+@pytest.mark.parametrize("keys", [V.FULL_KEY, V.PANEL_KEY_WITH_PERIOD])
+def test_one_exchange_a_side_by_the_panel_key(spark, star, no_broadcast, keys):
+    # The README's setting for panel joins; a pruning filter would show one side once more.
+    spark.conf.set("spark.sql.optimizer.dynamicPartitionPruning.enabled", "false")
+    s = star.where(keys=keys)
+    for df in (
+        A.comorbidities_by_age(s), A.isolation_by_labour_status(s), A.symptom_evolution_by_age(s),
+        s.by_profile("base_saude", {"w": star.weight.per_row()}, ["faixa_etaria"], ["regiao", V.PERIOD]),
+    ):
+        assert len(shuffles(df)) == 2, physical(df)
+    spark.conf.unset("spark.sql.optimizer.dynamicPartitionPruning.enabled")
+
+
+def test_known_levels_do_not_change_the_tables(star):
+    known = star.where(keys=V.PANEL_KEY_WITH_PERIOD)
+    other = _Unlisted(**{f: getattr(known, f) for f in known.__dataclass_fields__})
+    for table in (A.comorbidities_by_age, A.isolation_by_labour_status, A.symptom_evolution_by_age):
+        a, b = (sorted(map(str, table(s).collect())) for s in (known, other))
+        assert a == b and a
+
+
+class _Unlisted(Survey):
+    """A survey that does not know the values of its columns."""
+
+    def sums(self, *args, **options):
+        return super().sums(*args, **{k: v for k, v in options.items() if k != "levels"})
+
+    def levels(self):
+        return {}
+
+    def _determined(self):
+        return []
+
+
 def test_bucketed_tables_join_without_a_shuffle(spark, star, no_broadcast, tmp_path):
     names = [
         publish_table(

@@ -110,7 +110,11 @@ def test_known_levels_do_not_change_the_tables(star):
     known = star.where(keys=V.PANEL_KEY_WITH_PERIOD)
     other = _Unlisted(**{f: getattr(known, f) for f in known.__dataclass_fields__})
     for table in (A.comorbidities_by_age, A.isolation_by_labour_status, A.symptom_evolution_by_age):
-        a, b = (sorted(map(str, table(s).collect())) for s in (known, other))
+        # Shares of a group add doubles, in any order.
+        a, b = (
+            sorted(tuple(round(v, 9) if isinstance(v, float) else str(v) for v in r) for r in table(s).collect())
+            for s in (known, other)
+        )
         assert a == b and a
 
 

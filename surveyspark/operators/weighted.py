@@ -342,6 +342,7 @@ def running_weight(
     The cut points come from the values of lowest hash, an even sample that any evaluation
     repeats exactly.  They affect balance only: sums are exact.  By default there are as many
     slices as shuffle partitions, 64 at least, so that they follow what the session is set to.
+    A value's slice is found by halving the ordered cuts, which stand once in the plan and in no row.
     """
     if slices is None:
         slices = max(64, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
@@ -364,9 +365,10 @@ def running_weight(
     cuts = sample.select(
         F.transform(F.sequence(F.lit(1), F.lit(slices - 1)), lambda i: F.get("s", position(i)))
     )
+    # Only the plan names the column: the optimizer puts the one subquery in its place.
     sliced = (
         values.withColumn("__cuts", cuts.scalar())
-        .withColumn("__slice", F.size(F.filter("__cuts", lambda c: c < F.col(x))))
+        .withColumn("__slice", _cuts_below(F.col("__cuts"), F.col(x), slices - 1))
         .drop("__cuts")
     )
     in_order = Window.partitionBy(*(by or [F.lit(0)])).orderBy("__slice")
@@ -398,6 +400,22 @@ def running_weight(
     )
 
 
+def _cuts_below(cuts: Column, x: Column, n: int) -> Column:
+    """How many of ``n`` ordered cuts are smaller than ``x``, in about log2(n) comparisons."""
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(n.bit_length()))])
+
+    def halved(state: Column, step: Column) -> Column:
+        further = F.get(state["cuts"], state["n"] + step - 1) < x
+        return F.struct(
+            F.when(further, state["n"] + step).otherwise(state["n"]).alias("n"),
+            state["cuts"].alias("cuts"),
+        )
+
+    # The cuts are named once and handed from step to step: named in each, they would be a column.
+    start = F.struct(F.lit(0).alias("n"), cuts.alias("cuts"))
+    return F.aggregate(steps, start, halved, lambda state: state["n"])
+
+
 def weighted_median(
     df: DataFrame, x: str, w: str | Weight = V.WEIGHT, by: Sequence[str] = (),
     slices: int | None = None, name: str = "median",

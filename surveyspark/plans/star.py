@@ -26,9 +26,12 @@ from surveyspark.functions.measures import Weight
 from surveyspark.operators.filters import Options, Selection, is_partial, demographic_filter
 from surveyspark.operators.joins import additive_sums, joined_sums
 from surveyspark.operators.recode import dim_dictionary, dim_location, dim_profile, dim_time, project_block
-from surveyspark.sinks.tables import overwrite_period, remove_folder, write_partitioned
+from surveyspark.sinks.tables import (
+    overwrite_period, publish_table, read_manifest, remove_folder, switch_manifest,
+    write_partitioned, write_version,
+)
 from surveyspark.sources.dictionary import Dictionary
-from surveyspark.sources.tables import read_star_table
+from surveyspark.sources.tables import read_star_table, read_versioned_table
 
 # ---- building ------------------------------------------------------------------------------
 
@@ -139,6 +142,9 @@ def publish_star(
     incremental: bool = True,
     stage: str | None = None,
     keep_stage: bool = False,
+    atomic: bool = False,
+    database: str | None = None,
+    buckets: int | None = None,
     **options,
 ) -> list[str]:
     """Write all tables under ``base``; returns their names.
@@ -148,7 +154,16 @@ def publish_star(
     once per table.  The stage is removed at the end, also after a failure; a table whose write
     failed keeps its old months.  With ``incremental``
     only the months present are replaced.
+
+    ``atomic`` writes every table to folders of a new version and then moves a manifest to its place,
+    which ``load_star`` reads: all tables change at once, or none if one fails.  ``database``
+    publishes the tables in the catalog, whole; with ``buckets`` those with person keys are dealt
+    by the key, so that ``load_star(database=)`` joins them without an exchange.
     """
+    if atomic and database:
+        raise ValueError("a catalog table is replaced by itself, not with a manifest")
+    if buckets and not database:
+        raise ValueError("bucketed tables need a catalog database")
     spark = labelled.sparkSession
     stage = stage or posixpath.join(
         shared_folder(spark, base), f"_decoded_{uuid.uuid4().hex}"
@@ -160,13 +175,28 @@ def publish_star(
         built = build_star(decoded, dictionary, **options)
         tables = {name: built[name] for name in built}  # all are analysed before the first write
         write = overwrite_period if incremental else write_partitioned
-
-        def publish(name: str) -> None:
+        version = uuid.uuid4().hex
+
+        def publish(name: str) -> list[str] | None:
+            if atomic:
+                return write_version(tables[name], base, name, version)
+            if database:
+                # The key without the period, which is the folder: bucketing cannot use it too.
+                keys = [k for k in V.FULL_KEY if k != V.PERIOD]
+                person = set(keys) <= set(tables[name].columns)
+                publish_table(
+                    tables[name], database, name, posixpath.join(base, name),
+                    buckets=buckets if person else None, bucket_keys=keys if person else (),
+                )
+                return None
             write(tables[name], posixpath.join(base, name))
+            return None
 
         # Independent jobs: the tail of one leaves room for the next.
         with ThreadPoolExecutor(WRITERS) as pool:
-            list(pool.map(publish, tables))
+            written = dict(zip(tables, pool.map(publish, tables), strict=True))
+        if atomic:
+            switch_manifest(spark, base, version, written, incremental)
     finally:
         if not keep_stage:
             remove_folder(spark, stage)
@@ -302,12 +332,22 @@ class Survey:
 
 
 def load_star(
-    spark: SparkSession, base: str, schemas: Mapping[str, T.StructType] | None = None, **options
+    spark: SparkSession, base: str = "", schemas: Mapping[str, T.StructType] | None = None,
+    database: str | None = None, **options,
 ) -> Survey:
-    """Open a published star."""
+    """Open a published star: its newest manifest if it has one, its folders, or the tables of a ``database``.
+
+    What a manifest names is fixed when the star is opened; a later publication changes nothing in it.
+    """
     names = [*V.BLOCK_TABLES, "dim_tempo", "dim_perfil", "dim_localizacao"]
+    manifest = None if database else read_manifest(spark, base)
 
     def opener(name: str) -> Callable[[], DataFrame]:
-        return lambda: read_star_table(spark, base, name, (schemas or {}).get(name))
+        schema = (schemas or {}).get(name)
+        if database:
+            return lambda: spark.table(f"`{database}`.`{name}`")
+        if manifest is not None:
+            return lambda: read_versioned_table(spark, base, name, manifest.get(name, {}), schema)
+        return lambda: read_star_table(spark, base, name, schema)
 
     return Survey(Tables({n: opener(n) for n in names}), **options)

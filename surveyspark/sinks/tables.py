@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from surveyspark.fixed_values import PERIOD, TOTAL
 from surveyspark.functions.measures import Weight, as_weight
+from surveyspark.sources.tables import VERSION
 
 
 def write_partitioned(
@@ -80,6 +82,87 @@ def remove_folder(spark: SparkSession, path: str) -> None:
     jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jvm_path, True)
 
 
+# ---- versions that switch at once ------------------------------------------------------------
+
+MANIFESTS = "_manifests"
+
+
+def _jvm_file(spark: SparkSession, path: str):
+    """(file system, path) of a JVM path."""
+    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()), jvm_path
+
+
+def _manifest_numbers(spark: SparkSession, base: str) -> list[int]:
+    fs, folder = _jvm_file(spark, f"{base}/{MANIFESTS}")
+    if not fs.exists(folder):
+        return []
+    names = [s.getPath().getName() for s in fs.listStatus(folder)]
+    return sorted(int(n.removesuffix(".json")) for n in names if n.endswith(".json") and n[:-5].isdigit())
+
+
+def read_manifest(spark: SparkSession, base: str, number: int | None = None) -> dict[str, dict[str, str]] | None:
+    """{table: {period folder: version}} of the newest (or the given) manifest under ``base``; None if there is none."""
+    numbers = _manifest_numbers(spark, base)
+    if not numbers:
+        return None
+    text = spark.read.text(f"{base}/{MANIFESTS}/{number or numbers[-1]}.json", wholetext=True).first()[0]
+    return json.loads(text)
+
+
+def write_version(df: DataFrame, base: str, table: str, version: str, partition: str = PERIOD) -> list[str]:
+    """Write a table's periods to a folder of this version, which nobody reads yet; returns the period folders."""
+    path = f"{base}/{table}/{VERSION}={version}"
+    write_partitioned(df, path, partition)
+    fs, folder = _jvm_file(df.sparkSession, path)
+    names = [s.getPath().getName() for s in fs.listStatus(folder) if s.isDirectory()]
+    return sorted(n for n in names if n.startswith(f"{partition}="))
+
+
+def switch_manifest(
+    spark: SparkSession, base: str, version: str, written: Mapping[str, Sequence[str]],
+    incremental: bool = True,
+) -> int:
+    """Let readers see ``written`` (table: period folders) from now on; returns the manifest's number.
+
+    The manifest is written aside and renamed to the next number, so a reader sees all tables of
+    the old or all of the new state.  With ``incremental`` the periods that were not written stay.  If
+    another publication took the number, nothing is switched and the call fails.
+    """
+    old = (read_manifest(spark, base) or {}) if incremental else {}
+    tables = {
+        t: dict(old.get(t, {})) | {p: version for p in written.get(t, ())}
+        for t in dict.fromkeys([*old, *written])
+    }
+    number = (_manifest_numbers(spark, base) or [0])[-1] + 1
+    fs, aside = _jvm_file(spark, f"{base}/{MANIFESTS}/.{version}")
+    out = fs.create(aside)
+    out.write(bytearray(json.dumps(tables, indent=1).encode()))
+    out.close()
+    final = spark._jvm.org.apache.hadoop.fs.Path(f"{base}/{MANIFESTS}/{number}.json")
+    if fs.exists(final) or not fs.rename(aside, final):
+        raise FileExistsError(f"manifest {number} of {base} was written by another publication")
+    return number
+
+
+def drop_old_versions(spark: SparkSession, base: str, keep: int = 1) -> list[str]:
+    """Delete the version folders that none of the newest ``keep`` manifests names, and older manifests; for when no reader has them open."""
+    numbers = _manifest_numbers(spark, base)
+    kept = [read_manifest(spark, base, n) for n in numbers[-keep:]]
+    named = {(t, v) for m in kept for t, periods in m.items() for v in periods.values()}
+    gone = []
+    for table in {t for m in kept for t in m}:
+        fs, folder = _jvm_file(spark, f"{base}/{table}")
+        for status in fs.listStatus(folder):
+            version = status.getPath().getName().removeprefix(f"{VERSION}=")
+            if status.isDirectory() and (table, version) not in named:
+                fs.delete(status.getPath(), True)
+                gone.append(f"{table}/{version}")
+    for n in numbers[:-keep]:
+        remove_folder(spark, f"{base}/{MANIFESTS}/{n}.json")
+    return sorted(gone)
+
+
 def register_partitions(spark: SparkSession, table: str) -> None:
     """Pick up partition folders the catalog does not know yet."""
     spark.catalog.recoverPartitions(table)

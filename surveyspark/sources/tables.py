@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import posixpath
+from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,6 +11,9 @@ from pyspark.sql import types as T
 
 from surveyspark.fixed_values import PERIOD
 
+#: Folder level that tells versions of a table apart (see ``sinks.tables.write_version``).
+VERSION = "_version"
+
 
 def read_star_table(
     spark: SparkSession,
@@ -32,6 +36,32 @@ def read_star_table(
     return df
 
 
+def read_versioned_table(
+    spark: SparkSession,
+    base: str,
+    table: str,
+    periods: Mapping[str, str],
+    schema: T.StructType | None = None,
+) -> DataFrame:
+    """A table of a star that was published with a manifest: {period folder: version}.
+
+    Only the folders that the manifest names are listed, so what a failed or later publication
+    wrote is not seen.
+    """
+    folder = posixpath.join(base, table)
+    paths = [posixpath.join(folder, f"{VERSION}={v}", p) for p, v in sorted(periods.items())]
+    if not paths:
+        if schema is None:
+            raise ValueError(f"{table} has no periods: pass its schema")
+        return spark.createDataFrame([], schema)
+    reader = spark.read.option("basePath", folder)
+    reader = reader.option("mergeSchema", True) if schema is None else reader.schema(
+        T.StructType([*schema, T.StructField(VERSION, T.StringType())])
+    )
+    df = reader.parquet(*paths).drop(VERSION)
+    return df.withColumn(PERIOD, F.col(PERIOD).cast("string"))
+
+
 def read_spec_csv(spark: SparkSession, path: str, sep: str = ";") -> DataFrame:
     """A report CSV, with or without byte-order mark, quoted fields may span lines."""
     return (

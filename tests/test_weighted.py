@@ -147,6 +147,24 @@ def test_median_and_running_weight_equal_expansion(spark, data, slices):
     assert len(run) == len({(g, x) for g, x, _ in data})
 
 
+def test_slices_are_found_by_halving(spark):
+    cuts = [0, 1, 1, 1, 4, 9, 9]
+    df = spark.createDataFrame([(x,) for x in range(-2, 12)], "x int")
+    for n in range(1, len(cuts) + 1):
+        own = F.array(*[F.lit(c) for c in cuts[:n]])
+        for x, found in df.select("x", W._cuts_below(own, F.col("x"), n)).collect():
+            assert found == sum(c < x for c in cuts[:n])
+    none = F.array().cast("array<int>")
+    assert {r[0] for r in df.select(W._cuts_below(none, F.col("x"), 5)).collect()} == {0}
+
+
+def test_no_row_carries_the_cuts(spark):
+    df = spark.range(1000).select(F.col("id").cast("double").alias("x"), F.lit(1.0).alias("w"))
+    plan = W.running_weight(df, "x", "w")._jdf.queryExecution().optimizedPlan().toString()
+    carried = [l for l in plan.splitlines() if "__cuts" in l and ("AS __cuts" in l or "Project [" in l)]
+    assert not carried and "filter(" not in plan, plan
+
+
 def test_median_of_zero_weights_is_the_smallest_value(spark):
     df = spark.createDataFrame([(3, 0), (1, 0), (2, 0)], "x int, w int")
     assert rows(W.weighted_median(df, "x", "w")) == [(1,)]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -59,3 +60,12 @@ def row_key(doc_id: str = "doc_id", text: str = "text") -> list[Column]:
 def same_row(a: DataFrame, b: DataFrame) -> Column:
     """Null-safe equality of the `row_key` columns of two frames."""
     return a[f"{OWN}id"].eqNullSafe(b[f"{OWN}id"]) & (a[f"{OWN}th"] == b[f"{OWN}th"])
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body` of a value that is computed once, also where the body uses it for every element of an array.
+
+    A column that is named once inside a lambda is put in its place by the optimizer, and would be
+    computed anew for every element.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))

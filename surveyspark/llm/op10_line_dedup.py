@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from surveyspark.llm.common import OWN, load, row_key
+from surveyspark.llm.common import OWN, let, load, row_key
 
 MIN_LINES = 3
 MIN_WORDS = 10
@@ -47,9 +47,12 @@ def runs(rows: DataFrame, min_lines: int, min_words: int) -> DataFrame:
         out = out.withColumn(NAMES, doubled(F.col(NAMES), step))
         length += step
     words = lambda x: F.regexp_count(x, F.lit(r"[^\x20\x09-\x0D]+"))
-    one = F.filter(F.transform(F.col(LINES), lambda x, i: F.struct(i.alias("at"), F.lit(1).alias("span"), F.get(F.col(f"{NAMES}1"), i).alias("n"), (words(x) >= min_words).alias("ok"))), lambda x: x["ok"])
+    told = F.zip_with(F.col(LINES), F.col(f"{NAMES}1"), lambda x, n: F.struct(n.alias("n"), (words(x) >= min_words).alias("ok")))
+    one = F.filter(F.transform(told, lambda x, i: F.struct(i.alias("at"), F.lit(1).alias("span"), x["n"].alias("n"), x["ok"].alias("ok"))), lambda x: x["ok"])
     filled = F.transform(F.col(LINES), lambda x: F.trim(x) != "")
-    many = F.filter(F.transform(F.col(NAMES), lambda n, i: F.struct(i.alias("at"), F.lit(min_lines).alias("span"), n.alias("n"), F.exists(F.slice(filled, i + 1, F.lit(min_lines)), lambda x: x).alias("ok"))), lambda x: x["ok"])
+    ok = lambda some, i: F.exists(F.slice(some, i + 1, F.lit(min_lines)), lambda x: x)
+    spans = lambda some: F.transform(F.col(NAMES), lambda n, i: F.struct(i.alias("at"), F.lit(min_lines).alias("span"), n.alias("n"), ok(some, i).alias("ok")))
+    many = F.filter(let(filled, spans), lambda x: x["ok"])
     out = out.select(f"{OWN}id", f"{OWN}th", F.explode(F.concat(one, many)).alias("r"))
     return out.select(f"{OWN}id", f"{OWN}th", "r.at", "r.span", "r.n.a", "r.n.b")
 
@@ -73,7 +76,8 @@ def dedup_lines(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = MI
     lines, none = F.split("text", "\n", -1), F.array().cast("array<int>")
     at = F.coalesce(F.col(GONE), none)
     left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), at)
-    kept = F.when(F.col(GONE).isNull(), F.col("text")).otherwise(F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n"))
+    some = let(lines, lambda own: F.transform(left, lambda i: F.get(own, i)))
+    kept = F.when(F.col(GONE).isNull(), F.col("text")).otherwise(F.array_join(some, "\n"))
     counts = {
         f"{OWN}n_lines": F.coalesce(F.when(F.col("text").isNotNull(), F.size(lines)), F.lit(0)).cast("long"),
         f"{OWN}n_removed": F.size(at).cast("long"),

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 
 from . import brute
 import numpy as np
@@ -375,3 +376,16 @@ def test_line_dedup_on_odd_rows(odd, none):
     assert {r.text for r in rows.where("doc_id = 1").collect()} == {"the quick brown fox jumps over the lazy dog again and again"}
     assert [r.text for r in rows.where("doc_id = 2 and source = 'b'").collect()] == [""]
     assert lines.dedup_lines(none).count() == 0
+
+
+def test_many_lines_in_one_text_cost_no_square(spark):
+    def spent(n):
+        body = "\n".join(f"line {k % (n // 2)} of the text" for k in range(n))
+        start = time.time()
+        left = lines.dedup_lines(texts(spark, [(1, body), (2, "other")])).where("doc_id = 1").first()["text"]
+        assert left == "\n".join(f"line {k} of the text" for k in range(n // 2))
+        return time.time() - start
+
+    spent(100)
+    few, many = spent(20_000), spent(160_000)
+    assert many < 24 * few + 5, (few, many)

@@ -7,11 +7,9 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.errors import PySparkException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from surveyspark.sources.tables import read_spec_csv
-
 BYTE_ORDER_MARK = "\ufeff"
 INDEX_SCHEMA = (
     "slug string, titulo string, arquivo_csv string, linhas bigint, colunas int, "
@@ -39,6 +37,13 @@ def write_spec_csv(df: DataFrame, path: str, sep: str = ",", bom: bool = False)
     )
 
 
+def write_counted(df: DataFrame, path: str, sep: str = ";") -> int:
+    """``write_spec_csv`` with byte-order mark; the rows are counted as they are written, not read again."""
+    seen = Observation()
+    write_spec_csv(df.observe(seen, F.count(F.lit(1)).alias("rows")), path, sep=sep, bom=True)
+    return seen.get["rows"]
+
+
 @dataclass(frozen=True)
 class Question:
     slug: str
@@ -58,8 +63,7 @@ def run_index(
         path = posixpath.join(out, q.slug)
         try:
             result = q.build()
-            write_spec_csv(result, path, sep=sep, bom=True)
-            rows = read_spec_csv(spark, path, sep).count()
+            rows = write_counted(result, path, sep)
             entries.append((q.slug, q.title, path, rows, len(result.columns), "OK", None))
         except Exception as failure:  # whatever a question raises, the others still run
             kind = "" if isinstance(failure, PySparkException) else f"{type(failure).__name__}: "

@@ -168,6 +168,13 @@ def test_catalog_publication(spark, labelled, tmp_path):
     assert spark.table(name).count() == 1
 
 
+def test_rows_are_counted_while_they_are_written(spark, tmp_path):
+    df = spark.range(40).select(F.col("id").alias("n"), F.concat(F.lit("a\nb"), "id").alias("text"))
+    for k, part in enumerate((df, df.where("n < 0"), df.orderBy(F.desc("n")).limit(7), df.where("false").limit(3), df.groupBy().count())):
+        assert reports.write_counted(part, str(tmp_path / str(k))) == part.count()
+        assert read_spec_csv(spark, str(tmp_path / str(k)), ";").count() == part.count()
+
+
 def test_run_index_survives_any_error(spark, tmp_path):
     def fails():
         raise KeyError("no_table")

@@ -213,6 +213,39 @@ def _(spark, sf):
     return MD.read_periods(spark, MD.discover_periods(spark, write_months(spark, sf) + "/*"))
 
 
+CUT_SQL, LONG_SQL = "o_orderkey % 7 = 3", "o_orderkey % 11 = 5"
+
+
+@operator(
+    "s4_malformed_lines",
+    f"SELECT {MONTH_SQL} AS MES_REF, "
+    + ", ".join(
+        f"CASE WHEN NOT ({CUT_SQL} OR {LONG_SQL}) THEN {e} END AS {c}"
+        for c, e in {"A1": "CAST(o_orderkey AS VARCHAR)", "A2": "o_orderpriority", "A3": "o_orderstatus"}.items()
+    )
+    + f", CASE WHEN {CUT_SQL} THEN o_orderkey || ',' || o_orderpriority WHEN {LONG_SQL} THEN "
+    "o_orderkey || ',' || o_orderpriority || ',' || o_orderstatus || ',x' END AS line FROM orders",
+)
+def _(spark, sf):
+    """Monthly files in which some lines lack a field and some have one more: no line is lost or padded."""
+    base = scratch(spark)
+    fields = ["o_orderkey", "o_orderpriority", "o_orderstatus"]
+    line = (
+        F.when(F.expr(CUT_SQL), F.concat_ws(",", *fields[:2]))
+        .when(F.expr(LONG_SQL), F.concat_ws(",", *fields, F.lit("x")))
+        .otherwise(F.concat_ws(",", *fields))
+    )
+    text = table(spark, sf, "orders").select("o_orderstatus", line.alias("A1,A2,A3"))
+    for value, month in MONTHS.items():
+        # Another separator, so that the line is written as it is.
+        text.where(status(value)).drop("o_orderstatus").write.option("header", True).option(
+            "sep", "\u0001"
+        ).csv(f"{base}/survey_{month}.csv")
+    files = MD.discover_periods(spark, base + "/*")
+    good, bad = MD.split_malformed(MD.read_periods(spark, files, malformed=MD.MALFORMED))
+    return good.unionByName(bad.drop("path"), allowMissingColumns=True)
+
+
 @operator(
     "s4_union_periods",
     f"SELECT {YEAR_SQL} AS MES_REF, o_orderkey, CASE WHEN {YEAR_SQL} = '2001' THEN NULL ELSE "

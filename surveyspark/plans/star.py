@@ -27,10 +27,11 @@ from surveyspark.operators.filters import Options, Selection, is_partial, demogr
 from surveyspark.operators.joins import additive_sums, joined_sums
 from surveyspark.operators.recode import dim_dictionary, dim_location, dim_profile, dim_time, project_block
 from surveyspark.sinks.tables import (
-    overwrite_period, publish_table, read_manifest, remove_folder, switch_manifest,
-    write_partitioned, write_version,
+    overwrite_period, period_folders, publish_table, read_manifest, remove_folder,
+    switch_manifest, write_partitioned, write_version,
 )
 from surveyspark.sources.dictionary import Dictionary
+from surveyspark.sources.microdata import split_malformed
 from surveyspark.sources.tables import read_star_table, read_versioned_table
 
 # ---- building ------------------------------------------------------------------------------
@@ -115,6 +116,9 @@ def shared_folder(spark: SparkSession, otherwise: str) -> str:
 
 
 WRITERS = 4
+#: Table of the lines that did not fit their file's header.
+QUARANTINE = "quarentena"
+QUARANTINE_SCHEMA = T.StructType([T.StructField(c, T.StringType()) for c in ("path", "line", V.PERIOD)])
 
 
 @contextmanager
@@ -145,6 +149,7 @@ def publish_star(
     atomic: bool = False,
     database: str | None = None,
     buckets: int | None = None,
+    malformed: str | None = None,
     **options,
 ) -> list[str]:
     """Write all tables under ``base``; returns their names.
@@ -159,6 +164,10 @@ def publish_star(
     which ``load_star`` reads: all tables change at once, or none if one fails.  ``database``
     publishes the tables in the catalog, whole; with ``buckets`` those with person keys are dealt
     by the key, so that ``load_star(database=)`` joins them without an exchange.
+
+    ``malformed`` is the column of ``read_periods(malformed=)``, kept by ``recode(keep=)``: rows that
+    have it go to the table ``quarentena`` (see :func:`load_quarantine`) and to no other.  A month
+    that is published again replaces its quarantined lines too, also when there are none now.
     """
     if atomic and database:
         raise ValueError("a catalog table is replaced by itself, not with a manifest")
@@ -172,10 +181,16 @@ def publish_star(
         with wide_row_codegen(spark):
             write_partitioned(labelled, stage)
         decoded = spark.read.schema(labelled.schema).parquet(stage)
+        bad = None
+        if malformed is not None:
+            decoded, bad = split_malformed(decoded, malformed)
         built = build_star(decoded, dictionary, **options)
         tables = {name: built[name] for name in built}  # all are analysed before the first write
         write = overwrite_period if incremental else write_partitioned
         version = uuid.uuid4().hex
+        months = period_folders(spark, stage)
+        if bad is not None:
+            tables[QUARANTINE] = bad
 
         def publish(name: str) -> list[str] | None:
             if atomic:
@@ -189,14 +204,19 @@ def publish_star(
                     buckets=buckets if person else None, bucket_keys=keys if person else (),
                 )
                 return None
-            write(tables[name], posixpath.join(base, name))
+            path = posixpath.join(base, name)
+            if name == QUARANTINE and incremental:
+                # A month without such lines has no rows that would replace the old ones.
+                for month in months:
+                    remove_folder(spark, posixpath.join(path, month))
+            write(tables[name], path)
             return None
 
         # Independent jobs: the tail of one leaves room for the next.
         with ThreadPoolExecutor(WRITERS) as pool:
             written = dict(zip(tables, pool.map(publish, tables), strict=True))
         if atomic:
-            switch_manifest(spark, base, version, written, incremental)
+            switch_manifest(spark, base, version, written, incremental, months)
     finally:
         if not keep_stage:
             remove_folder(spark, stage)
@@ -351,3 +371,13 @@ def load_star(
         return lambda: read_star_table(spark, base, name, schema)
 
     return Survey(Tables({n: opener(n) for n in names}), **options)
+
+
+def load_quarantine(spark: SparkSession, base: str = "", database: str | None = None) -> DataFrame:
+    """(path, line, period) of the lines that a ``publish_star(malformed=)`` kept out of the star."""
+    if database:
+        return spark.table(f"`{database}`.`{QUARANTINE}`")
+    manifest = read_manifest(spark, base)
+    if manifest is not None:
+        return read_versioned_table(spark, base, QUARANTINE, manifest.get(QUARANTINE, {}), QUARANTINE_SCHEMA)
+    return read_star_table(spark, base, QUARANTINE, QUARANTINE_SCHEMA)

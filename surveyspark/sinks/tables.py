@@ -114,24 +114,30 @@ def write_version(df: DataFrame, base: str, table: str, version: str, partition:
     """Write a table's periods to a folder of this version, which nobody reads yet; returns the period folders."""
     path = f"{base}/{table}/{VERSION}={version}"
     write_partitioned(df, path, partition)
-    fs, folder = _jvm_file(df.sparkSession, path)
+    return period_folders(df.sparkSession, path, partition)
+
+
+def period_folders(spark: SparkSession, path: str, partition: str = PERIOD) -> list[str]:
+    """Names of a table's period folders, in order."""
+    fs, folder = _jvm_file(spark, path)
     names = [s.getPath().getName() for s in fs.listStatus(folder) if s.isDirectory()]
     return sorted(n for n in names if n.startswith(f"{partition}="))
 
 
 def switch_manifest(
     spark: SparkSession, base: str, version: str, written: Mapping[str, Sequence[str]],
-    incremental: bool = True,
+    incremental: bool = True, replaced: Sequence[str] = (),
 ) -> int:
     """Let readers see ``written`` (table: period folders) from now on; returns the manifest's number.
 
     The manifest is written aside and renamed to the next number, so a reader sees all tables of
-    the old or all of the new state.  With ``incremental`` the periods that were not written stay.  If
-    another publication took the number, nothing is switched and the call fails.
+    the old or all of the new state.  With ``incremental`` the periods that were not written stay,
+    but for those that are ``replaced``: a table that has no rows of them now loses its old ones.  If another publication took the number, nothing is switched and the call fails.
     """
     old = (read_manifest(spark, base) or {}) if incremental else {}
     tables = {
-        t: dict(old.get(t, {})) | {p: version for p in written.get(t, ())}
+        t: {p: v for p, v in old.get(t, {}).items() if t not in written or p not in replaced}
+        | {p: version for p in written.get(t, ())}
         for t in dict.fromkeys([*old, *written])
     }
     number = (_manifest_numbers(spark, base) or [0])[-1] + 1

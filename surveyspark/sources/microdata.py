@@ -19,6 +19,8 @@ from surveyspark.fixed_values import PERIOD
 # The first two groups of a pattern are month and year.
 MONTH_PATTERN = r"[^/]*_(\d{2})(\d{4})\.csv(\.gz)?"
 ENCODING = "ISO-8859-1"
+#: Name for the column of lines that do not fit their file's header.
+MALFORMED = "_malformed"
 HEADER_READERS = 8
 
 
@@ -35,11 +37,15 @@ def read_microdata(
     sep: str = ",",
     encoding: str = ENCODING,
     schema: T.StructType | None = None,
+    malformed: str | None = None,
 ) -> DataFrame:
     """Read header CSV with every column as text.
 
     With a schema nothing is inferred and each file's header is checked against it, so a
     file whose columns moved fails instead of being read out of line.
+
+    A line with fewer or more fields than the header is filled with nulls or cut.  ``malformed``
+    (with a schema) names a column that holds such a line as it stands, null for the others.
     """
     reader = (
         spark.read.option("header", True)
@@ -48,8 +54,21 @@ def read_microdata(
         .option("inferSchema", False)
     )
     if schema is not None:
+        if malformed is not None:
+            if malformed in schema.names:
+                raise ValueError(f"the files have a column {malformed}")
+            schema = T.StructType([*schema, T.StructField(malformed, T.StringType())])
+            # A parser that skips columns does not see how many fields a line has.
+            reader = reader.option("columnNameOfCorruptRecord", malformed).option("columnPruning", False)
         reader = reader.schema(schema).option("enforceSchema", False)
-    return reader.csv(path if isinstance(path, str) else list(path))
+    elif malformed is not None:
+        raise ValueError("lines are checked against a schema: pass one")
+    df = reader.csv(path if isinstance(path, str) else list(path))
+    if malformed is None:
+        return df
+    # Spark refuses a scan of this column alone: nothing of another column makes it ask for both.
+    nothing = F.substring(F.coalesce(F.col(f"`{schema.names[0]}`"), F.lit("")), 1, 0)
+    return df.withColumn(malformed, F.concat(F.col(malformed), nothing))
 
 
 def _month_path(pattern: str) -> str:
@@ -125,6 +144,7 @@ def read_periods(
     pattern: str = MONTH_PATTERN,
     period: str = PERIOD,
     spread: int | None = None,
+    malformed: str | None = None,
 ) -> DataFrame:
     """All months in one frame, aligned by column name.
 
@@ -132,6 +152,10 @@ def read_periods(
     questionnaire versions rather than with the number of months, and a period filter
     prunes files at planning.  ``spread`` redistributes gzipped months, which a single task
     has to inflate, over that many partitions before the recode.
+
+    ``malformed`` names a column of (path, line) that is filled for lines that do not fit their
+    header (see :func:`split_malformed`); reading it parses whole lines instead of the columns
+    that are asked for.
     """
 
     def header_of(f: PeriodFile) -> tuple[str, ...]:
@@ -147,8 +171,19 @@ def read_periods(
     scans = []
     for (header, compressed), paths in by_layout.items():
         schema = T.StructType([T.StructField(c, T.StringType()) for c in header])
-        scan = read_microdata(spark, paths, sep, encoding, schema).select(
+        scan = read_microdata(spark, paths, sep, encoding, schema, malformed).select(
             "*", month.alias(period)
         )
+        if malformed is not None:
+            place = F.struct(F.col("_metadata.file_path").alias("path"), F.col(malformed).alias("line"))
+            scan = scan.withColumn(malformed, F.when(F.col(malformed).isNotNull(), place))
         scans.append(scan.repartition(spread) if compressed and spread else scan)
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), scans)
+
+
+def split_malformed(
+    df: DataFrame, malformed: str = MALFORMED, period: str = PERIOD
+) -> tuple[DataFrame, DataFrame]:
+    """(rows of lines that fit, (path, line, period) of those that do not)."""
+    bad = df.where(F.col(malformed).isNotNull())
+    return df.where(F.col(malformed).isNull()).drop(malformed), bad.select(f"{malformed}.*", period)

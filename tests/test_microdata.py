@@ -85,3 +85,33 @@ def test_two_files_of_one_month_are_both_kept():
     kept, ignored = MD.dedupe_period_files(files)
     assert sorted(f.path for f in kept) == sorted(n for n in names if n != "d/south_092020.csv.gz")
     assert [f.path for f in ignored] == ["d/south_092020.csv.gz"]
+
+
+@pytest.fixture(scope="module")
+def uneven(tmp_path_factory):
+    """Two months; the first has a line that is cut short and one that is too long."""
+    root = tmp_path_factory.mktemp("uneven")
+    write_csv(root / "survey_012021.csv", ["a", "b", "c"], [["1", "2", "3"], ["4", "5"], ["6", "7", "8", "9"], ["10", "", ""]])
+    write_csv(root / "survey_022021.csv", ["a", "c"], [["11", "12"]])
+    return root
+
+
+def test_lines_that_do_not_fit_the_header_are_kept_apart(spark, uneven):
+    files = MD.discover_periods(spark, f"{uneven}/*")
+    good, bad = MD.split_malformed(MD.read_periods(spark, files, malformed=MD.MALFORMED))
+    assert rows(good.select("MES_REF", "a", "b", "c"), "a") == [
+        ("2021-01", "1", "2", "3"), ("2021-01", "10", None, None), ("2021-02", "11", None, "12"),
+    ]
+    assert [(r["MES_REF"], r["line"]) for r in bad.orderBy("line").collect()] == [
+        ("2021-01", "4,5"), ("2021-01", "6,7,8,9"),
+    ]
+    assert {r["path"].rsplit("/", 1)[-1] for r in bad.collect()} == {"survey_012021.csv"}
+    assert (good.count(), bad.count()) == (3, 2)
+
+
+def test_malformed_lines_need_a_schema_and_a_free_name(spark, uneven):
+    path = str(uneven / "survey_022021.csv")
+    with pytest.raises(ValueError, match="schema"):
+        MD.read_microdata(spark, path, malformed="x")
+    with pytest.raises(ValueError, match="column a"):
+        MD.read_microdata(spark, path, schema=T.StructType([T.StructField(c, T.StringType()) for c in ("a", "c")]), malformed="a")

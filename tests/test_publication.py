@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from surveyspark import fixed_values as V
 from surveyspark.operators.filters import Options, Selection
+from surveyspark.operators.recode import recode
 from surveyspark.plans import analyses as A
 from surveyspark.plans import star as S
 from surveyspark.sinks import tables
+from surveyspark.sources import microdata as MD
 from surveyspark.sources.tables import VERSION
 from tests.conftest import rows
 
@@ -120,3 +122,33 @@ def test_a_bucketed_star_joins_without_an_exchange(spark, labelled, dictionary,
             spark.conf.unset(f"spark.sql.{name}")
     with pytest.raises(ValueError):
         S.publish_star(labelled, dictionary, base, buckets=4)
+
+
+@pytest.mark.parametrize("atomic", [False, True])
+def test_malformed_lines_are_published_beside_the_star(spark, survey_files, dictionary, tmp_path, atomic):
+    source, base = tmp_path / "raw", str(tmp_path / "star")
+    source.mkdir()
+    text = {m: (survey_files / f"survey_{m}.csv").read_bytes() for m in ("092020", "102020")}
+    (source / "survey_092020.csv").write_bytes(text["092020"] + b"2020,35\n")
+    (source / "survey_102020.csv").write_bytes(text["102020"] + b"2020," * 60 + b"1\n")
+
+    def publish(month="*"):
+        files = MD.discover_periods(spark, f"{source}/survey_{month}.csv")
+        raw = MD.read_periods(spark, files, malformed=MD.MALFORMED)
+        labelled = recode(raw, dictionary, keep=(V.PERIOD, MD.MALFORMED))
+        names = S.publish_star(labelled, dictionary, base, atomic=atomic, malformed=MD.MALFORMED)
+        assert names == [*STAR, S.QUARANTINE]
+        bad = {r[V.PERIOD]: r["line"] for r in S.load_quarantine(spark, base).collect()}
+        return bad, S.load_star(spark, base, S.star_schemas(spark, dictionary))
+
+    bad, star = publish()
+    assert bad == {"2020-09": "2020,35", "2020-10": "2020," * 60 + "1"}
+    assert rows(star.tables["base_saude"].groupBy(V.PERIOD).count(), V.PERIOD) == [("2020-09", 5), ("2020-10", 5)]
+    assert MD.MALFORMED not in star.tables["base_saude"].columns
+    # The mended month loses its old line, the other month keeps its own.
+    (source / "survey_092020.csv").write_bytes(text["092020"])
+    bad, star = publish("092020")
+    assert list(bad) == ["2020-10"]
+    assert star.tables["base_saude"].count() == 10
+    (source / "survey_102020.csv").write_bytes(text["102020"])
+    assert publish("102020")[0] == {}

@@ -303,7 +303,7 @@ def brands(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def write_dictionary(df: DataFrame, path: str) -> str:
-    df.coalesce(1).write.option("header", True).option("escape", '"').csv(path)
+    df.write.option("header", True).option("escape", '"').csv(path)
     return path
 
 
@@ -345,6 +345,25 @@ def _(spark, sf):
     return D.category_codes(codes, variables)
 
 
+@operator(
+    "s7_repeated_codes",
+    "SELECT lower(p_brand) AS name, p_size AS code, CASE WHEN bool_or(p_partkey % 10 = 0) THEN 'novo ' "
+    "ELSE 'antigo ' END || p_size AS label FROM part GROUP BY p_brand, p_size",
+)
+def _(spark, sf):
+    """Two category files: a code that both hold has the label of the file whose name comes last."""
+    part, path = table(spark, sf, "part"), scratch(spark)
+    variables = D.read_variable_dictionary(spark, write_dictionary(brands(spark, sf), path + "/v"))
+    code, files = F.col("p_size").cast("string"), []
+    for file, rows, text in (("c2", part.where("p_partkey % 10 = 0"), "novo "), ("c1", part, "antigo ")):
+        labelled = rows.select(
+            F.col("p_brand").alias("codigo_variavel"), code.alias("valor"),
+            F.concat(F.lit(text), code).alias("descricao_valor"),
+        )
+        files.append(write_dictionary(labelled, f"{path}/{file}"))
+    return D.category_codes(D.read_dictionary_csv(spark, files), variables)
+
+
 # ---- sinks -------------------------------------------------------------------------------------
 
 

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field, replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from surveyspark.functions.columns import to_int
@@ -62,15 +62,15 @@ class Dictionary:
         return replace(self, categories=categories)
 
 
-def read_dictionary_csv(spark: SparkSession, path: str) -> DataFrame:
-    """A dictionary file as text columns; empty cells stay null."""
+def read_dictionary_csv(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
+    """Dictionary files as text columns; empty cells stay null."""
     return (
         spark.read.option("header", True)
         .option("encoding", "UTF-8")
         .option("quote", '"')
         .option("escape", '"')
         .option("multiLine", True)
-        .csv(path)
+        .csv(path if isinstance(path, str) else list(path))
     )
 
 
@@ -94,8 +94,21 @@ def variables_of(table: DataFrame) -> Dictionary:
     )
 
 
+def line_order() -> Column:
+    """Place of a row in the files it was read from: by file name, then by line.
+
+    A task reads a file (or a part of it) from its start to its end, so within one the row ids
+    rise with the lines; between files they depend on how the scan was dealt.
+    """
+    return F.struct(
+        "_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id()
+    )
+
+
 def category_codes(table: DataFrame, dictionary: Dictionary) -> DataFrame:
-    """(name, code, label) with unreadable codes dropped and the last of a repeat kept.
+    """(name, code, label) of :func:`read_dictionary_csv`, unreadable codes dropped.
+
+    The last of a repeated code is kept: the last line of the file whose name comes last.
 
     Blank values mean "not applicable" and texts such as ``000 a 130`` describe a domain;
     neither is a code.
@@ -103,7 +116,7 @@ def category_codes(table: DataFrame, dictionary: Dictionary) -> DataFrame:
     names = [(v.code, v.name) for v in dictionary.variables]
     known = table.sparkSession.createDataFrame(names, "codigo_variavel string, name string")
     return (
-        table.withColumn("row", F.monotonically_increasing_id())
+        table.withColumn("row", line_order())
         .withColumn("code", to_int(F.trim("valor")))
         .where(F.col("code").isNotNull())
         .join(known, "codigo_variavel", "left")
@@ -112,12 +125,13 @@ def category_codes(table: DataFrame, dictionary: Dictionary) -> DataFrame:
     )
 
 
-def read_variable_dictionary(spark: SparkSession, path: str) -> Dictionary:
-    return variables_of(read_dictionary_csv(spark, path))
+def read_variable_dictionary(spark: SparkSession, path: str | Sequence[str]) -> Dictionary:
+    table = read_dictionary_csv(spark, path)
+    return variables_of(table.withColumn("row", line_order()).orderBy("row"))
 
 
 def read_category_dictionary(
-    spark: SparkSession, path: str, dictionary: Dictionary
+    spark: SparkSession, path: str | Sequence[str], dictionary: Dictionary
 ) -> dict[str, dict[int, str]]:
     """``{name: {code: label}}`` for every coded variable."""
     return collect_categories(category_codes(read_dictionary_csv(spark, path), dictionary))

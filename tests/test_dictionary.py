@@ -1,9 +1,10 @@
+import pytest
 from pyspark.sql import functions as F
 
 from surveyspark import fixed_values as V
 from surveyspark.operators import recode as R
 from surveyspark.sources import dictionary as D
-from tests.conftest import VARIABLES, rows
+from tests.conftest import VARIABLES, rows, write_csv
 
 
 def test_variables(dictionary):
@@ -107,3 +108,21 @@ def test_published_dictionary_keeps_nulls(spark, survey_files):
     assert got["peso_domicilio_pessoas"]["tipo"] == "double"
     assert got["uf"]["dominio"] is None
     assert got["uf"]["descricao_variavel"] == 'Pergunta "uf", texto'
+
+
+@pytest.mark.parametrize("packed", ["1b", "1g"])
+def test_the_last_line_of_the_last_file_wins(spark, tmp_path, dictionary, packed):
+    """However the files are dealt to tasks, and in whatever order they are named; the larger file is read first."""
+    header = ["codigo_variavel", "valor", "descricao_valor"]
+    old = [["UF", str(k), f"old {k}\nof {k}"] for k in range(300)]
+    write_csv(tmp_path / "a.csv", header, [*old, ["UF", "7", "later"], ["UF", "8", "later"]])
+    write_csv(tmp_path / "b.csv", header, [["UF", "8", "first"], ["UF", "8", "last"], ["UF", "x", "none"]])
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", packed)
+    try:
+        table = D.read_dictionary_csv(spark, [str(tmp_path / "b.csv"), str(tmp_path / "a.csv")])
+        codes = D.collect_categories(D.category_codes(table, dictionary))["uf"]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert len(codes) == 300
+    assert (codes[6], codes[7], codes[8]) == ("old 6\nof 6", "later", "last")

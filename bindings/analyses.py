@@ -31,6 +31,7 @@ from surveyspark.plans import specs as S
 from surveyspark.functions.measures import Weight
 from surveyspark.operators.recode import recode
 from surveyspark.plans.star import Survey, load_star, publish_star, star_schemas
+from surveyspark.plans.stored_sums import Definition, StoredSums
 from surveyspark.sources import microdata as MD
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -603,7 +604,22 @@ def economic_sql() -> str:
     return union(*parts)
 
 
+def added_month(spec: Callable[..., DataFrame], sums: Definition) -> Query:
+    """A KPI table from kept sums, to which the last year was added after the others."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        s, store = survey(spark, sf_dir), StoredSums(scratch(spark))
+        store.refresh(s, sums, YEARS[:-1])
+        store.refresh(s, sums, YEARS[-1:])
+        return rounded(spec(s, store.read(s, sums)))
+
+    return run
+
+
 SPECS: dict[str, tuple[Query, str]] = {
+    "a15_added_month_clinical": (added_month(S.clinical_spec, S.clinical_sums), clinical_sql()),
+    "a15_added_month_behaviour": (added_month(S.behaviour_spec, S.behaviour_sums), behaviour_sql()),
+    "a15_added_month_economic": (added_month(S.economic_spec, S.economic_sums), economic_sql()),
     "q14_clinical_spec": (on(S.clinical_spec), clinical_sql()),
     "selection_clinical_spec": (
         on(S.clinical_spec, selection=SELECTION),

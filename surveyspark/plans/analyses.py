@@ -377,10 +377,10 @@ def income_suppression(s: Survey) -> DataFrame:
     )
 
 
-def earners(s: Survey) -> DataFrame:
+def earners(s: Survey, by: Sequence[str] = ()) -> DataFrame:
     """Positive effective incomes with the weight of the people who have them, as ``w``."""
     return s.sums(
-        "base_economico", {"w": s.weight.per_row()}, [V.INCOME], where=F.col(V.INCOME) > 0
+        "base_economico", {"w": s.weight.per_row()}, [*by, V.INCOME], where=F.col(V.INCOME) > 0
     )
 
 

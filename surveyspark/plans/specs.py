@@ -1,6 +1,8 @@
 """Long KPI tables: one row per indicator and month, and per indicator over all months.
 
-Each fact is aggregated once per month; the all-months rows are rolled up from the months.
+Each fact is aggregated once per month; the all-months rows are rolled up from the months.  The
+``*_sums`` functions give these monthly sums, which ``plans.stored_sums`` can keep, so that an
+added month reads only its own rows; the tables take them as ``sums``.
 """
 
 from __future__ import annotations
@@ -57,9 +59,12 @@ def by_grouping(
 
 
 def kpi_sums(s: Survey, table: str, kpis: Sequence[Kpi], **options) -> DataFrame:
-    """Sums of the KPIs per month, and over all months."""
-    by_month = s.sums(table, M.sums_of([k.ratio for k in kpis]), [V.PERIOD], **options)
-    return W.roll_up(by_month, [V.PERIOD])
+    """Sums of the KPIs per month."""
+    return s.sums(table, M.sums_of([k.ratio for k in kpis]), [V.PERIOD], **options)
+
+
+#: Monthly sums by name.
+Sums = Mapping[str, DataFrame]
 
 
 def _text(value: str | None) -> Column:
@@ -69,19 +74,26 @@ def _text(value: str | None) -> Column:
 # ---- clinical ------------------------------------------------------------------------------
 
 
-def clinical_spec(s: Survey) -> DataFrame:
-    """Symptoms, comorbidities and testing: population and percentage."""
-
+def _clinical_kpis(s: Survey) -> list[Kpi]:
     def kpi(column: str, label: str, group: str, value: str = V.YES) -> Kpi:
         ratio = M.share(column, A.has(column, value), s.weight, empty="zero")
         return Kpi(ratio, column, label, group, value)
 
-    kpis = [
+    return [
         *[kpi(c, label, "sintoma") for c, label in V.SPEC_SYMPTOMS.items()],
         *[kpi(c, label, "comorbidade") for c, label in V.SPEC_COMORBIDITIES.items()],
         kpi(V.TEST_TAKEN, *V.KPI_TEXTS["test_taken"]),
         kpi(V.TEST_RESULT, *V.KPI_TEXTS["test_result"], V.POSITIVE),
     ]
+
+
+def clinical_sums(s: Survey) -> dict[str, DataFrame]:
+    return {"clinico": kpi_sums(s, "base_saude", _clinical_kpis(s))}
+
+
+def clinical_spec(s: Survey, sums: Sums | None = None) -> DataFrame:
+    """Symptoms, comorbidities and testing: population and percentage."""
+    kpis, sums = _clinical_kpis(s), sums or clinical_sums(s)
     people = [
         s.weight.population(F.coalesce(F.col(k.ratio.num_sum), F.lit(0))) for k in kpis
     ]
@@ -92,7 +104,7 @@ def clinical_spec(s: Survey) -> DataFrame:
     ]
     names = ["mes_ref", "variavel", "descricao", "categoria", "pop_ponderada", "pct_ponderado",
              "grupo"]
-    return long_table(kpi_sums(s, "base_saude", kpis), rows, names)
+    return long_table(W.roll_up(sums["clinico"], [V.PERIOD]), rows, names)
 
 
 # ---- behaviour -----------------------------------------------------------------------------
@@ -100,24 +112,37 @@ def clinical_spec(s: Survey) -> DataFrame:
 BEHAVIOUR_COLUMNS = ["mes_ref", "variavel", "descricao", "pct_ponderado", "grupo"]
 
 
-def behaviour_spec(s: Survey) -> DataFrame:
-    """Isolation, care seeking and home office; labour-market shares over all months."""
-    strict = Kpi(
-        M.share("strict", A.has(V.ISOLATION, V.STRICT_ISOLATION), s.weight, empty="zero"),
-        V.ISOLATION, *V.KPI_TEXTS["strict"],
-    )
+def _behaviour_kpis(s: Survey) -> tuple[Kpi, Kpi, Kpi, Kpi]:
+    """Strict isolation, care seeking of all and of people with symptoms, home office."""
+    strict = M.share("strict", A.has(V.ISOLATION, V.STRICT_ISOLATION), s.weight, empty="zero")
     care = M.share("care", A.has(V.CARE_SOUGHT), s.weight, empty="zero")
-    care_all = Kpi(
-        care, "buscou_atendimento_saude_geral", *V.KPI_TEXTS["care_all"]
-    )
-    care_cases = Kpi(
-        care, "buscou_atendimento_saude_sintomaticos", *V.KPI_TEXTS["care_cases"],
-    )
-    remote = Kpi(
-        M.share("remote", A.has(V.HOME_OFFICE), s.weight, within=A.has(V.WORKED), empty="zero"),
-        V.HOME_OFFICE, *V.KPI_TEXTS["remote"],
+    remote = M.share("remote", A.has(V.HOME_OFFICE), s.weight, within=A.has(V.WORKED), empty="zero")
+    return (
+        Kpi(strict, V.ISOLATION, *V.KPI_TEXTS["strict"]),
+        Kpi(care, "buscou_atendimento_saude_geral", *V.KPI_TEXTS["care_all"]),
+        Kpi(care, "buscou_atendimento_saude_sintomaticos", *V.KPI_TEXTS["care_cases"]),
+        Kpi(remote, V.HOME_OFFICE, *V.KPI_TEXTS["remote"]),
     )
+
+
+def behaviour_sums(s: Survey) -> dict[str, DataFrame]:
+    strict, care_all, care_cases, remote = _behaviour_kpis(s)
     cases = s.period_rows("base_saude").where(A.symptomatic())
+    # One pass by month and labour status serves the monthly indicators and the composition.
+    return {
+        "isolamento": kpi_sums(s, "base_saude", [strict]),
+        "sintomaticos": kpi_sums(s, "base_comportamento", [care_cases], match=cases),
+        "situacao": s.sums(
+            "base_comportamento", M.sums_of([care_all.ratio, remote.ratio]),
+            [V.PERIOD, V.LABOUR_STATUS],
+        ),
+    }
+
+
+def behaviour_spec(s: Survey, sums: Sums | None = None) -> DataFrame:
+    """Isolation, care seeking and home office; labour-market shares over all months."""
+    strict, care_all, care_cases, remote = _behaviour_kpis(s)
+    sums = sums or behaviour_sums(s)
 
     def rows(kpis: Sequence[Kpi]) -> list[tuple[Column, ...]]:
         return [
@@ -126,16 +151,13 @@ def behaviour_spec(s: Survey) -> DataFrame:
             for k in kpis
         ]
 
-    health = long_table(kpi_sums(s, "base_saude", [strict]), rows([strict]), BEHAVIOUR_COLUMNS)
-    of_cases = long_table(
-        kpi_sums(s, "base_comportamento", [care_cases], match=cases), rows([care_cases]),
-        BEHAVIOUR_COLUMNS,
-    )
-    # One pass by month and labour status serves the monthly indicators and the composition.
-    by = [V.PERIOD, V.LABOUR_STATUS]
-    sums = s.sums("base_comportamento", M.sums_of([care_all.ratio, remote.ratio]), by)
+    def monthly_table(name: str, kpi: Kpi) -> DataFrame:
+        return long_table(W.roll_up(sums[name], [V.PERIOD]), rows([kpi]), BEHAVIOUR_COLUMNS)
+
     monthly, total, by_status = range(3)
-    groups = W.regroup(sums, by, [[V.PERIOD], [], [V.LABOUR_STATUS]])
+    groups = W.regroup(
+        sums["situacao"], [V.PERIOD, V.LABOUR_STATUS], [[V.PERIOD], [], [V.LABOUR_STATUS]]
+    )
     groups = groups.withColumn(V.PERIOD, F.coalesce(V.PERIOD, F.lit(V.TOTAL)))
     classified = (F.col("grouping") == by_status) & (F.col(V.LABOUR_STATUS) != V.NOT_APPLICABLE)
     people = F.when(classified, F.col(s.weight.everyone))
@@ -150,7 +172,9 @@ def behaviour_spec(s: Survey) -> DataFrame:
         groups.where((F.col("grouping") != by_status) | F.col("share").isNotNull()),
         {monthly: kpis, total: kpis, by_status: composition}, BEHAVIOUR_COLUMNS,
     )
-    return stack([health, behaviour, of_cases])
+    return stack(
+        [monthly_table("isolamento", strict), behaviour, monthly_table("sintomaticos", care_cases)]
+    )
 
 
 # ---- economy -------------------------------------------------------------------------------
@@ -160,8 +184,8 @@ ECONOMY_COLUMNS = [
 ]
 
 
-def economic_spec(s: Survey) -> DataFrame:
-    """Benefits and income by month; income, overlap and regional aid over all months."""
+def _economic_kpis(s: Survey) -> tuple[list[Kpi], Ratio]:
+    """Benefits and people without income; the mean income of those who have one."""
     benefits = [
         (V.AID, V.KPI_TEXTS["aid"]),
         (V.FAMILY_AID, V.KPI_TEXTS["family_aid"]),
@@ -176,21 +200,35 @@ def economic_spec(s: Survey) -> DataFrame:
         Kpi(M.share("no_income", F.col(V.HAS_INCOME) == 0, s.weight, empty="zero"),
             V.HAS_INCOME, *V.KPI_TEXTS["no_income"]),
     ]
-    income_mean = M.mean("income_mean", V.INCOME, s.weight, where=F.col(V.INCOME) > 0)
+    return kpis, M.mean("income_mean", V.INCOME, s.weight, where=F.col(V.INCOME) > 0)
+
+
+def economic_sums(s: Survey) -> dict[str, DataFrame]:
+    kpis, income_mean = _economic_kpis(s)
+    overlap = overlap_groups(V.AID, V.FAMILY_AID, V.SPEC_OVERLAP_LABELS, V.YES, "unknown")
+    # One pass by month, region and overlap group serves every block but the median.
+    return {
+        "economico": s.sums(
+            "base_economico", M.sums_of([*[k.ratio for k in kpis], income_mean]),
+            [V.PERIOD, "regiao", "grupo"], derive={"grupo": overlap},
+        ),
+        "rendas": A.earners(s, [V.PERIOD]),
+    }
+
+
+def economic_spec(s: Survey, sums: Sums | None = None) -> DataFrame:
+    """Benefits and income by month; income, overlap and regional aid over all months."""
+    kpis, income_mean = _economic_kpis(s)
+    sums = sums or economic_sums(s) | {"rendas": A.earners(s)}
     nothing = F.lit(None).cast("double")
 
     def amount(variable: str, label: Column, value: Column, group: str) -> tuple[Column, ...]:
         return (_text(V.TOTAL), _text(variable), label, nothing, value, _text(group))
 
-    # One pass by month, region and overlap group serves every block below but the median.
-    by = [V.PERIOD, "regiao", "grupo"]
-    overlap = overlap_groups(V.AID, V.FAMILY_AID, V.SPEC_OVERLAP_LABELS, V.YES, "unknown")
-    sums = s.sums(
-        "base_economico", M.sums_of([*[k.ratio for k in kpis], income_mean]), by,
-        derive={"grupo": overlap},
-    )
     monthly, total, by_region, by_overlap = range(4)
-    groups = W.regroup(sums, by, [[V.PERIOD], [], ["regiao"], ["grupo"]])
+    groups = W.regroup(
+        sums["economico"], [V.PERIOD, "regiao", "grupo"], [[V.PERIOD], [], ["regiao"], ["grupo"]]
+    )
     groups = groups.withColumn(V.PERIOD, F.coalesce(V.PERIOD, F.lit(V.TOTAL)))
     everyone = F.col(s.weight.everyone)
     share = safe_ratio(everyone, F.sum(everyone).over(Window.partitionBy("grouping")), 100.0)
@@ -218,7 +256,7 @@ def economic_spec(s: Survey) -> DataFrame:
         ECONOMY_COLUMNS,
     )
     median = long_table(
-        W.weighted_median(A.earners(s), V.INCOME, A.earners_weight(s)),
+        W.weighted_median(sums["rendas"], V.INCOME, A.earners_weight(s)),
         [amount(V.INCOME, _text(V.KPI_TEXTS["income_median"][0]), F.col("median").cast("double"), V.KPI_TEXTS["income_median"][1])],
         ECONOMY_COLUMNS,
     )

@@ -28,7 +28,7 @@ from surveyspark.operators.joins import additive_sums, joined_sums
 from surveyspark.operators.recode import dim_dictionary, dim_location, dim_profile, dim_time, project_block
 from surveyspark.sinks.tables import (
     overwrite_period, period_folders, publish_table, read_manifest, remove_folder,
-    switch_manifest, write_partitioned, write_version,
+    replace_periods, switch_manifest, write_partitioned, write_version,
 )
 from surveyspark.sources.dictionary import Dictionary
 from surveyspark.sources.microdata import split_malformed
@@ -207,9 +207,9 @@ def publish_star(
             path = posixpath.join(base, name)
             if name == QUARANTINE and incremental:
                 # A month without such lines has no rows that would replace the old ones.
-                for month in months:
-                    remove_folder(spark, posixpath.join(path, month))
-            write(tables[name], path)
+                replace_periods(tables[name], path, [m.split("=", 1)[1] for m in months])
+            else:
+                write(tables[name], path)
             return None
 
         # Independent jobs: the tail of one leaves room for the next.

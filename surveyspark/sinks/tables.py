@@ -45,6 +45,26 @@ def overwrite_period(df: DataFrame, path: str, partition: str = PERIOD) -> None:
     )
 
 
+def replace_periods(
+    df: DataFrame, path: str, periods: Sequence[str], partition: str = PERIOD
+) -> None:
+    """Let ``df`` stand for all of ``periods``: those it has no rows of go, others stay as they are.
+
+    The old rows of a period go after the new ones are written, so a failed write loses nothing.
+    """
+    spark = df.sparkSession
+
+    def files(period: str) -> list[str]:
+        fs, folder = _jvm_file(spark, f"{path}/{partition}={period}")
+        return sorted(s.getPath().getName() for s in fs.listStatus(folder)) if fs.exists(folder) else []
+
+    before = {p: files(p) for p in periods}
+    overwrite_period(df, path, partition)
+    for p, old in before.items():
+        if old and files(p) == old:
+            remove_folder(spark, f"{path}/{partition}={p}")
+
+
 def publish_table(
     df: DataFrame,
     database: str,

@@ -3,11 +3,13 @@
 Base patterns with their checks find what is certain. High-recall generators propose more spans, which
 may overlap: digits in groups, dotted numbers, spelled-out addresses. Boosted trees score them by
 format (length, digits, groups, brackets, largest part) and context (neighbouring characters, a telling
-word before). They learn from all candidates of a bounded sample whether a base span is there, but not
+word before). They learn from all candidates of all documents whether a base span is there, but not
 by the base's own rule: features are taken from a form of the span in which a leading plus, the kind of
 separator and the check digit do not show and [at] and [dot] are signs, so that a span that lacks only
-the rule looks like one that has it. On a part that is held back, a threshold is calibrated for each
-kind: the least score from which on PRECISION of the candidates are right. Candidates that reach it and
+the rule looks like one that has it. Features are small whole numbers, so candidates are counted by
+their features first and the trees weigh each such form by its count. On a third of the documents that
+the trees do not see, a threshold is calibrated for each kind: the least score from which on PRECISION
+of all its candidates are right. Candidates that reach it and
 overlap no base span are added; base spans always stay.
 
 All in DataFrame functions: matches and the gaps between them give places, the trees become a CASE
@@ -45,8 +47,10 @@ GENERATORS = {
 }
 #: What a text must hold for a pattern to be tried.
 NEEDS = {"email": "@", "phone": "+"}
-#: Candidates to learn from, at most; by hash of the row.
-SAMPLE = 20_000
+#: Features stop at this value, so that the number of forms does not grow with the texts' length.
+TOP = 63
+#: Cuts of a feature that the trees weigh: more than it has values.
+BINS = 128
 TREES, DEPTH, STEP = 10, 3, 0.3
 #: Share of base spans among the candidates from a threshold on. The others are what is sought as well as
 #: what is not, so it is a lower bound of the precision, and cannot be near 1 where look-alikes are frequent.
@@ -123,7 +127,7 @@ def features(kind: str, c: Column) -> list[Column]:
     # The exact length is part of a card's rule: its digits count in fours.
     n, chars = (F.ceil(F.length(digits) / 4),) * 2 if kind == "card" else (F.length(digits), F.length(s))
     values = (F.lit(KINDS.index(kind)), chars, n, groups, F.regexp_count(s, F.lit(r"\.")), s.contains("("), s.rlike("^[0-9.]+$") & small_parts(s, r"\."), joined, told)
-    return [F.coalesce(v.cast("double"), F.lit(0.0)) for v in values]
+    return [F.least(F.coalesce(v.cast("double"), F.lit(0.0)), F.lit(float(TOP))) for v in values]
 
 
 def _has(kind: str) -> Column:
@@ -169,14 +173,20 @@ def _case(node, x: Column) -> Column:
     return F.when(F.get(x, F.lit(split.featureIndex())) <= float(split.threshold()), _case(node.leftChild(), x)).otherwise(_case(node.rightChild(), x))
 
 
-def scorer(sample: DataFrame):
+def forms(found: DataFrame) -> DataFrame:
+    """k, x, known, held and n: how many candidates there are of each kind, features, label and part."""
+    every = found.where(F.size("more") > 0).select((F.pmod("deal", F.lit(3)) == 0).alias("held"), F.explode("more").alias("c"))
+    return every.groupBy("held", "c.k", "c.x", "c.known").agg(F.count(F.lit(1)).alias("n"))
+
+
+def scorer(counted: DataFrame):
     """A function from the feature array to the probability that a span is personal data; None if all or none are."""
-    kinds = sample.agg(F.min(F.col("known").cast("int")), F.max(F.col("known").cast("int"))).first()
+    kinds = counted.agg(F.min(F.col("known").cast("int")), F.max(F.col("known").cast("int"))).first()
     if kinds[0] == kinds[1]:
         return None
-    rows = sample.select(F.col("known").cast("double").alias("label"), *[F.get("x", F.lit(i)).alias(n) for i, n in enumerate(FEATURES)])
+    rows = counted.select(F.col("known").cast("double").alias("label"), F.col("n").cast("double").alias("weight"), *[F.get("x", F.lit(i)).alias(c) for i, c in enumerate(FEATURES)])
     rows = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(rows)
-    model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=STEP, seed=1).fit(rows)
+    model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=STEP, maxBins=BINS, weightCol="weight", seed=1).fit(rows)
     trees = [(w, t._java_obj.rootNode()) for w, t in zip(model.treeWeights, model.trees, strict=True)]
 
     def score(x: Column) -> Column:
@@ -186,9 +196,9 @@ def scorer(sample: DataFrame):
     return score
 
 
-def thresholds(sample: DataFrame, score) -> dict[int, float]:
+def thresholds(counted: DataFrame, score) -> dict[int, float]:
     """For each kind the least score from which on PRECISION of the candidates are known."""
-    rows = sample.select("k", (F.floor(score(F.col("x")) * 10_000) / 10_000).alias("p"), F.col("known").cast("int").alias("y")).groupBy("k", "p").agg(F.sum("y").alias("y"), F.count(F.lit(1)).alias("n"))
+    rows = counted.select("k", (F.floor(score(F.col("x")) * 10_000) / 10_000).alias("p"), F.when(F.col("known"), F.col("n")).otherwise(0).alias("y"), "n").groupBy("k", "p").agg(F.sum("y").alias("y"), F.sum("n").alias("n"))
     down = Window.partitionBy("k").orderBy(F.desc("p"))
     rows = rows.withColumn("right", F.sum("y").over(down) / F.sum("n").over(down)).where(F.col("right") >= PRECISION)
     return {r["k"]: r["p"] for r in rows.groupBy("k").agg(F.min("p").alias("p")).collect()}
@@ -216,11 +226,9 @@ def added(found: DataFrame, score, bound: dict[int, float]) -> DataFrame:
 def find(docs: DataFrame) -> DataFrame:
     """doc_id, and for each kind the sorted places of base_<kind> and of all_<kind>."""
     found = stored(candidates(docs), "candidates")
-    sample = found.where(F.size("more") > 0).orderBy("deal", F.col("doc_id").asc_nulls_last()).limit(SAMPLE).select("deal", F.explode("more").alias("c")).select("deal", "c.*").limit(SAMPLE)
-    sample = stored(sample, "sample")
-    held = F.pmod(F.col("deal"), F.lit(3)) == 0
-    score = scorer(sample.where(~held))
-    bound = thresholds(sample.where(held), score) if score else {}
+    counted = stored(forms(found), "forms")
+    score = scorer(counted.where(~F.col("held")))
+    bound = thresholds(counted.where("held"), score) if score else {}
     out = found.drop("more")
     if bound:
         out = out.join(added(found, score, bound), "row", "left")

@@ -95,3 +95,23 @@ def test_running_sums_over_blocks(spark):
             total += k % 7
             expected.append(total)
         assert found == expected
+
+
+def test_trees_and_thresholds_see_all_candidates(spark, monkeypatch):
+    """Counts of every candidate, not of some: 30,000 numbers, of which a late part alone lacks the rule."""
+    seen = {}
+    keep = {"scorer": pii.scorer, "thresholds": pii.thresholds}
+
+    def watch(name):
+        def call(rows, *rest):
+            seen[name] = rows.agg(pii.F.sum("n") if "n" in rows.columns else pii.F.count("*")).first()[0]
+            return keep[name](rows, *rest)
+        monkeypatch.setattr(pii, name, call)
+
+    for name in keep:
+        watch(name)
+    docs = [(i, " ".join(f"{i % 200}.{k}.7.{k if i % 3 else 300};" for k in range(100))) for i in range(300)]
+    found = pii.candidates(frame(spark, docs))
+    every = found.select(pii.F.sum(pii.F.size("more"))).first()[0]
+    pii.find(frame(spark, docs)).collect()
+    assert every > 25_000 and seen["scorer"] + seen["thresholds"] == every

@@ -96,11 +96,12 @@ def demographic_filter(
         conditions.append(F.col("faixa_etaria").isin(*selection.age_bands))
     if "sexes" not in skip and is_partial(selection.sexes, options.sexes):
         conditions.append(F.col("sexo").isin(*selection.sexes))
+    # Regions first: what they drop is neither counted for hot keys nor exchanged.
+    if "regions" not in skip and is_partial(selection.regions, options.regions):
+        fact = fact.where(map_hierarchy("uf", regions).isin(*selection.regions))
     if conditions:
         wanted = profile.where(reduce(Column.__and__, conditions))
         fact = semi_filter(fact, wanted, keys, hot_keys)
-    if "regions" not in skip and is_partial(selection.regions, options.regions):
-        fact = fact.where(map_hierarchy("uf", regions).isin(*selection.regions))
     return fact
 
 

@@ -19,7 +19,8 @@ from surveyspark import fixed_values as V
 from surveyspark.functions.measures import Weight
 from surveyspark.operators.filters import Options
 from surveyspark.operators.recode import recode
-from surveyspark.plans.star import Survey, build_star, shared_folder
+from surveyspark.plans.star import Survey, build_star, shared_folder, wide_row_codegen
+from surveyspark.sinks.tables import unsorted_writes, write_partitioned
 from surveyspark.sources.dictionary import Dictionary, Variable
 
 REGION_NAMES = ("AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST")
@@ -163,9 +164,9 @@ def raw_microdata(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem")
     orders = table(spark, sf_dir, "orders")
     customers = table(spark, sf_dir, "customer")
-    df = lines.join(orders, lines.l_orderkey == orders.o_orderkey).join(
-        customers, orders.o_custkey == customers.c_custkey
-    )
+    # The many lines are exchanged once, by order; only orders meet the customers.
+    known = orders.join(customers, orders.o_custkey == customers.c_custkey)
+    df = lines.join(known, lines.l_orderkey == known.o_orderkey)
     for layer in LAYERS:
         df = df.selectExpr("*", *[f"{e} AS {name}" for name, e in layer.items()])
     codes = [code for code, *_ in QUESTIONNAIRE]
@@ -189,19 +190,29 @@ def survey(spark: SparkSession, sf_dir: str) -> Survey:
     """
     opened = _OPEN.setdefault(spark, {})
     if sf_dir not in opened:
-        d = dictionary()
-        labelled = recode(raw_microdata(spark, sf_dir), d)
-        opened[sf_dir] = Survey(
-            build_star(labelled, d, regions()),
-            weight=Weight(V.WEIGHT, digits=2),
-            keys=V.PANEL_KEY_WITH_PERIOD,
-            regions=regions(),
-            month_labels={y: f"Ano {y}" for y in YEARS},
-            options=Options(V.AGE_BANDS, ("Homem", "Mulher"), REGION_NAMES),
-        )
+        opened[sf_dir] = _survey_of(recode(raw_microdata(spark, sf_dir), dictionary()))
     return opened[sf_dir]
 
 
+def decoded_survey(spark: SparkSession, sf_dir: str) -> Survey:
+    """The same star over the decoded panel, written once by year: months are read without the others."""
+    folder, labelled = f"{scratch(spark)}/decoded", recode(raw_microdata(spark, sf_dir), dictionary())
+    with wide_row_codegen(spark), unsorted_writes(spark):
+        write_partitioned(labelled, folder)
+    return _survey_of(spark.read.schema(labelled.schema).parquet(folder))
+
+
+def _survey_of(labelled: DataFrame) -> Survey:
+    return Survey(
+        build_star(labelled, dictionary(), regions()),
+        weight=Weight(V.WEIGHT, digits=2),
+        keys=V.PANEL_KEY_WITH_PERIOD,
+        regions=regions(),
+        month_labels={y: f"Ano {y}" for y in YEARS},
+        options=Options(V.AGE_BANDS, ("Homem", "Mulher"), REGION_NAMES),
+    )
+
+
 # ---- the same panel in SQL ----------------------------------------------------------------------
 
 

@@ -16,6 +16,7 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField
 
 from surveyspark import fixed_values as V
 
@@ -158,6 +159,17 @@ def _sums_by_level(
         matched = matched.withColumns(
             {c: F.coalesce(c, F.lit(int(j == len(n) - 1)).cast("bigint")) for j, c in enumerate(n)}
         )
+    types = [*left.select(*free).schema, *right.select(*right_by).schema]
+    return _level_rows(matched, sums, fixed, left_slots, right_slots, types).select(
+        *dict.fromkeys([*left_by, *right_by]), *sums
+    )
+
+
+def _level_rows(
+    matched: DataFrame, sums: Mapping[str, Column], fixed: Sequence[str],
+    left_slots: Sequence[tuple], right_slots: Sequence[tuple], types: Sequence[StructField],
+) -> DataFrame:
+    """A row for each combination of levels that meets, from counts and sums side by side for each key."""
     cells = [(i, j) for i in range(len(left_slots)) for j in range(len(right_slots))]
     there = {(i, j): F.col(f"__m{i}") * F.col(f"__n{j}") for i, j in cells}
     wide = matched.groupBy(*fixed).agg(
@@ -167,7 +179,6 @@ def _sums_by_level(
             for i, j in cells for k in range(len(sums))
         ],
     )
-    types = [*left.select(*free).schema, *right.select(*right_by).schema]
     groups = [
         F.struct(
             *[
@@ -179,8 +190,74 @@ def _sums_by_level(
         )
         for i, j in cells
     ]
-    long = wide.select(*fixed, F.inline(F.array(*groups))).where(F.col("__c") > 0)
-    return long.select(*dict.fromkeys([*left_by, *right_by]), *sums)
+    return wide.select(*fixed, F.inline(F.array(*groups))).where(F.col("__c") > 0)
+
+
+def self_joined_sums(
+    rows: DataFrame,
+    sums: Mapping[str, Column],
+    keys: Sequence[str] = V.PANEL_KEY_WITH_PERIOD,
+    where: Column | None = None,
+    match: Column | None = None,
+    left_by: Sequence[str] = (),
+    right_by: Sequence[str] = (),
+    how: str = "inner",
+    within: Column | None = None,
+    levels: Mapping[str, Sequence[Any]] | None = None,
+    determined: Sequence[str] = (),
+) -> DataFrame | None:
+    """``joined_sums`` of rows with other rows of the same frame: those of ``where`` with those of ``match``.
+
+    One aggregation by the key counts and sums both sides, so the frame is read and exchanged once.
+    ``within`` keeps the keys that have such a row.  None if what is grouped by is neither
+    ``determined`` by the key nor listed in ``levels``.
+    """
+    keys = list(keys)
+    names = dict.fromkeys([*keys, *left_by])
+    free = [c for c in dict.fromkeys(left_by) if c not in keys and c not in determined]
+    listed = [*free, *right_by]
+    if how not in ("inner", "left_semi") or not set(listed) <= set(levels or {}):
+        return None
+    if prod(len(levels[c]) + 1 for c in listed) > MOST_SLOTS:
+        return None
+    left_slots, right_slots = (
+        list(product(*[[*levels[c], None] for c in columns])) for columns in (free, right_by)
+    )
+    slot = lambda chosen, by: F.when(F.lit(True) if chosen is None else chosen, _slot(by, levels or {}))
+    fixed = [c for c in names if c not in free]
+    rows = rows.where(reduce(Column.__and__, [F.col(k).isNotNull() for k in keys]))  # null keys match nothing
+    if where is not None and match is not None:
+        # By the conditions, not the slots: a filter is pushed down with all that it is computed from.
+        rows = rows.where(reduce(Column.__or__, [c for c in (where, match, within) if c is not None]))
+    sides = rows.select(
+        *fixed, slot(where, free).alias("__left"), slot(match, right_by).alias("__right"),
+        *([] if within is None else [within.alias("__within")]),
+        *[e.alias(name) for name, e in sums.items()],
+    )
+    m, n = ([f"__{side}{i}" for i in range(len(slots))] for side, slots in (("m", left_slots), ("n", right_slots)))
+    matched = sides.groupBy(*keys).agg(
+        *[F.any_value(c).alias(c) for c in fixed if c not in keys],
+        *[F.count_if(F.col("__left") == i).alias(c) for i, c in enumerate(m)],
+        *[
+            F.sum(F.when(F.col("__left") == i, F.col(name))).alias(f"__s{i}_{k}")
+            for i in range(len(m)) for k, name in enumerate(sums)
+        ],
+        *[F.count_if(F.col("__right") == j).alias(c) for j, c in enumerate(n)],
+        *([] if within is None else [F.bool_or("__within").alias("__within")]),
+    )
+    if within is not None:
+        matched = matched.where("__within")
+    if how == "left_semi":  # a left row counts once
+        matched = matched.withColumns({c: F.least(F.col(c), F.lit(1).cast("bigint")) for c in n})
+    if not listed:
+        met = matched.where((F.col("__m0") > 0) & (F.col("__n0") > 0))
+        times = {name: F.col(f"__s0_{k}") * F.col("__n0") for k, name in enumerate(sums)}
+        return additive_sums(met, times, list(left_by))
+    types = [*rows.select(*free).schema, *rows.select(*right_by).schema]
+    beside = [c for c in fixed if c in left_by]
+    return _level_rows(matched, sums, beside, left_slots, right_slots, types).select(
+        *dict.fromkeys([*left_by, *right_by]), *sums
+    )
 
 
 def joined_sums(

@@ -12,7 +12,6 @@ from surveyspark import fixed_values as V
 from surveyspark.functions import measures as M
 from surveyspark.functions.columns import round_population
 from surveyspark.operators import weighted as W
-from surveyspark.operators.joins import aggregate_then_join
 from surveyspark.operators.reshape import round_columns
 from surveyspark.plans import analyses as A
 from surveyspark.plans.star import Survey
@@ -113,19 +112,14 @@ def regional_risk(s: Survey) -> DataFrame:
     """Four indicators by month and region, each over the whole population."""
     columns = ["pct_sintomas", "pct_dificuldade_respirar", "pct_home_office",
                "pct_auxilio_emergencial"]
-    health = [
-        M.flag_rate(columns[0], V.HAS_SYMPTOM, s.weight),
-        M.share(columns[1], A.has(V.BREATHING), s.weight),
-    ]
-    behaviour = [M.share(columns[2], A.has(V.HOME_OFFICE), s.weight)]
-    economy = [M.share(columns[3], A.has(V.AID), s.weight)]
-    parts = [
-        A.table_of(s, table, ratios, REGION, skip=["regions"])
-        for table, ratios in (
-            ("base_saude", health), ("base_comportamento", behaviour), ("base_economico", economy)
-        )
-    ]
-    panel = round_columns(aggregate_then_join(parts, REGION), columns)
+    parts = {
+        "base_saude": [
+            M.flag_rate(columns[0], V.HAS_SYMPTOM, s.weight),
+            M.share(columns[1], A.has(V.BREATHING), s.weight)],
+        "base_comportamento": [M.share(columns[2], A.has(V.HOME_OFFICE), s.weight)],
+        "base_economico": [M.share(columns[3], A.has(V.AID), s.weight)],
+    }
+    panel = round_columns(A.tables_of(s, parts, REGION, skip=["regions"]), columns)
     return panel.orderBy(V.PERIOD, F.desc(columns[0]), "regiao")
 
 

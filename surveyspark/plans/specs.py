@@ -127,11 +127,10 @@ def _behaviour_kpis(s: Survey) -> tuple[Kpi, Kpi, Kpi, Kpi]:
 
 def behaviour_sums(s: Survey) -> dict[str, DataFrame]:
     strict, care_all, care_cases, remote = _behaviour_kpis(s)
-    cases = s.period_rows("base_saude").where(A.symptomatic())
     # One pass by month and labour status serves the monthly indicators and the composition.
     return {
         "isolamento": kpi_sums(s, "base_saude", [strict]),
-        "sintomaticos": kpi_sums(s, "base_comportamento", [care_cases], match=cases),
+        "sintomaticos": kpi_sums(s, "base_comportamento", [care_cases], match="base_saude", match_where=A.symptomatic()),
         "situacao": s.sums(
             "base_comportamento", M.sums_of([care_all.ratio, remote.ratio]),
             [V.PERIOD, V.LABOUR_STATUS],

@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 from surveyspark import fixed_values as V
 from surveyspark.functions.columns import (
     any_of,
+    band,
     count_of,
     labour_status,
     map_hierarchy,
@@ -24,11 +25,11 @@ from surveyspark.functions.columns import (
 )
 from surveyspark.functions.measures import Weight
 from surveyspark.operators.filters import Options, Selection, is_partial, demographic_filter
-from surveyspark.operators.joins import additive_sums, joined_sums
+from surveyspark.operators.joins import additive_sums, joined_sums, self_joined_sums
 from surveyspark.operators.recode import dim_dictionary, dim_location, dim_profile, dim_time, project_block
 from surveyspark.sinks.tables import (
     overwrite_period, period_folders, publish_table, read_manifest, remove_folder,
-    replace_periods, switch_manifest, write_partitioned, write_version,
+    replace_periods, switch_manifest, unsorted_writes, write_partitioned, write_version,
 )
 from surveyspark.sources.dictionary import Dictionary
 from surveyspark.sources.microdata import split_malformed
@@ -40,9 +41,17 @@ from surveyspark.sources.tables import read_star_table, read_versioned_table
 class Tables(Mapping[str, DataFrame]):
     """Star tables whose plans are built when first asked for."""
 
-    def __init__(self, builders: Mapping[str, Callable[[], DataFrame]]):
+    def __init__(
+        self, builders: Mapping[str, Callable[[], DataFrame]],
+        rows: Callable[[], DataFrame] | None = None,
+    ):
         self._builders = dict(builders)
         self._built: dict[str, DataFrame] = {}
+        self._rows = rows
+
+    def rows(self) -> DataFrame | None:
+        """The one frame that facts, profile and location are projections of; None if they are stored apart."""
+        return self._rows() if self._rows else None
 
     def __getitem__(self, name: str) -> DataFrame:
         if name not in self._built:
@@ -81,6 +90,19 @@ def build_star(
         df = block("base_economico")
         return df.withColumn(V.HAS_INCOME, positive_flag(V.INCOME)) if V.INCOME in df.columns else df
 
+    def rows() -> DataFrame:
+        """All tables' columns, for statistics over several of them."""
+        have = set(labelled.columns)
+        symptoms = [c for c in V.SYMPTOMS if c in have]
+        derived = {V.HAS_SYMPTOM: any_of(symptoms), V.SYMPTOM_COUNT: count_of(symptoms)} if symptoms else {}
+        if {V.WORKED, V.AWAY, V.LOOKED} <= have:
+            derived[V.LABOUR_STATUS] = labour_status()
+        if V.INCOME in have:
+            derived[V.HAS_INCOME] = positive_flag(V.INCOME)
+        if "idade" in have:
+            derived["faixa_etaria"] = band("idade", age_cuts, age_bands)
+        return labelled.withColumns(derived)
+
     return Tables(
         {
             "dim_tempo": lambda: dim_time(labelled),
@@ -90,7 +112,8 @@ def build_star(
             "base_comportamento": behaviour,
             "base_economico": economy,
             "base_trabalho": lambda: block("base_trabalho"),
-        }
+        },
+        rows,
     )
 
 
@@ -178,7 +201,7 @@ def publish_star(
         shared_folder(spark, base), f"_decoded_{uuid.uuid4().hex}"
     )
     try:
-        with wide_row_codegen(spark):
+        with wide_row_codegen(spark), unsorted_writes(spark):
             write_partitioned(labelled, stage)
         decoded = spark.read.schema(labelled.schema).parquet(stage)
         bad = None
@@ -213,7 +236,7 @@ def publish_star(
             return None
 
         # Independent jobs: the tail of one leaves room for the next.
-        with ThreadPoolExecutor(WRITERS) as pool:
+        with unsorted_writes(spark), ThreadPoolExecutor(WRITERS) as pool:
             written = dict(zip(tables, pool.map(publish, tables), strict=True))
         if atomic:
             switch_manifest(spark, base, version, written, incremental, months)
@@ -256,9 +279,16 @@ class Survey:
     # -- rows ------------------------------------------------------------------------------
 
     def period_rows(self, table: str) -> DataFrame:
-        df = self.tables[table]
+        return self._in_months(self.tables[table])
+
+    def _in_months(self, df: DataFrame) -> DataFrame:
         return df if not self.months else df.where(F.col(V.PERIOD).isin(*self.months))
 
+    def rows(self) -> DataFrame | None:
+        """Rows with the columns of all facts, in the chosen months, if the tables are projections of one frame."""
+        rows = self.tables.rows() if isinstance(self.tables, Tables) else None
+        return None if rows is None else self._in_months(rows)
+
     def _region_rows(self, df: DataFrame, skip: Sequence[str]) -> DataFrame:
         df = df.withColumn("regiao", map_hierarchy("uf", self.regions))
         if "regions" not in skip and is_partial(self.selection.regions, self.options.regions):
@@ -280,6 +310,11 @@ class Survey:
 
     def people(self, skip: Sequence[str] = ()) -> DataFrame | None:
         """Profile rows in the chosen age bands and sexes; None when nothing is chosen."""
+        chosen = self.chosen(skip)
+        return None if chosen is None else self.period_rows("dim_perfil").where(chosen)
+
+    def chosen(self, skip: Sequence[str] = ()) -> Column | None:
+        """The condition of :meth:`people`."""
         chosen: list[Column] = []
         if "age_bands" not in skip and is_partial(self.selection.age_bands, self.options.age_bands):
             chosen.append(F.col("faixa_etaria").isin(*self.selection.age_bands))
@@ -287,7 +322,7 @@ class Survey:
             chosen.append(F.col("sexo").isin(*self.selection.sexes))
         if not chosen:
             return None
-        return self.period_rows("dim_perfil").where(reduce(Column.__and__, chosen))
+        return reduce(Column.__and__, chosen)
 
     # -- sums ------------------------------------------------------------------------------
 
@@ -301,35 +336,70 @@ class Survey:
 
     def sums(
         self,
-        table: str,
+        table: str | Sequence[str],
         sums: Mapping[str, Column],
         by: Sequence[str] = (),
         skip: Sequence[str] = (),
         where: Column | None = None,
-        match: DataFrame | None = None,
+        match: DataFrame | str | None = None,
         match_by: Sequence[str] = (),
         how: str = "inner",
         derive: Mapping[str, Column] | None = None,
-        within: DataFrame | None = None,
+        within: Column | None = None,
         levels: Mapping[str, Sequence] | None = None,
+        match_where: Column | None = None,
     ) -> DataFrame:
         """Sums over a fact, optionally joined with another table on the panel key.
 
-        ``derive`` adds columns to group by.  ``within`` gives the people to restrict the fact to
-        instead of the selection's.  ``levels`` lists the values of further columns to group by
+        ``match`` is the other table or its name; of a named one, the rows of ``match_where``.  Tables
+        that are projections of one frame (:meth:`rows`) are not joined but aggregated together, and
+        sums over several of them are taken in one pass.
+        ``derive`` adds columns to group by.  ``within`` is the condition of the profile rows to restrict
+        the fact to instead of the selection's.  ``levels`` lists the values of further columns to group by
         (see ``joined_sums``), of the rows that ``where`` leaves.
         """
-        df = self._region_rows(self.period_rows(table), skip)
+        unique = set(V.FULL_KEY) <= set(self.keys)
+        chosen = self.chosen(skip) if within is None else within
+        known = {**self.levels(), **(levels or {})}
+        rows = self.rows() if match is None or isinstance(match, str) else None
+        if rows is not None and (match is not None or chosen is not None):
+            # Regions restrict the left side only.
+            left, place = where, map_hierarchy("uf", self.regions)
+            if "regions" not in skip and is_partial(self.selection.regions, self.options.regions):
+                inside = F.col("regiao").isin(*self.selection.regions)
+                left = inside if left is None else left & inside
+            rows = rows.withColumn("regiao", place).withColumns(dict(derive or {}))
+            if match is None:
+                together = self_joined_sums(
+                    rows, sums, self.keys, left, chosen, by, how="left_semi", levels=known,
+                    determined=self._determined(),
+                )
+            else:
+                together = self_joined_sums(
+                    rows, sums, self.keys, left, match_where, by, match_by, how, chosen, known,
+                    self._determined(),
+                )
+            if together is not None:
+                return together
+        if not isinstance(table, str):
+            df = self.rows()
+            if df is None:
+                raise ValueError("tables that are stored apart are summed one by one")
+        else:
+            df = self.period_rows(table)
+        df = self._region_rows(df, skip)
         if derive:
             df = df.withColumns(dict(derive))
         if where is not None:
             df = df.where(where)
-        people = self.people(skip) if within is None else within
+        people = None if chosen is None else self.period_rows("dim_perfil").where(chosen)
+        if isinstance(match, str):
+            match = self.period_rows(match)
+            match = match if match_where is None else match.where(match_where)
         if match is not None:
-            unique = set(V.FULL_KEY) <= set(self.keys)
             return joined_sums(
                 df, match, sums, self.keys, by, match_by, how, within=people, unique=unique,
-                levels={**self.levels(), **(levels or {})}, determined=self._determined(),
+                levels=known, determined=self._determined(),
             )
         if people is not None:
             return joined_sums(
@@ -342,12 +412,11 @@ class Survey:
         by: Sequence[str] = (), skip: Sequence[str] = (), how: str = "inner",
     ) -> DataFrame:
         """Sums by profile attributes, the selection applied to the same profile rows."""
-        people = self.people(skip)
-        profile = self.period_rows("dim_perfil") if people is None else people
+        chosen = self.chosen(skip)
         # Unmatched rows of a left join must not bring back people who were not chosen.
         return self.sums(
-            table, sums, by, ["age_bands", "sexes", *skip], match=profile, match_by=columns,
-            how=how, within=people if how == "left" else None,
+            table, sums, by, ["age_bands", "sexes", *skip], match="dim_perfil", match_where=chosen,
+            match_by=columns, how=how, within=chosen if how == "left" else None,
         )
 
 

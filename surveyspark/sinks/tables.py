@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
+from contextlib import contextmanager
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +15,25 @@ from surveyspark.functions.measures import Weight, as_weight
 from surveyspark.sources.tables import VERSION
 
 
+#: Months that a task writes side by side.
+OPEN_WRITERS = 16
+
+
+@contextmanager
+def unsorted_writes(spark: SparkSession) -> Iterator[None]:
+    """Let tasks keep a file open for each of a few months.
+
+    Spark else sorts the rows of a task by month before it writes them; wide rows then spill.
+    """
+    name = "spark.sql.maxConcurrentOutputFileWriters"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(OPEN_WRITERS))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def write_partitioned(
     df: DataFrame,
     path: str,

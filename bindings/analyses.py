@@ -22,6 +22,7 @@ from bindings.panel import (
     rounded,
     scratch,
     survey,
+    survey_by_year,
 )
 from surveyspark import fixed_values as V
 from surveyspark.operators.filters import Options, Selection
@@ -32,6 +33,7 @@ from surveyspark.functions.measures import Weight
 from surveyspark.operators.recode import recode
 from surveyspark.plans.star import Survey, load_star, publish_star, star_schemas
 from surveyspark.plans.stored_sums import Definition, StoredSums
+from surveyspark.sinks.tables import unsorted_writes
 from surveyspark.sources import microdata as MD
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -500,12 +502,11 @@ def end_to_end(report: Callable[[Survey], DataFrame]) -> Query:
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         base, d = scratch(spark), dictionary()
-        raw_microdata(spark, sf_dir).write.parquet(f"{base}/raw")
-        raw = spark.read.parquet(f"{base}/raw")
-        for y in YEARS:
-            part = raw.where(F.col(V.PERIOD) == y).drop(V.PERIOD)
-            part.write.option("header", True).option("encoding", "ISO-8859-1").csv(f"{base}/files/survey_12{y}.csv")
-        kept, _ = MD.dedupe_period_files(MD.discover_periods(spark, f"{base}/files/*"))
+        # A folder file=survey_12<year>.csv for each year, written in one pass.
+        raw = raw_microdata(spark, sf_dir).withColumn("file", F.concat(F.lit("survey_12"), V.PERIOD, F.lit(".csv")))
+        with unsorted_writes(spark):
+            raw.drop(V.PERIOD).write.partitionBy("file").option("header", True).option("encoding", "ISO-8859-1").csv(f"{base}/files")
+        kept, _ = MD.dedupe_period_files(MD.discover_periods(spark, f"{base}/files/*.csv"))
         publish_star(recode(MD.read_periods(spark, kept), d), d, f"{base}/star", regions=regions())
         s = load_star(spark, f"{base}/star", star_schemas(spark, d), weight=Weight(V.WEIGHT, digits=2), regions=regions())
         assert list(s.keys) == list(V.FULL_KEY)
@@ -605,10 +606,13 @@ def economic_sql() -> str:
 
 
 def added_month(spec: Callable[..., DataFrame], sums: Definition) -> Query:
-    """A KPI table from kept sums, to which the last year was added after the others."""
+    """A KPI table from kept sums, to which the last year was added after the others.
+
+    The lines are joined once and kept by year, so that each year's sums read its rows alone.
+    """
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        s, store = survey(spark, sf_dir), StoredSums(scratch(spark))
+        s, store = survey_by_year(spark, sf_dir), StoredSums(scratch(spark))
         store.refresh(s, sums, YEARS[:-1])
         store.refresh(s, sums, YEARS[-1:])
         return rounded(spec(s, store.read(s, sums)))

@@ -19,7 +19,7 @@ from surveyspark import fixed_values as V
 from surveyspark.functions.measures import Weight
 from surveyspark.operators.filters import Options
 from surveyspark.operators.recode import recode
-from surveyspark.plans.star import Survey, build_star, shared_folder, wide_row_codegen
+from surveyspark.plans.star import Survey, build_star, shared_folder
 from surveyspark.sinks.tables import unsorted_writes, write_partitioned
 from surveyspark.sources.dictionary import Dictionary, Variable
 
@@ -159,16 +159,25 @@ def scratch(spark: SparkSession) -> str:
     return f"{base}/{uuid.uuid4().hex}"
 
 
-def raw_microdata(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Coded microdata, every column text."""
+def answered_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the answers are coded from: order lines with their orders and customers."""
     lines = table(spark, sf_dir, "lineitem")
     orders = table(spark, sf_dir, "orders")
     customers = table(spark, sf_dir, "customer")
     # The many lines are exchanged once, by order; only orders meet the customers.
     known = orders.join(customers, orders.o_custkey == customers.c_custkey)
-    df = lines.join(known, lines.l_orderkey == known.o_orderkey)
+    return lines.join(known, lines.l_orderkey == known.o_orderkey)
+
+
+def raw_microdata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Coded microdata, every column text."""
+    return coded(answered_lines(spark, sf_dir))
+
+
+def coded(df: DataFrame) -> DataFrame:
+    """The answers of such lines; a year that they have already is kept."""
     for layer in LAYERS:
-        df = df.selectExpr("*", *[f"{e} AS {name}" for name, e in layer.items()])
+        df = df.selectExpr("*", *[f"{e} AS {name}" for name, e in layer.items() if name not in df.columns])
     codes = [code for code, *_ in QUESTIONNAIRE]
     return df.select(*[F.col(c).cast("string").alias(c) for c in codes], V.PERIOD)
 
@@ -194,12 +203,20 @@ def survey(spark: SparkSession, sf_dir: str) -> Survey:
     return opened[sf_dir]
 
 
-def decoded_survey(spark: SparkSession, sf_dir: str) -> Survey:
-    """The same star over the decoded panel, written once by year: months are read without the others."""
-    folder, labelled = f"{scratch(spark)}/decoded", recode(raw_microdata(spark, sf_dir), dictionary())
-    with wide_row_codegen(spark), unsorted_writes(spark):
-        write_partitioned(labelled, folder)
-    return _survey_of(spark.read.schema(labelled.schema).parquet(folder))
+#: Columns that the answers are coded from.
+SOURCES = (
+    "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount",
+    "l_tax", "l_returnflag", "l_linestatus", "o_custkey", "o_orderdate", "c_nationkey",
+)
+
+
+def survey_by_year(spark: SparkSession, sf_dir: str) -> Survey:
+    """The same star over lines that are joined and written once, by year: a year is read without the others."""
+    folder = f"{scratch(spark)}/lines"
+    lines = answered_lines(spark, sf_dir).selectExpr(*SOURCES, f"{LAYERS[1][V.PERIOD]} AS {V.PERIOD}")
+    with unsorted_writes(spark):
+        write_partitioned(lines, folder)
+    return _survey_of(recode(coded(spark.read.schema(lines.schema).parquet(folder)), dictionary()))
 
 
 def _survey_of(labelled: DataFrame) -> Survey:

@@ -2,6 +2,7 @@
 
 import pytest
 
+from bindings import analyses as bound
 from bindings import panel
 from surveyspark import fixed_values as V
 from surveyspark.functions.measures import Weight, flag_rate
@@ -192,3 +193,19 @@ def test_regions_are_chosen_before_hot_keys_are_counted(spark, star, monkeypatch
     )
     states = {r["uf"] for r in seen[0].select("uf").distinct().collect()}
     assert states <= set(panel.regions()["ASIA"])
+
+
+def test_lines_kept_by_year_are_read_by_year(spark):
+    s = panel.survey_by_year(spark, SF).where(months=["1998"])
+    plan = physical(s.period_rows("base_saude"))
+    assert "Join" not in plan and "PartitionFilters: [isnotnull(MES_REF" in plan and "1998" in plan
+    assert s.period_rows("base_saude").count() == panel.survey(spark, SF).where(months=["1998"]).period_rows("base_saude").count() > 0
+
+
+def test_years_are_written_in_one_pass(spark, tmp_path, monkeypatch):
+    """No copy of the raw lines that is read once for each year, and no sort of wide rows by year."""
+    monkeypatch.setattr(bound, "scratch", lambda _: str(tmp_path))
+    assert bound.QUESTIONS["end_to_end_symptom_rate_by_region"][0](spark, SF).count() > 0
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["files", "star"]
+    folders = {p.name for p in (tmp_path / "files").iterdir() if p.is_dir()}
+    assert len(folders) > 1 and folders <= {f"file=survey_12{y}.csv" for y in panel.YEARS}

@@ -23,9 +23,11 @@ left, longest first, into the sequence with the least room that is enough.
 Defined cases: a null or empty text is one piece, the separator; texts without a token too; rows with
 equal ids, and null ids, are documents of their own; an empty table gives an empty result; other columns
 are ignored. A text is tokenised between ASCII white space, which the tokenizer drops and never joins
-over, and words are remembered from one text to the next; a tokenizer that splits otherwise
-(`splits_alike`) gets whole texts. Texts are read in parts of CHUNK bytes, so that
-a very long one holds no more than its ids.
+over; Arrow tells the different words of many texts, which alone are looked up, and words are remembered
+from one call to the next. A word of letters of Latin-1 and ASCII marks goes to the tokenizer's model run by
+run, as its normalizer and splitter would leave it; other words pass them. A tokenizer that splits otherwise
+(`splits_alike`) gets whole texts, one with other steps (`plain_steps`) all words whole. Texts are read in
+parts of CHUNK bytes, so that a very long one holds no more than its ids.
 """
 
 from __future__ import annotations
@@ -33,11 +35,12 @@ from __future__ import annotations
 import bisect
 import json
 import re
-from collections.abc import Iterable, Iterator, Mapping
+from collections.abc import Callable, Iterable, Iterator, Mapping
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -45,12 +48,16 @@ from surveyspark.llm.common import OWN, load, stored
 
 LIMIT = 2048
 SEPARATOR = 0
-#: Bytes of a text that are cut into words at once.
-CHUNK = 1 << 20
+#: Bytes of texts that are cut into words at once.
+CHUNK = 1 << 23
+#: Bytes of ids that are handed on at once, about.
+HANDED = 1 << 24
 #: Words whose ids a worker remembers, in each of two generations.
 REMEMBERED = 600_000
 #: Words that are encoded in one call.
 AT_ONCE = 20_000
+#: Their length, about.
+BYTES_AT_ONCE = 1 << 19
 #: Limits are below this, so that the plan stays small.
 MOST = 1 << 15
 #: Pieces that are numbered in one task, about.
@@ -58,7 +65,17 @@ BLOCK_ROWS = 100_000
 
 #: End of the splitting pattern of tokenizers whose words can be told apart beforehand (a fixed value of the public file).
 SPLIT = r"|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: What stands before it where a word may be split into runs: contractions, which need an apostrophe.
+CONTRACTIONS = "'s|'t|'re|'ve|'m|'ll|'d"
 _GAP = re.compile(rb"[\t-\r ]")
+#: ASCII but "'" and "<", which contractions and special tokens need, and letters of Latin-1, which are composed already.
+_PLAIN = "^[!-&(-;=-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]*$"
+#: The parts of such words, in lower case and a line each, and the ends of lines.
+_RUNS = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|\n|[^a-z0-9\u00df-\u00f6\u00f8-\u00ff\n]+")
+#: The characters that byte-level tokenizers take for bytes; a line's end stays.
+_AS_BYTES = np.arange(256, dtype="<u2")
+_AS_BYTES[[*range(0x21), *range(0x7F, 0xA1), 0xAD]] = np.arange(0x100, 0x100 + 68)
+_AS_BYTES[10] = 10
 LENGTH, NUMBER, DEAL = f"{OWN}length", f"{OWN}number", f"{OWN}deal"
 
 
@@ -74,6 +91,20 @@ def splits_alike(path: str) -> bool:
     return steps == ["NFC", "Replace", "Lowercase"] and splits[0].get("pattern", {}).get("Regex", "").endswith(SPLIT)
 
 
+def plain_steps(path: str) -> bool:
+    """Whether the tokenizer does nothing else to a plain word than to lower its case, split it into runs and map their bytes."""
+    with open(path, encoding="utf-8") as file:
+        kind = json.load(file)
+    normal, splits, model = kind.get("normalizer") or {}, (kind.get("pre_tokenizer") or {}).get("pretokenizers", []), kind.get("model") or {}
+    return (
+        normal.get("normalizers") == [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+        and splits[:1] == [{"type": "Split", "pattern": {"Regex": CONTRACTIONS + SPLIT}, "behavior": "Removed", "invert": True}]
+        and [(s.get("type"), s.get("add_prefix_space"), s.get("use_regex")) for s in splits[1:]] == [("ByteLevel", False, False)]
+        and model.get("type") == "BPE" and not model.get("dropout")
+        and all("<" in t["content"] and not t["normalized"] for t in kind.get("added_tokens", []))
+    )
+
+
 def plain_form(word: bytes) -> tuple[bytes, bytes]:
     """(word, mark after it) that have the same ids together: no full stop or comma after a letter or digit, ASCII in lower case."""
     mark = word[-1:] if word[-1:] in b".," and word[-2:-1].isalnum() else b""
@@ -91,8 +122,10 @@ class Words:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.alike = splits_alike(path)
-        self.young: dict[bytes, bytes] = {}
-        self.old: dict[bytes, bytes] = {}
+        self.model = self.tokenizer.model if self.alike and plain_steps(path) else None
+        #: Ids by run of a plain word (str) and by other word (bytes).
+        self.young: dict[str | bytes, bytes] = {}
+        self.old: dict[str | bytes, bytes] = {}
 
     def of(self, texts: list[bytes]) -> Iterator[bytes]:
         """The ids of each text; texts are taken together up to CHUNK bytes, and cut at white space beyond."""
@@ -120,31 +153,73 @@ class Words:
             at = end
 
     def _short(self, texts: list[bytes]) -> Iterator[bytes]:
-        """The ids of texts whose words are held at once; each word is looked up once, and what is not known is learnt."""
+        """The ids of texts whose words are held at once; each different word is looked up once, and what is not known is learnt."""
+        if not texts:
+            return
         if len(self.young) > REMEMBERED:
             self.old, self.young = self.young, {}
-        young = self.young
-        split = [t.split() for t in texts]
-        found = [list(map(young.get, words)) for words in split]
-        self._learn({w for words, ids in zip(split, found, strict=True) if None in ids for w, i in zip(words, ids, strict=True) if i is None})
-        for words, ids in zip(split, found, strict=True):
-            yield b"".join([young[w] if i is None else i for w, i in zip(words, ids, strict=True)])
-
-    def _learn(self, words: set[bytes]) -> None:
+        split = pc.ascii_split_whitespace(pa.array(texts, pa.binary()).view(pa.string()))
+        told = split.values.dictionary_encode()
+        words, at = told.dictionary, told.indices.to_numpy()
+        if self.model is None:
+            found = self._others(words)
+        else:
+            plain = pc.match_substring_regex(words, _PLAIN)
+            found = pa.concat_arrays([self._plain(words.filter(plain)), self._others(words.filter(pc.invert(plain)))])
+            is_plain = plain.to_numpy(zero_copy_only=False)
+            at = np.where(is_plain, np.cumsum(is_plain), is_plain.sum() + np.cumsum(~is_plain))[at] - 1
+        _, ends, data = found.take(pa.array(at)).buffers()
+        cuts = np.frombuffer(ends, np.int64)[split.offsets.to_numpy()].tolist()
+        data = memoryview(data or b"")
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            yield bytes(data[a:b])
+
+    def _plain(self, words: pa.Array) -> pa.Array:
+        """The ids of plain words, run by run."""
+        if not len(words):
+            return pa.array([], pa.large_binary())
+        lines = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words), "\n")[0].as_py()
+        runs = _RUNS.findall(lines.lower() + "\n")
+        self._learn(set(runs) - {"\n"}, self.modelled)
+        self.young["\n"] = b""
+        ids = list(map(self.young.__getitem__, runs))
+        last = np.flatnonzero(np.fromiter((run == "\n" for run in runs), bool, len(runs)))
+        ends = np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)))[last]
+        return pa.Array.from_buffers(pa.large_binary(), len(words), [None, pa.py_buffer(np.append(0, ends)), pa.py_buffer(b"".join(ids))])
+
+    def _others(self, words: pa.Array) -> pa.Array:
+        """The ids of words, each as a whole but for a mark after it."""
+        forms = [plain_form(w) for w in words.view(pa.binary()).to_pylist()]
+        self._learn({part for both in forms for part in both}, self.encoded)
+        return pa.array([self.young[form] + self.young[mark] for form, mark in forms], pa.large_binary())
+
+    def _learn(self, needed: set, ids_of: Callable[[list], list[bytes]]) -> None:
         young, old = self.young, self.old
-        young.update((w, old[w]) for w in words if w in old)
-        forms = {w: plain_form(w) for w in words if w not in old}
-        needed = {part for both in forms.values() for part in both if part not in young}
-        young.update((w, old[w]) for w in needed if w in old)
-        unknown = [w for w in needed if w not in young]
-        for k in range(0, len(unknown), AT_ONCE):
-            some = unknown[k : k + AT_ONCE]
-            young.update(zip(some, self.encoded([w.decode("utf-8") for w in some]), strict=True))
-        young.update((w, young[form] + young[mark]) for w, (form, mark) in forms.items())
-
-    def encoded(self, words: list[str]) -> list[bytes]:
+        needed = [part for part in needed if part not in young]
+        young.update((part, old[part]) for part in needed if part in old)
+        unknown = [part for part in needed if part not in young] if old else needed
+        # Long words take a call of their own, as a call holds much for each of its tokens.
+        at, size = 0, 0
+        for k, part in enumerate(unknown):
+            size += len(part)
+            if k + 1 == len(unknown) or k + 1 - at == AT_ONCE or size > BYTES_AT_ONCE:
+                some = unknown[at : k + 1]
+                young.update(zip(some, ids_of(some), strict=True))
+                at, size = k + 1, 0
+
+    def modelled(self, runs: list[str]) -> list[bytes]:
+        """The ids of runs of plain words: what the model makes of their bytes."""
+        tokenize, ids, cuts = self.model.tokenize, [], [0]
+        data = np.frombuffer("\n".join(runs).encode(), np.uint8)
+        for run in _AS_BYTES[data].tobytes().decode("utf-16-le").split("\n"):
+            ids += [t.id for t in tokenize(run)]
+            cuts.append(4 * len(ids))
+        flat = np.array(ids, "<u4").tobytes()
+        return [flat[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+
+    def encoded(self, words: list[bytes]) -> list[bytes]:
         """The ids of words: all in one call, cut where the tokenizer says that a word ends."""
-        found = self.tokenizer.encode(words, is_pretokenized=True, add_special_tokens=False)
+        found = self.tokenizer.encode([w.decode("utf-8") for w in words], is_pretokenized=True, add_special_tokens=False)
         ids = np.array(found.ids, "<u4").tobytes()
         cuts = (4 * np.searchsorted(np.array(found.word_ids, np.int64), np.arange(len(words) + 1))).tolist()
         return [ids[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
@@ -161,17 +236,19 @@ def _pieces(path: str, limit: int):
         words = words_of(path)
         size, end = 4 * limit, np.array([SEPARATOR], "<u4").tobytes()
         for batch in batches:
-            texts = batch.column(1).cast(pa.binary()).to_pylist()
-            for a in range(0, len(texts), 256):
-                rows, piece, cut = [], [], []
-                for k, ids in enumerate(words.of([t or b"" for t in texts[a : a + 256]]), a):
-                    ids += end
-                    for p in range(-(-len(ids) // size)):
-                        rows.append(k)
-                        piece.append(p)
-                        cut.append(ids[p * size : (p + 1) * size])
-                number = pa.array(piece, pa.int32())
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), number, pa.array([p * limit for p in piece], pa.int64()), pa.array([len(c) // 4 for c in cut], pa.int64()), pa.array(cut, pa.binary())], names=["doc_id", "piece", "start", "length", "ids"])
+            rows, piece, cut, held = [], [], [], 0
+            texts = batch.column(1).cast(pa.binary()).fill_null(b"").to_pylist()
+            for k, ids in enumerate(words.of(texts)):
+                ids += end
+                for p in range(-(-len(ids) // size)):
+                    rows.append(k)
+                    piece.append(p)
+                    cut.append(ids[p * size : (p + 1) * size])
+                held += len(ids)
+                if held > HANDED or k == len(texts) - 1:
+                    number = pa.array(piece, pa.int32())
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), number, pa.array([p * limit for p in piece], pa.int64()), pa.array([len(c) // 4 for c in cut], pa.int64()), pa.array(cut, pa.binary())], names=["doc_id", "piece", "start", "length", "ids"])
+                    rows, piece, cut, held = [], [], [], 0
 
     return run
 

@@ -57,6 +57,59 @@ def test_words_apart_are_tokens_of_the_whole_text():
     assert [np.frombuffer(i, "<u4").tolist() + [0] for i in found] == [whole(t) for t in texts]
 
 
+def latin(deal, n):
+    """Texts of what plain words are made of, and of what is next to it."""
+    marks = [chr(c) for c in (*range(0x21, 0x7F), *range(0xBF, 0x100), 0xA0, 0xAA, 0xAD, 0xB2, 0xB5, 0x301, 0x17F, 0x130)]
+    return ["".join(deal.choices([*marks, "a", "B", "É", "ß", " ", " ", "\n", "the", "'s", "<|endoftext|>"], k=deal.randint(0, 60))) for _ in range(n)]
+
+
+@pytest.mark.parametrize("other", [None, "CONTRACTIONS"])
+def test_plain_words_have_the_ids_of_the_whole_text(monkeypatch, other):
+    if other:
+        monkeypatch.setattr(packing, other, "other")
+    texts = [*latin(random.Random(17), 1500), *map(chr, range(0x21, 0x250)), *(f"a{chr(c)}B1" for c in range(0x21, 0x250)), "\n a", "a \n", " "]
+    words = packing.Words(packing.default_tokenizer())
+    assert (words.model is None) == bool(other)
+    assert [np.frombuffer(i, "<u4").tolist() + [0] for i in words.of([t.encode() for t in texts])] == [whole(t) for t in texts]
+
+
+def test_plain_words_pass_the_model_only_and_once(monkeypatch):
+    words = packing.Words(packing.default_tokenizer())
+    seen, encoded, tokenize = [], words.encoded, words.modelled
+    monkeypatch.setattr(words, "encoded", lambda some: pytest.fail(f"{some} passed all steps") if any(some) else encoded(some))
+    monkeypatch.setattr(words, "modelled", lambda runs: (seen.extend(runs), tokenize(runs))[1])
+    texts = ["The größte, the GRÖSSTE!! x1", "größte (the) Éa&&&", "the,the"]
+    for _ in range(2):
+        assert [np.frombuffer(i, "<u4").tolist() + [0] for i in words.of([t.encode() for t in texts])] == [whole(t) for t in texts]
+    assert sorted(seen) == sorted({"the", "größte", ",", "grösste", "!!", "x", "1", "(", ")", "éa", "&&&"})
+
+
+def test_a_call_takes_few_bytes(monkeypatch):
+    monkeypatch.setattr(packing, "BYTES_AT_ONCE", 50)
+    words = packing.Words(packing.default_tokenizer())
+    sizes = []
+    for name in ("encoded", "modelled"):
+        monkeypatch.setattr(words, name, lambda some, ids_of=getattr(words, name): (sizes.append(sum(map(len, some[:-1]))), ids_of(some))[1])
+    texts = ["".join(random.Random(k).choices("日本語の文章", k=40)) + " " + "".join(random.Random(k).choices("abcdef", k=40)) for k in range(30)]
+    assert [np.frombuffer(i, "<u4").tolist() + [0] for i in words.of([t.encode() for t in texts])] == [whole(t) for t in texts]
+    assert len(sizes) > 30 and max(sizes) <= 50
+
+
+def test_ids_are_handed_on_by_size(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(packing, "HANDED", 100)
+    texts = ["one two " * k for k in (0, 1, 30, 2, 0, 7)] + [None]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(7)), pa.array(texts, pa.string())], names=["doc_id", "text"])
+    batches = list(packing._pieces(packing.default_tokenizer(), 8)(iter([batch, batch.slice(0, 0)])))
+    rows = [r for b in batches for r in b.to_pylist()]
+    assert len(batches) == 2 and max(r["length"] for r in rows) == 8
+    for k, text in enumerate(texts):
+        own = [r for r in rows if r["doc_id"] == k]
+        assert [r["piece"] for r in own] == list(range(len(own)))
+        assert np.frombuffer(b"".join(r["ids"] for r in own), "<u4").tolist() == whole(text)
+
+
 def test_long_texts_are_read_in_parts_and_old_words_forgotten(monkeypatch):
     monkeypatch.setattr(packing, "CHUNK", 64)
     monkeypatch.setattr(packing, "REMEMBERED", 20)

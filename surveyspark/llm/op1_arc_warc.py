@@ -12,7 +12,8 @@ revisits, which keep the HTTP head only.
 Files are written and read by Spark (text and binaryFile sources), one whole-gzip file for each task,
 by Spark's commit protocol, so that they work on any store and survive lost executors. A file is read
 by one task, so its size is bounded by that of its partition when written. Payloads move between tasks
-once at most; which record is the first of its payload is settled on digests.
+once at most, in their ARC files as they are; which record is the first of its payload is settled on
+digests, and each file meets the list of its revisits.
 
 Defined cases: null html is an empty payload; a null or empty URL is "about:blank", blanks in URLs are
 escaped; keys are the source's ids, null allowed: a record without key is a response unless a keyed one
@@ -27,18 +28,20 @@ import hashlib
 import re
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from datetime import UTC, datetime, timedelta
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from surveyspark.llm.common import load, new_path, shared_dir
+from surveyspark.llm.common import load, new_path, shared_dir, stored
 
 FIELDS = {1: "URL IP-address Archive-date Content-type Archive-length", 2: "URL IP-address Archive-date Content-type Result-code Checksum Location Offset Filename Archive-length"}
 #: Records with payloads of fewer bytes are never revisits.
 LEAST_REVISIT = 0
+#: Bytes of rows that are handed on at once, about.
+HANDED = 1 << 22
 RECORD = "key string, url string, ip string, date string, mime string, version int, block binary"
 _SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
 
@@ -148,41 +151,63 @@ def write_pieces(pieces: DataFrame, path: str, end: str) -> None:
 
 
 def _files(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")
+    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content")
 
 
-def write_arc(records: DataFrame, path: str) -> None:
-    """(url, ip, date, mime, block) as ARC files; every other file is of version 2."""
+def _handed(pieces: Iterable[bytes]) -> Iterator[pa.RecordBatch]:
+    """Pieces in batches of HANDED bytes, about."""
+    held, size = [], 0
+    for piece in pieces:
+        held.append(piece)
+        size += len(piece)
+        if size > HANDED:
+            yield pa.RecordBatch.from_arrays([pa.array(held, pa.binary())], names=["piece"])
+            held, size = [], 0
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(held, pa.binary())], names=["piece"])
+
+
+def _rows(batch: pa.RecordBatch) -> Iterator[tuple]:
+    return zip(*[c.to_pylist() for c in batch.columns], strict=True)
+
+
+def write_arc(records: DataFrame, path: str, rows_of: Callable[[pa.RecordBatch], Iterator[tuple]] = _rows) -> None:
+    """Columns url, ip, date, mime, block, or what `rows_of` makes of other columns, as ARC files; every other file is of version 2."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
-        rows = (r for b in batches for r in zip(*[c.to_pylist() for c in b.columns], strict=True))
-        for piece in arc_file(1 + part % 2, rows, f"part-{part:05d}.arc"):
-            yield pa.RecordBatch.from_arrays([pa.array([piece], pa.binary())], names=["piece"])
+        yield from _handed(arc_file(1 + part % 2, (r for b in batches for r in rows_of(b)), f"part-{part:05d}.arc"))
 
-    write_pieces(records.select("url", "ip", "date", "mime", "block").mapInArrow(run, "piece binary"), path, "\n")
+    records = records.select("url", "ip", "date", "mime", "block") if rows_of is _rows else records
+    write_pieces(records.mapInArrow(run, "piece binary"), path, "\n")
+
+
+def _arc_rows(content: bytes) -> Iterator[tuple]:
+    """RECORD of the records of an ARC file; key: what the HTTP head carries as X-Source-Key."""
+    for version, url, ip, date, mime, block in parse_arc(inflated(content)):
+        key = re.search(rb"\r\nX-Source-Key: ([^\r]*)", split_http(block)[0])
+        yield key and key[1].decode(), url, ip, date, mime, version, block
 
 
 def read_arc(spark: SparkSession, path: str) -> DataFrame:
-    """key, url, ip, date, mime, version, block of the records of ARC files; key: what the HTTP head carries as X-Source-Key."""
+    """key, url, ip, date, mime, version, block of the records of ARC files."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for content in batch.column(0):
                 rows, size = [], 0
-                for version, url, ip, date, mime, block in parse_arc(inflated(content.as_py())):
-                    key = re.search(rb"\r\nX-Source-Key: ([^\r]*)", split_http(block)[0])
-                    rows.append((key and key[1].decode(), url, ip, date, mime, version, block))
-                    size += len(block)
-                    if size > 1 << 22:
+                for row in _arc_rows(content.as_py()):
+                    rows.append(row)
+                    size += len(row[-1])
+                    if size > HANDED:
                         yield _batch(rows)
                         rows, size = [], 0
                 if rows:
                     yield _batch(rows)
 
-    return _files(spark, path).mapInArrow(run, RECORD)
+    return _files(spark, path).select("content").mapInArrow(run, RECORD)
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -190,57 +215,70 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["key", "url", "ip", "date", "mime", "version", "block"])
 
 
-def digested(records: DataFrame) -> DataFrame:
-    """`records` with digest and payload_bytes of the payload."""
+def digests(spark: SparkSession, source: str) -> DataFrame:
+    """path, at (place in the file), key, url, date, digest and payload_bytes of all records of ARC files."""
+    names, kinds = ["path", "at", "key", "url", "date", "digest", "payload_bytes"], [pa.string(), pa.int64(), *[pa.string()] * 4, pa.int64()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = batch.schema.get_field_index("block")
-            payloads = [split_http(b)[1] for b in batch.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([digest(p) for p in payloads], pa.string()), pa.array([len(p) for p in payloads], pa.int64())], names=[*batch.schema.names, "digest", "payload_bytes"])
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                columns: list[list] = [[] for _ in names]
+                for at, (key, url, _, date, _, _, block) in enumerate(_arc_rows(content.as_py())):
+                    payload = split_http(block)[1]
+                    for column, value in zip(columns, (path, at, key, url, date, digest(payload), len(payload)), strict=True):
+                        column.append(value)
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
-    return records.mapInArrow(run, f"{RECORD}, digest string, payload_bytes long")
+    return _files(spark, source).mapInArrow(run, "path string, at long, key string, url string, date string, digest string, payload_bytes long")
 
 
-def _warc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(records with digests, first_key, first_url, first_date of the response if the record is a revisit) -> pieces."""
+def _warc_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[bytes]:
     first = True
     for batch in batches:
-        pieces = []
-        if first:
-            first = False
-            pieces.append(warc_record({"WARC-Type": "warcinfo", "WARC-Record-ID": record_id("warcinfo", "", None, ""), "WARC-Date": iso("19960101"), "Content-Type": "application/warc-fields"}, b"software: ARC converter\r\nformat: WARC File Format 1.0\r\n"))
-        for r in batch.to_pylist():
-            head, _ = split_http(r["block"])
-            revisit = r["first"] is not None
-            block = head if revisit else r["block"]
-            headers = {
-                "WARC-Type": "revisit" if revisit else "response" if head else "resource",
-                "WARC-Record-ID": record_id(r["url"], r["date"], r["key"], r["digest"]), "WARC-Date": iso(r["date"]), "WARC-Target-URI": r["url"], "WARC-IP-Address": r["ip"],
-                "WARC-Payload-Digest": f"sha1:{r['digest']}", "WARC-Block-Digest": f"sha1:{digest(block)}",
-                "Content-Type": "application/http; msgtype=response" if head else r["mime"],
-                "WARC-Profile": "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest" if revisit else None,
-                "WARC-Refers-To": record_id(r["first"]["url"], r["first"]["date"], r["first"]["key"], r["digest"]) if revisit else None,
-                "WARC-Truncated": None, "X-Source-Key": r["key"], "X-Refers-To-Key": r["first"]["key"] if revisit else None, "X-Payload-Length": str(r["payload_bytes"]),
-            }
-            pieces.append(warc_record(headers, block))
-        yield pa.RecordBatch.from_arrays([pa.array(pieces, pa.binary())], names=["piece"])
+        for content, revisits in zip(*map(batch.column, ("content", "revisits")), strict=True):
+            if first:
+                first = False
+                yield warc_record({"WARC-Type": "warcinfo", "WARC-Record-ID": record_id("warcinfo", "", None, ""), "WARC-Date": iso("19960101"), "Content-Type": "application/warc-fields"}, b"software: ARC converter\r\nformat: WARC File Format 1.0\r\n")
+            of = {r["at"]: r["first"] for r in revisits.as_py() or ()}
+            for at, (key, url, ip, date, mime, _, block) in enumerate(_arc_rows(content.as_py())):
+                head, payload = split_http(block)
+                sha, origin = digest(payload), of.get(at)
+                if origin:
+                    block = head
+                headers = {
+                    "WARC-Type": "revisit" if origin else "response" if head else "resource",
+                    "WARC-Record-ID": record_id(url, date, key, sha), "WARC-Date": iso(date), "WARC-Target-URI": url, "WARC-IP-Address": ip,
+                    "WARC-Payload-Digest": f"sha1:{sha}", "WARC-Block-Digest": f"sha1:{digest(block)}",
+                    "Content-Type": "application/http; msgtype=response" if head else mime,
+                    "WARC-Profile": "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest" if origin else None,
+                    "WARC-Refers-To": record_id(origin["url"], origin["date"], origin["key"], sha) if origin else None,
+                    "WARC-Truncated": None, "X-Source-Key": key, "X-Refers-To-Key": origin["key"] if origin else None, "X-Payload-Length": str(len(payload)),
+                }
+                yield warc_record(headers, block)
+
+
+def _warc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(content of ARC files, revisits: place in the file, and key, url and date of the response) -> pieces."""
+    return _handed(_warc_pieces(batches))
 
 
 def arc_to_warc(spark: SparkSession, source: str, path: str, least_revisit: int = LEAST_REVISIT) -> None:
     """Convert the ARC files under `source` to WARC files under `path`.
 
     Keys are compared as numbers where they are numbers. The files are parsed twice, first for the
-    digests of all and then to join each record with the first of its payload, if there are several.
+    digests of all, which are stored, and then, each with the list of its records that have become
+    revisits, to be written anew.
     """
-    records = digested(read_arc(spark, source))
+    records = stored(digests(spark, source), "digests")
     order = F.struct(F.col("key").cast("decimal(38,0)").isNull(), F.col("key").cast("decimal(38,0)"), "key")
-    known = records.where(F.col("key").isNotNull() & (F.col("payload_bytes") >= least_revisit)).select("key", "url", "date", "digest")
-    first = known.groupBy("digest").agg(F.min_by(F.struct("key", "url", "date"), order).alias("first"), F.count(F.lit(1)).alias("n"))
+    large = records.where(F.col("payload_bytes") >= least_revisit)
+    first = large.where("key is not null").groupBy("digest").agg(F.min_by(F.struct("key", "url", "date"), order).alias("first"), F.count(F.lit(1)).alias("n"))
     keyless = records.where("key is null").select(F.col("digest").alias("d")).distinct()
     first = first.join(keyless, F.col("digest") == F.col("d"), "left").where("n > 1 or d is not null").select(F.col("digest").alias("of"), "first")
-    both = records.join(first, (F.col("digest") == F.col("of")) & (F.col("payload_bytes") >= least_revisit), "left")
-    both = both.withColumn("first", F.when(~F.col("first.key").eqNullSafe(F.col("key")), F.col("first"))).drop("of")
+    revisits = large.join(first, F.col("digest") == F.col("of")).where(~F.col("first.key").eqNullSafe(F.col("key")))
+    revisits = revisits.groupBy(F.col("path").alias("p")).agg(F.collect_list(F.struct("at", "first")).alias("revisits"))
+    files = _files(spark, source)
+    both = files.join(revisits, F.col("path") == F.col("p"), "left").select("content", "revisits")
     write_pieces(both.mapInArrow(_warc, "piece binary"), path, "\r\n\r\n")
 
 
@@ -254,13 +292,13 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
                 for headers, block in parse_warc(inflated(content.as_py())):
                     rows.append((list(headers.items()), block))
                     size += len(block)
-                    if size > 1 << 22:
+                    if size > HANDED:
                         yield _parsed(rows)
                         rows, size = [], 0
                 if rows:
                     yield _parsed(rows)
 
-    return _files(spark, path).mapInArrow(run, "headers map<string,string>, block binary")
+    return _files(spark, path).select("content").mapInArrow(run, "headers map<string,string>, block binary")
 
 
 def _parsed(rows: list[tuple]) -> pa.RecordBatch:
@@ -271,18 +309,15 @@ def _parsed(rows: list[tuple]) -> pa.RecordBatch:
 def pages_as_arc(pages: DataFrame, path: str) -> None:
     """`pages` (page_id, url, html) as ARC files of HTTP exchanges; the page's id is in the head and gives the date."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for key, url, html in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                body = (html or "").encode("utf-8", "surrogatepass")
-                head = ["HTTP/1.1 200 OK", "Content-Type: text/html; charset=utf-8", f"Content-Length: {len(body)}"] + ([] if key is None else [f"X-Source-Key: {key}"])
-                date = datetime(1996, 1, 1, tzinfo=UTC) + timedelta(seconds=abs(key or 0) % 10**9)
-                rows.append((None if key is None else str(key), url or "about:blank", "0.0.0.0", date.strftime("%Y%m%d%H%M%S"), "text/html", 0, "\r\n".join([*head, "", ""]).encode() + body))
-            if rows:
-                yield _batch(rows)
-
-    write_arc(pages.select(F.col("page_id").cast("long"), "url", "html").mapInArrow(run, RECORD), path)
+    write_arc(pages.select(F.col("page_id").cast("long"), "url", F.col("html").cast("binary")), path, _exchanges)
+
+
+def _exchanges(batch: pa.RecordBatch) -> Iterator[tuple]:
+    for key, url, body in _rows(batch):
+        body = body or b""
+        head = ["HTTP/1.1 200 OK", "Content-Type: text/html; charset=utf-8", f"Content-Length: {len(body)}"] + ([] if key is None else [f"X-Source-Key: {key}"])
+        date = datetime(1996, 1, 1, tzinfo=UTC) + timedelta(seconds=abs(key or 0) % 10**9)
+        yield url or "about:blank", "0.0.0.0", date.strftime("%Y%m%d%H%M%S"), "text/html", "\r\n".join([*head, "", ""]).encode() + body
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

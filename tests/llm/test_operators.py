@@ -70,6 +70,26 @@ def test_arc_to_warc_on_odd_pages(spark, monkeypatch):
     assert arc.query(spark, "").count() == 0
 
 
+def test_blocks_cross_to_python_and_back_once_and_are_not_dealt_out(spark, monkeypatch):
+    plans, write = [], arc.write_pieces
+    monkeypatch.setattr(arc, "write_pieces", lambda df, *a: (plans.append(df._jdf.queryExecution().toString()), write(df, *a))[1])
+    pages = [(k, f"http://h/{k}", f"page {k % 7}" * 50) for k in range(60)] + [(None, "n", "page 3" * 50)]
+    frame = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(5)
+    monkeypatch.setattr(arc, "load", lambda *_: frame)
+    found = {r.page_id: (r.record_type, r.refers_to, r.payload_digest) for r in arc.query(spark, "").collect()}
+    want = {k: ("revisit" if k is None or k > 6 else "response", 3 if k is None else k % 7 if k > 6 else None, arc.digest(t.encode())) for k, _, t in pages}
+    assert found == want
+    physical = [p.split("== Physical Plan ==")[1] for p in plans]
+    assert [p.count("MapInArrow") for p in physical] == [1, 1] and "block" not in "".join(physical)
+
+
+def test_pieces_are_handed_on_by_size(monkeypatch):
+    monkeypatch.setattr(arc, "HANDED", 10)
+    pieces = [b"abcd"] * 7 + [b"", b"x" * 30]
+    batches = [b.column(0).to_pylist() for b in arc._handed(pieces)]
+    assert [len(b) for b in batches] == [3, 3, 3] and [p for b in batches for p in b] == pieces and not list(arc._handed([]))
+
+
 # --- 2 -----------------------------------------------------------------------------------------------
 
 

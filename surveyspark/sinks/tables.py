@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import json
+import os
 from collections.abc import Iterator, Mapping, Sequence
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -186,11 +187,25 @@ def switch_manifest(
     out.write(bytearray(json.dumps(tables, indent=1).encode()))
     out.close()
     final = spark._jvm.org.apache.hadoop.fs.Path(f"{base}/{MANIFESTS}/{number}.json")
-    if fs.exists(final) or not fs.rename(aside, final):
-        raise FileExistsError(f"manifest {number} of {base} was written by another publication")
+    try:
+        if fs.exists(final) or not _renamed(fs, aside, final):
+            raise FileExistsError(f"manifest {number} of {base} was written by another publication")
+    finally:
+        fs.delete(aside, False)
     return number
 
 
+def _renamed(fs, aside, final) -> bool:
+    """Give a file a name that must be free.  A rename on a local disk would replace what has the name, a link fails."""
+    real = fs.resolvePath(aside).toUri()
+    if real.getScheme() != "file":
+        return fs.rename(aside, final)
+    with suppress(FileExistsError):
+        os.link(real.getPath(), os.path.join(os.path.dirname(real.getPath()), final.getName()))
+        return True
+    return False
+
+
 def drop_old_versions(spark: SparkSession, base: str, keep: int = 1) -> list[str]:
     """Delete the version folders that none of the newest ``keep`` manifests names, and older manifests; for when no reader has them open."""
     numbers = _manifest_numbers(spark, base)

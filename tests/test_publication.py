@@ -102,6 +102,31 @@ def test_two_publications_cannot_take_one_number(spark, labelled, dictionary, tm
     assert len(taken) == len(set(taken)) and tables.read_manifest(spark, base)["base_saude"]
 
 
+def test_a_taken_number_is_never_replaced(spark, tmp_path, monkeypatch):
+    """All publications see the same newest number and, as long as none has its name, a free next one."""
+    base, all_looked = str(tmp_path), threading.Barrier(4)
+    monkeypatch.setattr(tables, "_manifest_numbers", lambda *_: [])
+    renamed = tables._renamed
+    monkeypatch.setattr(tables, "_renamed", lambda *a: (all_looked.wait(60), renamed(*a))[1])
+    won = []
+
+    def publish(version):
+        try:
+            tables.switch_manifest(spark, base, version, {"t": ["p"]})
+            won.append(version)
+        except FileExistsError:
+            pass
+
+    threads = [threading.Thread(target=publish, args=(v,)) for v in "abcd"]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    monkeypatch.undo()
+    assert len(won) == 1 and tables.read_manifest(spark, base) == {"t": {"p": won[0]}}
+    assert sorted(f.name for f in (tmp_path / tables.MANIFESTS).iterdir()) == ["1.json"]
+
+
 def test_a_bucketed_star_joins_without_an_exchange(spark, labelled, dictionary, tmp_path):
     base = str(tmp_path / "star")
     S.publish_star(labelled, dictionary, base, database="stardb", buckets=4)
